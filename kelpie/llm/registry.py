@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import embeddings, fingerprints, packing, secrets, simhash, toxicity
 from .common import read
 
 
+def _documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents", "doc_id", "text")
+
+
+def op3_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_documents(_documents(spark, sf_dir), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
+def op7_secrets(spark, sf_dir):
+    return secrets.scan_documents(_documents(spark, sf_dir))
+
+
+def op9_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op10_simhash(spark, sf_dir):
-    return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
+    "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
+    "op7_secrets": op7_secrets,
+    "op9_embeddings": op9_embeddings,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE = {}
+ORACLE = {"op7_secrets": secrets.ORACLE}
