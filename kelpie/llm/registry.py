@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, packing, secrets, simhash, toxicity
+from . import embeddings, fingerprints, packing, scoring, secrets, simhash, substrings, toxicity
 from .common import read
 
 
@@ -22,10 +22,18 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
+def op6_scoring(spark, sf_dir):
+    return scoring.score_documents(_documents(spark, sf_dir))
+
+
 def op7_secrets(spark, sf_dir):
     return secrets.scan_documents(_documents(spark, sf_dir))
 
 
+def op8_substrings(spark, sf_dir):
+    return substrings.deduplicate(_documents(spark, sf_dir)).drop("kept")
+
+
 def op9_embeddings(spark, sf_dir):
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -38,9 +46,11 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_scoring": op6_scoring,
     "op7_secrets": op7_secrets,
+    "op8_substrings": op8_substrings,
     "op9_embeddings": op9_embeddings,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE = {"op7_secrets": secrets.ORACLE}
+ORACLE = {"op7_secrets": secrets.ORACLE, "op8_substrings": substrings.ORACLE}
