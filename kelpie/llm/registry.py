@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, packing, scoring, secrets, simhash, substrings, toxicity
+from . import chat, embeddings, fingerprints, packing, scoring, secrets, sentencepieces, simhash, substrings, toxicity
 from .common import read
 
 
@@ -10,6 +10,14 @@ def _documents(spark, sf_dir):
     return read(spark, sf_dir, "documents", "doc_id", "text")
 
 
+def op1_chat(spark, sf_dir):
+    return chat.format_conversations(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op2_sentencepieces(spark, sf_dir):
+    return sentencepieces.round_trip(_documents(spark, sf_dir), sentencepieces.model_path())
+
+
 def op3_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
 
@@ -43,6 +51,8 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_chat": op1_chat,
+    "op2_sentencepieces": op2_sentencepieces,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
@@ -53,4 +63,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE = {"op7_secrets": secrets.ORACLE, "op8_substrings": substrings.ORACLE}
+ORACLE = {"op1_chat": chat.ORACLE, "op7_secrets": secrets.ORACLE, "op8_substrings": substrings.ORACLE}
