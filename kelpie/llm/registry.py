@@ -39,7 +39,7 @@ def op7_secrets(spark, sf_dir):
 
 
 def op8_substrings(spark, sf_dir):
-    return substrings.deduplicate(_documents(spark, sf_dir)).drop("kept")
+    return substrings.deduplicate(_documents(spark, sf_dir)).drop("kept", "source_sha256")
 
 
 def op9_embeddings(spark, sf_dir):

@@ -279,15 +279,18 @@ def _finish(rest: DataFrame, found: DataFrame, window: int, keep_text: bool) ->
                         np.add.at(gone, at + window, -1)
                     covered = np.cumsum(gone)[:-1] > 0
                     kept = [x for x, c in zip(words, covered.tolist()) if not c] if covered.any() else words
-                    out.append((doc, len(words), len(words) - len(kept), kept_digest(kept), b" ".join(kept).decode("utf-8", "surrogatepass") if keep_text else None))
+                    out.append((doc, len(words), len(words) - len(kept), kept_digest(kept), *((b" ".join(kept).decode("utf-8", "surrogatepass"), hashlib.sha256(text).hexdigest()) if keep_text else (None, None))))
                 for a in range(0, len(out), 2048):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 2048]), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 2048]), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "source_sha256"])
 
-    return rows.mapInArrow(over, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return rows.mapInArrow(over, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, source_sha256 string")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) of every row; ``kept`` is null unless asked for, and where nothing goes."""
+    """(doc_id, n_words, n_removed, kept_sha256, kept, source_sha256) of every row.
+
+    ``kept``, the words left, and the digest of the whole text are null unless asked for, and where no candidate is.
+    """
     own = X.blocks(docs)
     size = own.agg(F.sum("n_bytes")).first()[0] or 0
     small = X.bucket_bits(size / 24)
@@ -297,7 +300,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_te
     rest = state.where(F.col("kind") == REST)
     asked = state.where(F.col("kind") == ASK).select("bucket", "block", "keys", "vals")
     n_keys = asked.agg(F.sum(F.length("keys"))).first()[0] or 0
-    done = state.where(F.col("kind") == DONE).select("doc_id", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept"))
+    done = state.where(F.col("kind") == DONE).select("doc_id", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept"), F.lit(None).cast("string").alias("source_sha256"))
     if not n_keys:
         return done
     shards = max(X.LEAST_BUCKETS, math.ceil(n_keys / (X.BITS // 8) / SHARD_KEYS))

@@ -297,6 +297,20 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
+def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows, with all their columns, whose score stays below a limit."""
+    bounded(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(model.lexicon)
+        nothing = model.score(np.zeros(len(KINDS)))
+        for batch in batches:
+            keep = [(model.score(grammar.features(t)) if t else nothing) < limit for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_kinds) of every row; learns outside the held-out fold only."""
     scored = score(docs, fit(docs, labels), "doc_id")
