@@ -1,24 +1,461 @@
-"""Driver queries bound to the star-schema tables, each with its SQL oracle."""
+"""Driver queries: operators bound to the star-schema tables, each with its SQL oracle where SQL has one.
+
+Every binding reads whole tables and only the columns it needs.  Doubles are rounded the same way on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelpie.functions import hashes, hist, units, urls
+from kelpie.operators import cache, columns, intervals, origin, physics, windows
+
+SF = str
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+
+
+def epoch(column: str):
+    return F.unix_timestamp(column)
+
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
 
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""
+    SELECT event_type, count(*) AS n, round(sum(value), 4) AS sum_value, max(value) AS max_value
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+    WHERE r = 1 GROUP BY event_type""")
 def q01_last_snapshot_totals(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     last = events.groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("l"))
-    return last.groupBy(F.col("l.event_type").alias("event_type")).agg(
-        F.count("*").alias("n"), F.round(F.sum("l.value"), 4).alias("sum_value"), F.max("l.value").alias("max_value")
+    return last.groupBy(F.col("l.event_type").alias("event_type")).agg(F.count("*").alias("n"), F.round(F.sum("l.value"), 4).alias("sum_value"), F.max("l.value").alias("max_value"))
+
+
+_PRICE_HIST = """SELECT l_returnflag, CASE WHEN v <= 1 THEN 0 ELSE least(39, length(bin(v)) - 1) END AS bucket, count(*) AS n
+    FROM (SELECT l_returnflag, CAST(floor(l_extendedprice) AS BIGINT) AS v FROM lineitem) GROUP BY 1, 2"""
+
+
+def _price_histogram(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice")
+    return hist.histogram(rows, F.floor("l_extendedprice"), "l_returnflag")
+
+
+@query(f"SELECT l_returnflag, CAST(bucket AS INTEGER) AS bucket, n FROM ({_PRICE_HIST})")
+def q02_log2_histogram(spark, sf_dir):
+    return _price_histogram(spark, sf_dir)
+
+
+@query(f"""
+    WITH h AS ({_PRICE_HIST}), c AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY l_returnflag) AS t FROM h)
+    SELECT l_returnflag, q, CAST(min(bucket) AS INTEGER) AS bucket, CAST(pow(2, min(bucket)) AS BIGINT) AS value
+    FROM c, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS v(q) WHERE c >= greatest(1, floor(q * t)) GROUP BY l_returnflag, q""")
+def q03_histogram_quantiles(spark, sf_dir):
+    return hist.quantile_buckets(_price_histogram(spark, sf_dir), [0.5, 0.95, 0.99], "l_returnflag")
+
+
+@query("""
+    WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT event_type, max(value) FILTER (WHERE i = least(n - 1, CAST(floor(n * 0.5) AS BIGINT))) AS p50, max(value) FILTER (WHERE i = least(n - 1, CAST(floor(n * 0.95) AS BIGINT))) AS p95,
+        max(value) FILTER (WHERE i = least(n - 1, CAST(floor(n * 0.99) AS BIGINT))) AS p99, max(n) AS n FROM r GROUP BY event_type""")
+def q04_exact_percentiles(spark, sf_dir):
+    return windows.exact_percentiles(table(spark, sf_dir, "events", "event_type", "value"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "event_type")
+
+
+@query("""
+    SELECT c_mktsegment, n_name, n FROM (
+        SELECT c_mktsegment, n_name, count(*) AS n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC, n_name) AS r
+        FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) WHERE r = 1""")
+def q05_top_nation(spark, sf_dir):
+    from kelpie.operators.runs import top_by_count
+
+    rows = table(spark, sf_dir, "customer", "c_mktsegment", "c_nationkey").join(table(spark, sf_dir, "nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return top_by_count(rows, "n_name", "c_mktsegment")
+
+
+@query("""
+    SELECT o_orderstatus, count(*) AS orders, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date,
+        round((sum(o_totalprice) + sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0 END)) / sum(o_totalprice), 6) AS gain FROM orders GROUP BY 1""")
+def q06_totals_ratio_of_sums(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderstatus", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    saved = F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice")).otherwise(0.0))
+    total = F.sum("o_totalprice")
+    return o.groupBy("o_orderstatus").agg(
+        F.count("*").alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.round(total, 2).alias("total"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"), F.round((total + saved) / total, 6).alias("gain")
+    )
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, string_agg(p, ',' ORDER BY p) AS sig, count(*) AS parts, sum(ep) AS price FROM (
+            SELECT l_orderkey, CAST(l_partkey % 20 AS VARCHAR) AS p, sum(l_extendedprice) AS ep FROM lineitem GROUP BY 1, 2) GROUP BY 1)
+    SELECT sig, count(*) AS orders, max(parts) AS parts, round(sum(price), 2) AS price, max(l_orderkey) AS newest FROM s GROUP BY sig""")
+def q07_datasets_by_key_set(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_extendedprice")
+    per = rows.groupBy("l_orderkey", (F.col("l_partkey") % 20).cast("string").alias("p")).agg(F.sum("l_extendedprice").alias("ep"))
+    sets = per.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("p")), ",").alias("sig"), F.count("*").alias("parts"), F.sum("ep").alias("price"))
+    return sets.groupBy("sig").agg(F.count("*").alias("orders"), F.max("parts").alias("parts"), F.round(F.sum("price"), 2).alias("price"), F.max("l_orderkey").alias("newest"))
+
+
+@query("""
+    WITH f AS (SELECT l_suppkey AS s, l_partkey AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), t AS (SELECT s, count(*) AS n, sum(q) AS q FROM f GROUP BY 1)
+    SELECT a.s AS stem, b.s AS ref, count(*) AS common, round(sum(b.q) / max(tb.q), 6) AS c, round(sum(a.q) / max(ta.q), 6) AS d
+    FROM f a JOIN f b ON a.k = b.k AND a.s <> b.s JOIN t ta ON ta.s = a.s JOIN t tb ON tb.s = b.s
+    GROUP BY 1, 2 HAVING count(*) >= 0.25 * max(ta.n) AND count(*) >= 0.25 * max(tb.n)""")
+def q08_matching_work(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_quantity").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").alias("q"))
+    t = f.groupBy("s").agg(F.count("*").alias("n"), F.sum("q").alias("t"))
+    pairs = f.select(F.col("s").alias("stem"), "k", F.col("q").alias("qa")).join(f.select(F.col("s").alias("ref"), "k", F.col("q").alias("qb")), "k").where("stem <> ref")
+    per = pairs.groupBy("stem", "ref").agg(F.count("*").alias("common"), F.sum("qa").alias("qa"), F.sum("qb").alias("qb"))
+    both = per.join(t.select(F.col("s").alias("stem"), F.col("n").alias("na"), F.col("t").alias("ta")), "stem").join(t.select(F.col("s").alias("ref"), F.col("n").alias("nb"), F.col("t").alias("tb")), "ref")
+    return both.where("common >= 0.25 * na AND common >= 0.25 * nb").select("stem", "ref", "common", F.round(F.col("qb") / F.col("tb"), 6).alias("c"), F.round(F.col("qa") / F.col("ta"), 6).alias("d"))
+
+
+@query("""
+    SELECT o_orderkey, near_key, gap FROM (
+        SELECT a.o_orderkey, b.o_orderkey AS near_key, CAST(abs(epoch(b.o_orderdate) - epoch(a.o_orderdate)) AS BIGINT) AS gap,
+            row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(epoch(b.o_orderdate) - epoch(a.o_orderdate)), b.o_orderdate DESC, b.o_orderkey DESC) AS r
+        FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderstatus = 'F' WHERE a.o_orderstatus = 'O') WHERE r = 1""")
+def q09_nearest_in_time(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", epoch("o_orderdate").alias("t"))
+    left = o.where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "t")
+    right = o.where("o_orderstatus = 'F'").select("o_custkey", F.col("t").alias("r_t"), F.col("o_orderkey").alias("r_o_orderkey"))
+    near = windows.nearest(left, right, "o_custkey", "t", "o_orderkey").where("nearest IS NOT NULL")
+    return near.select("o_orderkey", F.col("nearest.p").alias("near_key"), F.abs(F.col("nearest.t") - F.col("t")).alias("gap"))
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""")
+def q10_latest_preferred(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    return windows.preferred_latest(o, "o_custkey", [(F.col("o_orderstatus") == "F").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+
+
+_ENTRIES = """SELECT o_custkey AS key, CAST(floor(max(epoch(o_orderdate))) AS BIGINT) AS atime, CAST(sum(floor(o_totalprice)) AS BIGINT) AS cached_bytes FROM orders GROUP BY 1"""
+
+
+def _entries(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_custkey", epoch("o_orderdate").alias("t"), F.floor("o_totalprice").alias("b"))
+    e = o.groupBy(F.col("o_custkey").alias("key")).agg(F.max("t").alias("atime"), F.sum("b").alias("cached_bytes"))
+    no, zero = F.lit(False), F.lit(0).cast("long")
+    return e.withColumns({"replica_bytes": zero, "earlier_replica_bytes": zero, "pinned": F.col("key") % 10 == 0, "live": no, "in_use": no, "declined": no, "file_size": F.col("cached_bytes") * 2, "coverage": (F.col("cached_bytes") % 1000) / 1000.0})
+
+
+@query(f"""
+    WITH e AS ({_ENTRIES}), u AS (SELECT sum(cached_bytes) AS u FROM e),
+    f AS (SELECT *, coalesce(sum(cached_bytes) OVER (ORDER BY atime, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM e WHERE key % 10 <> 0 AND atime < 1700000000 - 86400)
+    SELECT key, atime, cached_bytes, CAST(freed AS BIGINT) AS freed FROM f, u WHERE u - freed > CAST(floor(0.75 * 1000000000) AS BIGINT)""")
+def q11_lru_eviction(spark, sf_dir):
+    return cache.eviction_victims(_entries(spark, sf_dir), 1_000_000_000, 0.75, 1_700_000_000, 86400).select("key", "atime", "cached_bytes", "freed")
+
+
+@query(f"""
+    WITH e AS ({_ENTRIES}), m AS (SELECT 895000000 AS cut),
+    s AS (SELECT key, (SELECT sum(cached_bytes) FROM e) - coalesce(sum(cached_bytes) OVER (ORDER BY atime, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_ FROM e WHERE key % 10 <> 0)
+    SELECT 'older' AS mode, count(*) AS victims, CAST(sum(key) AS BIGINT) AS keys FROM e, m WHERE key % 10 <> 0 AND atime < cut
+    UNION ALL SELECT 'newer', count(*), CAST(sum(key) AS BIGINT) FROM e, m WHERE key % 10 <> 0 AND atime >= cut
+    UNION ALL SELECT 'size', count(*), CAST(sum(key) AS BIGINT) FROM s WHERE left_ > 500000000""")
+def q12_cleanup_modes(spark, sf_dir):
+    e = _entries(spark, sf_dir)
+    total = lambda name, v: v.agg(F.count("*").alias("victims"), F.sum("key").alias("keys")).select(F.lit(name).alias("mode"), "victims", "keys")
+    now, cut = 1_700_000_000, 895_000_000
+    return total("older", cache.cleanup(e, "older_than", now - cut, now)).unionByName(total("newer", cache.cleanup(e, "newer_than", now - cut, now))).unionByName(total("size", cache.cleanup(e, "to_size", 500_000_000)))
+
+
+_SPANS = "SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS lo, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 60) AS BIGINT) AS hi FROM events"
+
+
+def _spans(spark, sf_dir):
+    return table(spark, sf_dir, "events", "user_id", epoch("ts").alias("lo"), (epoch("ts") + F.floor(F.col("value") * 60)).alias("hi"))
+
+
+_UNION = f"""s AS (SELECT * FROM ({_SPANS}) WHERE hi > lo), b AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s),
+    i AS (SELECT *, sum(CASE WHEN m IS NULL OR lo > m THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM b),
+    u AS (SELECT user_id, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY user_id, g)"""
+
+
+@query(f"WITH {_UNION} SELECT user_id, lo, hi FROM u")
+def q13_interval_union(spark, sf_dir):
+    return intervals.union_ranges(_spans(spark, sf_dir), "user_id")
+
+
+@query(f"""WITH {_UNION}, n AS (SELECT user_id, d * 3600 AS r_lo, d * 3600 + 3600 AS r_hi FROM (SELECT DISTINCT user_id, unnest(range(lo // 3600, (hi - 1) // 3600 + 1)) AS d FROM u))
+    SELECT n.user_id, r_lo, r_hi, CAST(sum(least(hi, r_hi) - greatest(lo, r_lo)) AS BIGINT) AS n FROM n JOIN u ON u.user_id = n.user_id AND lo < r_hi AND hi > r_lo
+    GROUP BY 1, 2, 3 HAVING 2 * sum(least(hi, r_hi) - greatest(lo, r_lo)) >= 3600""")
+def q14_half_covered_units(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    hours = intervals.explode_buckets(s.where("hi > lo"), "lo", "hi", 3600).select("user_id", (F.col("bucket") * 3600).alias("r_lo"), (F.col("bucket") * 3600 + 3600).alias("r_hi")).distinct()
+    return intervals.half_covered(s, hours, "user_id")
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey * 1000 + l_linenumber AS off, CAST(l_quantity * 500 AS BIGINT) AS len, l_orderkey * 1000 + 20000 AS size FROM lineitem),
+    r AS (SELECT off, len, size, off // 4096 * 4096 AS lo, least((off + len + 4095) // 4096 * 4096, size) AS hi FROM s)
+    SELECT lo, hi, CAST(ceil((hi - lo) / 2093056.0) AS INTEGER) AS elements, count(*) AS n FROM r GROUP BY 1, 2, 3""")
+def q15_page_rounding(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    off, size = F.col("l_orderkey") * 1000 + F.col("l_linenumber"), F.col("l_orderkey") * 1000 + 20000
+    span = intervals.round_span(F.lit(4096), size, off, (F.col("l_quantity") * 500).cast("long"))
+    return rows.select(span["lo"].alias("lo"), span["hi"].alias("hi")).withColumn("elements", F.ceil((F.col("hi") - F.col("lo")) / 2093056.0).cast("int")).groupBy("lo", "hi", "elements").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), g AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM d)
+    SELECT l_orderkey, 'present' AS kind, CAST(min(l_linenumber) AS BIGINT) AS first, CAST(max(l_linenumber) AS BIGINT) AS last FROM g GROUP BY l_orderkey, g
+    UNION ALL SELECT l_orderkey, 'absent', CAST(min(x) AS BIGINT), CAST(max(x) AS BIGINT) FROM (
+        SELECT k.l_orderkey, x, x - row_number() OVER (PARTITION BY k.l_orderkey ORDER BY x) AS g FROM (SELECT DISTINCT l_orderkey FROM lineitem) k, (SELECT unnest(range(1, 8)) AS x) r
+        WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.l_orderkey = k.l_orderkey AND d.l_linenumber = x)) GROUP BY l_orderkey, g""")
+def q16_islands_and_absent_runs(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    present = intervals.islands(rows, "l_linenumber", "l_orderkey").select("l_orderkey", F.lit("present").alias("kind"), "first", "last")
+    bounds = rows.select("l_orderkey").distinct().withColumns({"lo": F.lit(1).cast("long"), "hi": F.lit(7).cast("long")})
+    absent = intervals.absent_runs(rows, bounds, "l_linenumber", "l_orderkey").select("l_orderkey", F.lit("absent").alias("kind"), "first", "last")
+    return present.unionByName(absent)
+
+
+@query("""
+    SELECT l_returnflag, count(*) AS reads, count(*) FILTER (WHERE r = 1) AS first_touch, round(sum(l_quantity) FILTER (WHERE r = 1) / sum(l_quantity), 6) AS share
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS r FROM lineitem) GROUP BY 1""")
+def q17_first_touch(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_partkey", "l_returnflag", "l_quantity", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("o"))
+    t = intervals.first_touch(rows, "o", "l_partkey")
+    return t.groupBy("l_returnflag").agg(F.count("*").alias("reads"), F.count_if("first_touch").alias("first_touch"), F.round(F.sum(F.when(F.col("first_touch"), F.col("l_quantity"))) / F.sum("l_quantity"), 6).alias("share"))
+
+
+@query("""
+    WITH e AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS era FROM events WHERE event_type IN ('error', 'purchase')),
+    f AS (SELECT *, row_number() OVER (PARTITION BY user_id, era ORDER BY ts, event_id) AS n FROM e WHERE event_type = 'error')
+    SELECT event_id, user_id, n AS count, CAST(least(3600, 600 * pow(2, least(n - 1, 30))) AS BIGINT) AS mark_s FROM f""")
+def q18_back_off(spark, sf_dir):
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").where("event_type IN ('error', 'purchase')").withColumn("failed", F.col("event_type") == "error")
+    return windows.back_off(rows, "user_id", ["ts", "event_id"], "failed").select("event_id", "user_id", F.col("count").cast("long").alias("count"), "mark_s")
+
+
+@query(f"""
+    WITH s AS (SELECT * FROM ({_SPANS}) WHERE hi > lo), d AS (SELECT user_id, t, sum(d) AS d FROM (SELECT user_id, lo AS t, 1 AS d FROM s UNION ALL SELECT user_id, hi, -1 FROM s) GROUP BY 1, 2)
+    SELECT user_id, CAST(max(o) AS BIGINT) AS peak FROM (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS o FROM d) GROUP BY 1""")
+def q19_max_concurrency(spark, sf_dir):
+    return intervals.max_concurrency(_spans(spark, sf_dir), "user_id")
+
+
+@query("""
+    WITH l AS (SELECT event_type, value - lag(value) OVER w AS dv, CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER w AS dt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT event_type, round(max(CASE WHEN dt <> 0 THEN dv / dt END), 6) AS peak, count(*) FILTER (WHERE dt <> 0) AS n FROM l GROUP BY 1""")
+def q20_peak_rate(spark, sf_dir):
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type", "value").withColumn("t", epoch("ts"))
+    r = windows.rates(rows, "user_id", ["ts", "event_id"], "t", "value")
+    return r.groupBy("event_type").agg(F.round(F.max("rate"), 6).alias("peak"), F.count("rate").alias("n"))
+
+
+@query("""
+    WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), f AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 43200 THEN 0 ELSE 1 END AS new FROM e),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM f)
+    SELECT user_id, CAST(session AS BIGINT) AS session, min(t) AS start, max(t) AS stop, count(*) AS n FROM s GROUP BY 1, 2""")
+def q21_sessions(spark, sf_dir):
+    return windows.sessions(table(spark, sf_dir, "events", "user_id", epoch("ts").alias("t")), "user_id", "t", 43200)
+
+
+@query(r"""
+    WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)', 1)) AS host, url FROM pages)
+    SELECT page_id, host, CASE WHEN NOT contains(host, '.') THEN host ELSE regexp_replace(host, '^[^.]*\.', '') END AS site,
+        CASE WHEN NOT contains(host, '.') THEN 'unknown' ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+        scheme || '://' || host || ':' || CASE scheme WHEN 'https' THEN '443' WHEN 'http' THEN '80' ELSE '0' END || regexp_replace(regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?]*)', 1), '/+', '/', 'g'), '(.)/$', '\1') AS key FROM p""")
+def q22_url_keys(spark, sf_dir):
+    p = table(spark, sf_dir, "pages", "page_id", "url")
+    host = urls.url_parts(F.col("url"))["host"]
+    return p.select("page_id", host.alias("host"), urls.site_of(host).alias("site"), urls.registrable_domain(host).alias("domain"), urls.url_key(F.col("url")).alias("key"))
+
+
+@query("SELECT page_id, left(sha256('salt' || chr(1) || url), 32) AS h FROM pages")
+def q23_salted_hash(spark, sf_dir):
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.substring(F.sha2(F.concat(F.lit("salt\x01"), "url"), 256), 1, 32).alias("h"))
+
+
+@query("""
+    WITH t AS (SELECT CAST(l_partkey AS VARCHAR) AS part, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY q DESC, part) AS r FROM t)
+    SELECT part, q FROM r WHERE r <= 20 UNION ALL SELECT 'rest', CAST(sum(q) AS BIGINT) FROM r WHERE r > 20""")
+def q24_top_and_rest(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").groupBy(F.col("l_partkey").cast("string").alias("part")).agg(F.sum("l_quantity").cast("long").alias("q"))
+    return windows.top_and_rest(t, "q", "part", 20)
+
+
+@query("""
+    SELECT kind, count(*) AS n FROM (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'baseline' WHEN o_orderstatus = 'O' AND o_totalprice < 100000 THEN 'fill' WHEN o_orderstatus <> 'O' AND o_totalprice >= 100000 THEN 'warm'
+        WHEN o_orderstatus = 'O' THEN 'mixed' ELSE 'idle' END AS kind FROM orders) GROUP BY 1""")
+def q25_run_kinds(spark, sf_dir):
+    from kelpie.operators.runs import run_kind
+
+    open_ = F.col("o_orderstatus") == "O"
+    dear = F.col("o_totalprice") >= 100000
+    rows = table(spark, sf_dir, "orders", "o_orderstatus", "o_totalprice", "o_orderpriority").select(
+        (F.col("o_orderpriority") == "5-LOW").cast("long").alias("disabled"), open_.cast("long").alias("origin_bytes"), dear.cast("long").alias("hit_bytes"), F.lit(0).cast("long").alias("replica_bytes_served")
     )
+    return rows.groupBy(run_kind().alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def q26_orphans(spark, sf_dir):
+    return cache.orphans(table(spark, sf_dir, "documents", "doc_id", "source"), table(spark, sf_dir, "labels", "doc_id"), "doc_id")
+
+
+@query("""
+    WITH t AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'site' WHEN 'view' THEN 'none' WHEN 'click' THEN 'client' ELSE 'other' END AS server, count(*) AS opens FROM events GROUP BY 1, 2)
+    SELECT user_id, string_agg(server || ' ' || opens, ', ' ORDER BY opens DESC, server) AS text FROM t GROUP BY 1""")
+def q27_failure_tally(spark, sf_dir):
+    code = F.when(F.col("event_type") == "error", 400).when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 102).otherwise(999)
+    rows = table(spark, sf_dir, "events", "user_id", "event_type", "value").select("user_id", origin.classify_failure(code, F.lit(3012)).alias("server"), F.lit(1).alias("opens"), F.lit(0).alias("bytes"), "value")
+    return origin.tally_text(origin.server_tally(rows.withColumnRenamed("value", "slowest"), "user_id"), "opens", "user_id")
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY tier, CASE WHEN tier = 2 THEN t ELSE 0 END, o_orderstatus = 'P', o_orderkey) AS rank FROM (
+        SELECT *, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS t, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS tier FROM orders)""")
+def q28_tiered_ranking(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", epoch("o_orderdate").alias("t"))
+    pending = F.col("o_orderstatus") == "P"
+    tier = F.when(F.col("o_orderpriority") == "1-URGENT", 2).when(pending, 1).otherwise(0)
+    order = W.partitionBy("o_custkey").orderBy(tier, F.when(tier == 2, F.col("t")).otherwise(0), pending, "o_orderkey")
+    return o.select("o_custkey", "o_orderkey", F.row_number().over(order).cast("long").alias("rank"))
+
+
+@query("""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events), k AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS b FROM r WHERE r <= 16)
+    SELECT event_type, count(*) AS kept, CAST(sum(event_id) AS BIGINT) AS ids FROM k WHERE b < 4096 GROUP BY 1""")
+def q29_capped_events(spark, sf_dir):
+    kept, _ = cache.capped_events(table(spark, sf_dir, "events", "event_id", "user_id", "event_type"), "event_id", keys=("user_id", "event_type"))
+    return kept.groupBy("event_type").agg(F.count("*").alias("kept"), F.sum("event_id").alias("ids"))
+
+
+_LOG = "CASE WHEN o_totalprice < 100 THEN 0 WHEN o_totalprice >= 1000000 THEN 301 ELSE least(300, floor(ln(o_totalprice / 100) / ln(CAST(10000 AS DOUBLE)) * 300) + 1) END"
+
+
+@query(f"SELECT CAST({_LOG} AS INTEGER) AS bin, count(*) AS n FROM orders GROUP BY 1")
+def q30_log_histogram(spark, sf_dir):
+    return physics.mass_histogram(table(spark, sf_dir, "orders", "o_totalprice"), "o_totalprice", 300, 100.0, 1000000.0)
+
+
+@query(f"SELECT CAST(sum(CAST({_LOG} AS BIGINT) + 1) AS BIGINT) AS fingerprint FROM orders")
+def q30b_fingerprint(spark, sf_dir):
+    return physics.fingerprint(q30_log_histogram(spark, sf_dir))
+
+
+@query("""
+    SELECT o_custkey, unnest(range(lo, hi + 1, 100)) AS cluster FROM (SELECT o_custkey, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1)""")
+def q31_cluster_expansion(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").groupBy("o_custkey").agg(F.min("o_orderkey").alias("start"), (F.max("o_orderkey") + 1).alias("end"))
+    return columns.expand_clusters(o.withColumn("step", F.lit(100).cast("long"))).select("o_custkey", "cluster")
+
+
+@query("""
+    WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT) END AS ob FROM events),
+    c AS (SELECT user_id, max(pos) FILTER (WHERE ob IS NULL) AS cleared FROM e GROUP BY 1)
+    SELECT e.user_id, coalesce(max(CASE WHEN pos > coalesce(cleared, -1) THEN ob END), -1) AS orig_bytes, count(*) AS records FROM e JOIN c USING (user_id) GROUP BY 1""")
+def q32_ordered_fold(spark, sf_dir):
+    from kelpie.operators.runs import merge_file_records
+    from kelpie.sources.records import FILE_SUMS
+
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type", "value")
+    pos = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    none = F.lit(None)
+    records = rows.withColumn("pos", pos).select(
+        F.col("user_id").alias("stem"), F.lit("k").alias("key"), "pos", F.lit(1).cast("long").alias("ts"), F.lit(1).cast("long").alias("ts_ms"), F.lit(0).cast("long").alias("origin_size"), F.lit(0).cast("long").alias("read_buckets"),
+        *((F.lit(1) if c == "opens" else F.lit(0)).cast("long").alias(c) for c in FILE_SUMS), F.when(F.col("event_type") != "error", F.floor("value")).alias("orig_bytes"), none.cast("long").alias("unique_bytes"),
+        none.cast("string").alias("read_sig"), F.lit("cached").alias("mode"), none.cast("string").alias("data_server"), none.cast("string").alias("url_host"),
+    )
+    return merge_file_records(records).select(F.col("stem").alias("user_id"), F.coalesce("orig_bytes", F.lit(-1)).alias("orig_bytes"), F.col("opens").alias("records"))
+
+
+@query()
+def q33_set_signatures(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", F.concat(F.lit("part-"), F.col("l_partkey")).alias("key")).distinct()
+    return rows.groupBy("l_orderkey").agg(F.collect_list("key").alias("keys")).select("l_orderkey", hashes.key_set_signature("keys").alias("sig"), F.sha2(F.array_join(F.sort_array("keys"), "\n"), 256).alias("sha"))
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+def q34_json_fields(spark, sf_dir):
+    rows = table(spark, sf_dir, "events", F.from_json("props", "k long").alias("p"), "value")
+    return rows.groupBy(F.col("p.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@query("SELECT coalesce(event_type, 'ALL') AS stem, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ROLLUP (event_type)")
+def q35_all_row(spark, sf_dir):
+    rows = table(spark, sf_dir, "events", "event_type", "value")
+    return rows.rollup("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.coalesce("event_type", F.lit("ALL")).alias("stem"), "n", "total")
+
+
+@query("""
+    WITH s AS (SELECT o_custkey, o_orderkey, off, off + len AS e, lag(off + len) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM (SELECT o_custkey, o_orderkey, o_orderkey // 2 AS off, o_orderkey % 3 + 1 AS len FROM orders))
+    SELECT o_custkey, count(*) AS reads, count(*) FILTER (WHERE off = p) AS sequential FROM s GROUP BY 1""")
+def q36_sequential_reads(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").withColumns({"off": F.expr("o_orderkey div 2"), "len": F.col("o_orderkey") % 3 + 1})
+    return intervals.sequential(rows, "o_orderkey", "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("reads"), F.count_if("sequential").alias("sequential"))
+
+
+@query(f"""
+    WITH e AS ({_ENTRIES}), c AS (SELECT *, (cached_bytes % 1000) / 1000.0::DOUBLE AS cov, row_number() OVER (ORDER BY (cached_bytes % 1000) / 1000.0::DOUBLE) - 1 AS i, count(*) OVER () AS n FROM e)
+    SELECT count(*) AS entries, count(*) FILTER (WHERE key % 10 = 0) AS pinned, count(*) FILTER (WHERE key % 10 <> 0 AND atime >= 800000000) AS protected, CAST(sum(cached_bytes) AS BIGINT) AS cached_bytes,
+        max(cov) FILTER (WHERE i = n // 2) AS median_coverage FROM c""")
+def q37_status(spark, sf_dir):
+    s = cache.status(_entries(spark, sf_dir), 800_000_100, 100)
+    return s.select("entries", "pinned", "protected", "cached_bytes", "median_coverage")
+
+
+@query("""
+    SELECT o_orderpriority, eighth, round(avg(o_totalprice), 4) AS mean FROM (
+        SELECT o_orderpriority, o_totalprice, ntile(8) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS eighth FROM orders) GROUP BY 1, 2""")
+def q38_mean_by_eighth(spark, sf_dir):
+    m = windows.mean_by_eighth(table(spark, sf_dir, "orders", "o_orderpriority", "o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", "o_orderpriority")
+    return m.select("o_orderpriority", F.col("eighth").cast("long").alias("eighth"), F.round("mean", 4).alias("mean"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS o FROM events) WHERE o % 7 = 0 GROUP BY 1")
+def q39_every_nth(spark, sf_dir):
+    s = windows.every_nth(table(spark, sf_dir, "events", "event_id", "event_type"), 7, ["event_id"], "event_type")
+    return s.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(f"""
+    WITH s AS (SELECT user_id, CAST(event_id % 3 AS BIGINT) AS tier, lo, hi FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS lo, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 60) AS BIGINT) AS hi FROM events) WHERE hi > lo),
+    b AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s), i AS (SELECT *, sum(CASE WHEN m IS NULL OR lo >= m THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM b),
+    u AS (SELECT max(hi) - min(lo) AS wait, max(tier) AS tier FROM i GROUP BY user_id, g) SELECT tier, CAST(sum(wait) AS BIGINT) AS wait FROM u GROUP BY 1""")
+def q40_reader_wait(spark, sf_dir):
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value").select(F.col("user_id").alias("thread"), (F.col("event_id") % 3).alias("tier"), epoch("ts").alias("lo"), (epoch("ts") + F.floor(F.col("value") * 60)).alias("hi"))
+    return intervals.reader_wait(rows)
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'BAD' WHEN o_orderstatus = 'F' THEN 'REPLICA-ONLY' ELSE 'GOOD' END AS grade FROM orders""")
+def q41_storage_grade(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
+    f = F.col("o_orderstatus") == "F"
+    return o.select("o_orderkey", origin.storage_grade(F.when(f, 5.0).otherwise(0.1), F.lit(1000), F.when(F.col("o_totalprice") > 200000, 100).otherwise(400)).alias("grade"))
+
 
+@query("SELECT l_orderkey, CAST(sum(len) AS BIGINT) AS slots, CAST(max(place) AS BIGINT) AS last_place FROM (SELECT l_orderkey, len, coalesce(sum(len) OVER (PARTITION BY l_orderkey ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) * 300 // 100 AS len, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS o FROM lineitem)) GROUP BY 1")
+def q42_slot_placement(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("o"))
+    p = intervals.placements(rows.withColumn("len", F.floor(F.col("l_quantity").cast("long") * 300 / 100)), "len", "o", "l_orderkey")
+    return p.groupBy("l_orderkey").agg(F.sum("len").alias("slots"), F.max("place").alias("last_place"))
 
-QUERIES = {"q01_last_snapshot_totals": q01_last_snapshot_totals}
 
-ORACLE = {
-    "q01_last_snapshot_totals": """
-        SELECT event_type, count(*) AS n, round(sum(value), 4) AS sum_value, max(value) AS max_value
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
-        WHERE r = 1 GROUP BY event_type"""
-}
+@query("SELECT p_size, CASE WHEN p_size < 60 THEN p_size || 's' ELSE (p_size // 60) || 'm' || lpad(CAST(p_size % 60 AS VARCHAR), 2, '0') || 's' END AS age, strftime(make_timestamp(CAST(p_size AS BIGINT) * 86400000000), '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT p_size * 7 AS p_size FROM part) GROUP BY 1, 2, 3")
+def q43_text_of_times(spark, sf_dir):
+    rows = table(spark, sf_dir, "part", (F.col("p_size") * 7).alias("p_size"))
+    return rows.groupBy("p_size", units.human_duration(F.col("p_size")).alias("age"), units.date_utc(F.col("p_size").cast("long") * 86400).alias("day")).agg(F.count("*").alias("n"))
