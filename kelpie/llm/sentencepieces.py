@@ -133,7 +133,7 @@ def agenda(symbols: list[int], key: int, model: Model, rate: float) -> list[int]
 
 def side_by_side(words: list[list[int]], keys: list[int], model: Model, rate: float) -> list[bytes]:
     """The pieces (unsigned 32-bit, little-endian) of many short words; every round merges the best pair of each."""
-    sizes = np.array([len(w) for w in words])
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
     sym = np.array([s for w in words for s in w], dtype=np.int64)
     word = np.repeat(np.arange(len(words)), sizes)
     first = np.concatenate(([0], np.cumsum(sizes)))
