@@ -29,8 +29,8 @@ BUCKET_KEYS = 1_500_000
 LEAST_BUCKETS = 64
 
 
-def squeeze(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
 
 def expand(data: bytes) -> bytes:
@@ -44,7 +44,7 @@ def pack_rows(ids: list, texts: list[bytes]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_batch(table)
-    return squeeze(sink.getvalue().to_pybytes())
+    return squeeze(sink.getvalue().to_pybytes(), 3)
 
 
 def unpack_rows(payload: bytes) -> tuple[list, list[bytes]]:
@@ -53,8 +53,12 @@ def unpack_rows(payload: bytes) -> tuple[list, list[bytes]]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, payload, n_bytes), written once to the shared folder: block numbers are then fixed."""
-    bounded(docs.sparkSession)
+    """(block, payload, n_bytes), dealt out by block and written once to the shared folder.
+
+    Block numbers are then fixed, and a join on them moves the other side only: texts travel once.
+    """
+    spark = bounded(docs.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -77,7 +81,13 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
-    return settle(rows.mapInArrow(run, "block long, payload binary, n_bytes long"))
+    # An adaptive plan does not tell how its result is dealt out, and joins would deal the texts out again.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return settle(rows.mapInArrow(run, "block long, payload binary, n_bytes long").repartition(parts, "block"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def bucket_bits(keys: float) -> int:

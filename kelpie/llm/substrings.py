@@ -34,9 +34,11 @@ from .common import Words, mix, passes, settle, span_hashes
 WINDOW = 13
 GRAM = 7
 LAST = (1 << 63) - 1
-#: Asked window keys per shard of references, about, and bytes of candidate spans that one task streams.
-SHARD_KEYS = 200_000
-STREAM_BYTES = 8 << 20
+#: Bytes of text per shard of references, and bytes of candidate spans that one task streams, about.
+SHARD_BYTES = 4 << 20
+STREAM_BYTES = 4 << 20
+#: Most shards that are told apart as busy.
+BUSY_SHARDS = 100_000
 
 
 class Windows:
@@ -115,49 +117,35 @@ def _answer_minimisers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, "bucket int, block long, answer binary")
 
 
-STATE = "kind int, block long, bucket int, keys binary, vals binary, doc_id long, n_words long, n_removed long, kept_sha256 string"
-NAMES = [x.split()[0] for x in STATE.split(", ")]
-ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-DONE, REST, ASK = range(3)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
-
-
 def kept_digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _sift(own: DataFrame, answers: DataFrame, window: int, gram: int, small: int, bits: int) -> DataFrame:
-    """Rows of three kinds: documents that nothing can touch, the rest of each block, and its questions about windows."""
+def _flags(w: Windows, parts: list[bytes], gram: int, small: int) -> np.ndarray:
+    """Which windows of a block have a minimiser that several documents may have."""
+    _, number = np.unique(X.shorten(mix(w.minimisers(gram)), small), return_inverse=True)
+    return X.joined_answers(parts, np.uint8)[number].astype(bool) if len(number) else np.zeros(0, dtype=bool)
+
+
+def _ask_windows(own: DataFrame, answers: DataFrame, window: int, gram: int, small: int, bits: int) -> DataFrame:
+    """(bucket, block, keys, vals): the windows that may be shared, with the smallest document of each and whether there is another."""
 
     def run(block: int, payload: bytes, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, texts = X.unpack_rows(payload)
         w = Windows(texts, window)
-        _, number = np.unique(X.shorten(mix(w.minimisers(gram)), small), return_inverse=True)
-        shared = X.joined_answers(parts, np.uint8)[number].astype(bool) if len(number) else np.zeros(0, dtype=bool)
-        touched = np.zeros(len(ids), dtype=bool)
-        touched[w.text[shared]] = True
-        rows = []
-        for i in np.flatnonzero(~touched).tolist():
-            words = texts[i].split()
-            rows.append((DONE, None, None, None, None, ids[i], len(words), 0, kept_digest(words)))
-        if touched.any():
-            left = np.flatnonzero(touched).tolist()
-            flags = np.packbits(shared[touched[w.text]]).tobytes()
-            rows.append((REST, block, None, X.pack_rows([ids[i] for i in left], [texts[i] for i in left]), X.squeeze(flags), None, None, None, None))
-            keys, number = np.unique(X.shorten(w.keys(shared), bits), return_inverse=True)
-            rank = _ranks(ids)[w.text[shared]]
-            low, high = np.full(len(keys), LAST), np.full(len(keys), -LAST - 1)
-            np.minimum.at(low, number, rank)
-            np.maximum.at(high, number, rank)
-            for name, at, packed in X.split(keys, bits):
-                rows.append((ASK, block, name, packed, X.squeeze(low[at].tobytes() + high[at].tobytes()), None, None, None, None))
-        for at in range(0, len(rows), 4096):
-            yield _batch(rows[at : at + 4096])
+        shared = _flags(w, parts, gram, small)
+        keys, number = np.unique(X.shorten(w.keys(shared), bits), return_inverse=True)
+        if not len(keys):
+            return
+        rank = _ranks(ids)[w.text[shared]]
+        low, high = np.full(len(keys), LAST), np.full(len(keys), -LAST - 1)
+        np.minimum.at(low, number, rank)
+        np.maximum.at(high, number, rank)
+        # Of the largest it matters only whether it is another one.
+        rows = [(name, block, packed, X.squeeze(low[at].tobytes() + (high[at] > low[at]).astype(np.uint8).tobytes())) for name, at, packed in X.split(keys, bits)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "keys", "vals"])
 
-    return X.with_answers(own, answers, run, STATE)
+    return X.with_answers(own, answers, run, "bucket int, block long, keys binary, vals binary")
 
 
 def _answer_windows(asked: DataFrame) -> DataFrame:
@@ -165,17 +153,19 @@ def _answer_windows(asked: DataFrame) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         number, sizes = X.merge(table.column("keys").to_pylist())
-        low, high = [], []
+        low, several = [], []
         for n, v in zip(sizes, table.column("vals").to_pylist()):
-            both = np.frombuffer(X.expand(v), dtype="<i8")
-            low.append(both[:n])
-            high.append(both[n:])
+            raw = X.expand(v)
+            low.append(np.frombuffer(raw[: 8 * n], dtype="<i8"))
+            several.append(np.frombuffer(raw[8 * n :], dtype=np.uint8))
+        low = np.concatenate(low)
         total = int(number.max()) + 1
-        least, most = np.full(total, LAST), np.full(total, -LAST - 1)
-        np.minimum.at(least, number, np.concatenate(low))
-        np.maximum.at(most, number, np.concatenate(high))
+        least, most, many = np.full(total, LAST), np.full(total, -LAST - 1), np.zeros(total, dtype=np.uint8)
+        np.minimum.at(least, number, low)
+        np.maximum.at(most, number, low)
+        np.maximum.at(many, number, np.concatenate(several))
         cuts = np.cumsum(sizes)[:-1]
-        answers = [X.squeeze(a.tobytes() + b.tobytes()) for a, b in zip(np.split(least[number], cuts), np.split((least < most).astype(np.uint8)[number], cuts))]
+        answers = [X.squeeze(a.tobytes() + b.tobytes()) for a, b in zip(np.split(least[number], cuts), np.split((many | (least < most)).astype(np.uint8)[number], cuts))]
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "answer": pa.array(answers, pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, "bucket int, block long, answer binary")
@@ -190,98 +180,144 @@ def _runs(chosen: np.ndarray, text: np.ndarray, group: np.ndarray) -> list[tuple
     return list(zip(at[np.append(0, cut)].tolist(), at[np.append(cut, len(at)) - 1].tolist()))
 
 
-SPANS = "reference boolean, shard long, span string, doc long, block long, text int, start int, words binary"
-SPAN_NAMES = [x.split()[0] for x in SPANS.split(", ")]
-SPAN_TYPES = (pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+DONE, REFERENCE, ASKED, PLACES = range(4)
+SPANS = "kind int, block long, shard long, size long, spans binary, doc_id long, n_words long, kept_sha256 string"
+ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int64()), ("size", pa.int64()), ("spans", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _spans(rest: DataFrame, answers: DataFrame, window: int, bits: int, shards: int) -> DataFrame:
-    """Reference and candidate spans of the documents that are left."""
+def _spans(own: DataFrame, small_answers: DataFrame, answers: DataFrame, window: int, gram: int, small: int, bits: int, shards: int) -> DataFrame:
+    """Rows of four kinds: documents that lose nothing, and per block and shard the reference spans, the distinct
+    candidate spans, and (per block) the places of candidates as (text, start, shard, windows, where these begin among the shard's)."""
 
-    def run(block: int, payload: bytes, flags: bytes, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def run(block: int, payload: bytes, first_parts: list[bytes], parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, texts = X.unpack_rows(payload)
         w = Windows(texts, window)
-        shared = np.unpackbits(np.frombuffer(X.expand(flags), dtype=np.uint8), count=len(w.text)).astype(bool)
+        shared = _flags(w, first_parts, gram, small)
         _, number = np.unique(X.shorten(w.keys(shared), bits), return_inverse=True)
         raw = [X.expand(p) for p in parts]
-        least = np.concatenate([np.frombuffer(r[: len(r) // 9 * 8], dtype="<i8") for r in raw])[number]
-        several = np.concatenate([np.frombuffer(r[len(r) // 9 * 8 :], dtype=np.uint8) for r in raw])[number]
         rank = _ranks(ids)[w.text]
-        first = np.full(len(w.text), LAST)
-        first[shared] = least
-        own = np.zeros(len(w.text), dtype=bool)
-        own[shared] = (several > 0) & (least == rank[shared])
+        first, own_window = np.full(len(w.text), LAST), np.zeros(len(w.text), dtype=bool)
+        if len(number):
+            least = np.concatenate([np.frombuffer(r[: len(r) // 9 * 8], dtype="<i8") for r in raw])[number]
+            several = np.concatenate([np.frombuffer(r[len(r) // 9 * 8 :], dtype=np.uint8) for r in raw])[number]
+            first[shared] = least
+            own_window[shared] = (several > 0) & (least == rank[shared])
         shard = (mix(first.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
         split: dict[int, list[bytes]] = {}
-        rows = []
-        for reference, chosen in ((True, own), (False, first < rank)):
-            for a, b in _runs(chosen, w.text, shard):
-                i = int(w.text[a])
-                if i not in split:
-                    split = {i: texts[i].split()}  # runs come text by text
-                start = int(w.start[a] - w.first[i])
-                words = b" ".join(split[i][start : start + b - a + window])
-                rows.append((reference, int(shard[a]), None if reference else hashlib.sha256(words).hexdigest(), int(rank[a]), block, i, start, words))
-        for at in range(0, len(rows), 2048):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2048]), SPAN_TYPES)], SPAN_NAMES)
-
-    rows = rest.select("block", "keys", "vals").join(X.gathered(answers), "block").select("block", "keys", "vals", "answers")
+
+        def words(a: int, b: int) -> tuple[int, int, bytes]:
+            i = int(w.text[a])
+            if i not in split:
+                split.clear()  # runs come text by text
+                split[i] = texts[i].split()
+            start = int(w.start[a] - w.first[i])
+            return i, start, b" ".join(split[i][start : start + b - a + window])
+
+        rows: list[tuple] = []
+        references: dict[int, tuple[list, list]] = {}
+        for a, b in _runs(own_window, w.text, shard):
+            _, _, span = words(a, b)
+            docs, spans = references.setdefault(int(shard[a]), ([], []))
+            docs.append(int(rank[a]))
+            spans.append(span)
+        for s, (docs, spans) in references.items():
+            rows.append((REFERENCE, block, s, sum(map(len, spans)), X.pack_rows(docs, spans), None, None, None))
+        asked: dict[int, dict[bytes, int]] = {}
+        windows: dict[int, int] = {}
+        places: list[tuple[int, int, int, int, int]] = []
+        for a, b in _runs(first < rank, w.text, shard):
+            i, start, span = words(a, b)
+            s, n = int(shard[a]), b - a + 1
+            known = asked.setdefault(s, {})
+            if span not in known:
+                known[span] = windows.get(s, 0)
+                windows[s] = known[span] + n
+            places.append((i, start, s, n, known[span]))
+        for s, known in asked.items():
+            rows.append((ASKED, block, s, sum(map(len, known)), X.pack_rows([0] * len(known), list(known)), None, None, None))
+        if places:
+            rows.append((PLACES, block, None, None, X.answer_bytes(np.array(places, dtype=np.int64)), None, None, None))
+        waiting = {p[0] for p in places}
+        for i, text in enumerate(texts):
+            if i not in waiting:
+                own_words = text.split()
+                rows.append((DONE, block, None, None, None, ids[i], len(own_words), kept_digest(own_words)))
+        for at in range(0, len(rows), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 4096]), ARROW)], schema=ARROW)
+
+    rows = own.select("block", "payload").join(X.gathered(small_answers).withColumnRenamed("answers", "small"), "block", "left").join(X.gathered(answers), "block", "left").select("block", "payload", "small", "answers")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for values in zip(*(batch.column(c) for c in ("block", "keys", "vals", "answers"))):
-                yield from run(*(v.as_py() for v in values))
+            for block, payload, few, more in zip(*(batch.column(c) for c in ("block", "payload", "small", "answers"))):
+                yield from run(block.as_py(), payload.as_py(), few.as_py() or [], more.as_py() or [])
 
     return rows.mapInArrow(over, SPANS)
 
 
 def _stream(spans: DataFrame, window: int) -> DataFrame:
-    """(shard, span, firsts): of each distinct candidate span the smallest reference document of every window.
+    """(block, shard, firsts): of each candidate span of a block the smallest reference document of every window.
 
-    A shard that many spans ask for is served by several tasks, each with its automaton.
+    A shard that is asked for more than others is served by several tasks, each with its automaton.
     """
-    asked = spans.where("NOT reference").groupBy("shard", "span").agg(F.first("words").alias("words"))
-    asked = asked.withColumn("size", F.length("words"))
-    many = asked.groupBy("shard").agg(F.ceil(F.sum("size") / STREAM_BYTES).cast("int").alias("parts"))
-    deal = F.pmod(F.xxhash64("span"), F.col("parts")).cast("int")
-    queries = asked.join(many, "shard").select("shard", deal.alias("part"), F.lit(LAST).alias("doc"), "span", "words")
-    references = spans.where("reference").join(many, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc", F.lit(None).cast("string").alias("span"), "words")
+    asked = spans.where(F.col("kind") == ASKED)
+    total = asked.agg(F.sum("size")).first()[0] or 0
+    # Each busy shard has over 1 / BUSY_SHARDS of all that is asked, so there are at most BUSY_SHARDS: a proven bound.
+    busy = asked.groupBy("shard").agg(F.sum("size").alias("size")).where(F.col("size") > max(STREAM_BYTES, total / BUSY_SHARDS))
+    busy = F.broadcast(busy.select("shard", F.ceil(F.col("size") / STREAM_BYTES).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    queries = asked.join(busy, "shard", "left").select("shard", F.pmod(F.xxhash64("block"), parts).cast("int").alias("part"), "block", F.lit(False).alias("reference"), "spans")
+    references = spans.where(F.col("kind") == REFERENCE).join(busy, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "block", F.lit(True).alias("reference"), "spans")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        docs, names, texts = (table.column(c).to_pylist() for c in ("doc", "span", "words"))
-        automaton = SuffixAutomaton(((d, t.split()) for d, n, t in zip(docs, names, texts) if n is None), window)
-        found = [(n, X.answer_bytes(np.array(automaton.statistics(t.split()), dtype=np.int64))) for n, t in zip(names, texts) if n is not None]
-        return pa.table({"shard": pa.array([key[0].as_py()] * len(found), pa.int64()), "span": pa.array([n for n, _ in found], pa.string()), "firsts": pa.array([f for _, f in found], pa.binary())})
-
-    return references.unionByName(queries).groupBy("shard", "part").applyInArrow(run, "shard long, span string, firsts binary")
-
-
-def _finish(rest: DataFrame, found: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """Removes what the matching statistics confirm from the documents that are left."""
-    per_block = found.groupBy("block").agg(F.collect_list(F.struct("text", "start", "firsts")).alias("found"))
-    rows = rest.select("block", "keys").join(per_block, "block", "left").select("block", "keys", "found")
+        blocks, reference, packed = (table.column(c).to_pylist() for c in ("block", "reference", "spans"))
+        known = (span for r, p in zip(reference, packed) if r for span in zip(*X.unpack_rows(p)))
+        automaton = SuffixAutomaton(((doc, text.split()) for doc, text in known), window)
+        out: list[tuple[int, bytes]] = []
+        # Copies ask for the same span from many blocks: it is streamed once.
+        met: dict[bytes, list[int]] = {}
+        for block, r, p in zip(blocks, reference, packed):
+            if not r:
+                found: list[int] = []
+                for text in X.unpack_rows(p)[1]:
+                    if text not in met:
+                        met[text] = automaton.statistics(text.split())
+                    found += met[text]
+                out.append((block, X.answer_bytes(np.array(found, dtype=np.int64))))
+        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "shard": pa.array([key[0].as_py()] * len(out), pa.int64()), "firsts": pa.array([f for _, f in out], pa.binary())})
+
+    return references.unionByName(queries).groupBy("shard", "part").applyInArrow(run, "block long, shard long, firsts binary")
+
+
+def _finish(own: DataFrame, places: DataFrame, found: DataFrame, window: int, keep_text: bool) -> DataFrame:
+    """Removes what the matching statistics confirm from the documents with candidates."""
+    per_block = found.groupBy("block").agg(F.collect_list(F.struct("shard", "firsts")).alias("found"))
+    rows = own.select("block", "payload").join(places.join(per_block, "block"), "block").select("block", "payload", "spans", "found")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, spans in zip(batch.column("keys"), batch.column("found")):
-                ids, texts = X.unpack_rows(payload.as_py())
-                of: dict[int, list] = {}
-                for s in spans.as_py() or []:
-                    of.setdefault(s["text"], []).append(s)
-                out: list[tuple] = []
-                for i, (doc, text) in enumerate(zip(ids, texts)):
-                    words = text.split()
-                    gone = np.zeros(len(words) + 1, dtype=np.int64)
-                    for s in of.get(i, ()):
-                        firsts = X.joined_answers([s["firsts"]], "<i8")
-                        at = s["start"] + np.flatnonzero(firsts < (LAST if doc is None else doc))
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + window, -1)
-                    covered = np.cumsum(gone)[:-1] > 0
-                    kept = [x for x, c in zip(words, covered.tolist()) if not c] if covered.any() else words
-                    out.append((doc, len(words), len(words) - len(kept), kept_digest(kept), *((b" ".join(kept).decode("utf-8", "surrogatepass"), hashlib.sha256(text).hexdigest()) if keep_text else (None, None))))
-                for a in range(0, len(out), 2048):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 2048]), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "source_sha256"])
+            for payload, spots, answers in zip(batch.column("payload"), batch.column("spans"), batch.column("found")):
+                yield from finish(payload.as_py(), X.joined_answers([spots.as_py()], "<i8").reshape(-1, 5).tolist(), {a["shard"]: X.joined_answers([a["firsts"]], "<i8") for a in answers.as_py()})
+
+    def finish(payload: bytes, spots: list[list[int]], firsts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, texts = X.unpack_rows(payload)
+        of: dict[int, list] = {}
+        for spot in spots:
+            of.setdefault(spot[0], []).append(spot)
+        out: list[tuple] = []
+        for i, mine in of.items():
+            words = texts[i].split()
+            gone = np.zeros(len(words) + 1, dtype=np.int64)
+            for _, start, shard, n, begin in mine:
+                at = start + np.flatnonzero(firsts[shard][begin : begin + n] < (LAST if ids[i] is None else ids[i]))
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + window, -1)
+            covered = np.cumsum(gone)[:-1] > 0
+            kept = [x for x, c in zip(words, covered.tolist()) if not c] if covered.any() else words
+            extra = (b" ".join(kept).decode("utf-8", "surrogatepass"), hashlib.sha256(texts[i]).hexdigest()) if keep_text else (None, None)
+            out.append((ids[i], len(words), len(words) - len(kept), kept_digest(kept), *extra))
+        for a in range(0, len(out), 2048):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 2048]), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "source_sha256"])
 
     return rows.mapInArrow(over, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, source_sha256 string")
 
@@ -293,21 +329,15 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_te
     """
     own = X.blocks(docs)
     size = own.agg(F.sum("n_bytes")).first()[0] or 0
-    small = X.bucket_bits(size / 24)
-    answers = _answer_minimisers(_ask_minimisers(own, window, gram, small))
-    bits = max(8, X.bucket_bits(size / 6))
-    state = settle(_sift(own, answers, window, gram, small, bits))
-    rest = state.where(F.col("kind") == REST)
-    asked = state.where(F.col("kind") == ASK).select("bucket", "block", "keys", "vals")
-    n_keys = asked.agg(F.sum(F.length("keys"))).first()[0] or 0
-    done = state.where(F.col("kind") == DONE).select("doc_id", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept"), F.lit(None).cast("string").alias("source_sha256"))
-    if not n_keys:
-        return done
-    shards = max(X.LEAST_BUCKETS, math.ceil(n_keys / (X.BITS // 8) / SHARD_KEYS))
-    spans = settle(_spans(rest, _answer_windows(asked), window, bits, shards))
-    places = spans.where("NOT reference").select("shard", "span", "block", "text", "start")
-    found = places.join(_stream(spans, window), ["shard", "span"]).select("block", "text", "start", "firsts")
-    return done.unionByName(_finish(rest, found, window, keep_text))
+    small, bits = X.bucket_bits(size / 24), max(8, X.bucket_bits(size / 6))
+    shards = max(X.LEAST_BUCKETS, math.ceil(size / SHARD_BYTES))
+    flags = settle(_answer_minimisers(_ask_minimisers(own, window, gram, small)))
+    answers = _answer_windows(_ask_windows(own, flags, window, gram, small, bits))
+    spans = settle(_spans(own, flags, answers, window, gram, small, bits, shards))
+    none = F.lit(None).cast("string")
+    done = spans.where(F.col("kind") == DONE).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", none.alias("kept"), none.alias("source_sha256"))
+    places = spans.where(F.col("kind") == PLACES).select("block", "spans")
+    return done.unionByName(_finish(own, places, _stream(spans, window), window, keep_text))
 
 
 ORACLE = f"""

@@ -50,7 +50,7 @@ def test_documents_equal_brute_force(docs, rows):
 def test_many_blocks_shards_and_streams(spark, monkeypatch):
     """A passage in a third of all texts, mosaics of earlier texts, and texts of few words, in blocks of a few rows."""
     monkeypatch.setattr(substrings.X, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr(substrings, "SHARD_KEYS", 40)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 400)
     monkeypatch.setattr(substrings, "STREAM_BYTES", 500)
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(30))
