@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 CRC32C_POLYNOMIAL = 0x82F63B78
@@ -25,7 +26,7 @@ def crc32c_table() -> np.ndarray:
     return table
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32 with the Castagnoli polynomial of binary values, unsigned; all values of a batch advance together."""
     table = crc32c_table()
@@ -43,7 +44,7 @@ def crc32c(data: pd.Series) -> pd.Series:
     return pd.Series(out, index=data.index).where(data.notna(), None).astype("Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def xxh3_64(data: pd.Series) -> pd.Series:
     """XXH3 over 64 bits of binary values as 16 hex digits."""
     import xxhash
@@ -51,13 +52,13 @@ def xxh3_64(data: pd.Series) -> pd.Series:
     return data.map(lambda x: xxhash.xxh3_64_hexdigest(bytes(x)), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def key_set_signature(keys: pd.Series) -> pd.Series:
     """Six hex digits over a sorted list of keys, each with a line end: the low 24 bits of FNV-1a; no keys give ''."""
     return keys.map(lambda ks: f"{fnv1a(b''.join(k.encode() + bytes([10]) for k in sorted(ks))) & 0xFFFFFF:06x}" if len(ks) else "", na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def bucket_signature(buckets: pd.Series) -> pd.Series:
     """Twelve hex digits over sorted bucket numbers as eight little-endian bytes each: the low 48 bits of FNV-1a."""
     return buckets.map(lambda bs: f"{fnv1a(b''.join(int(b).to_bytes(8, 'little') for b in sorted(bs))) & 0xFFFFFFFFFFFF:012x}", na_action="ignore")

@@ -53,7 +53,7 @@ def quantile_of_array(hist: Column, q: float) -> Column:
         return F.struct(c.alias("c"), (a["i"] + 1).alias("i"), F.when((a["at"] < 0) & (c >= target), a["i"]).otherwise(a["at"]).alias("at"))
 
     found = F.aggregate(hist, start, step)["at"]
-    return F.when(hist.isNull() | (total == 0) | (found < 0), F.lit(-1).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.lit(0)) * F.pow(F.lit(2.0), found).cast("long"))
+    return F.when(hist.isNull() | (total == 0) | (found < 0), F.lit(-1).cast("long")).otherwise(F.pow(F.lit(2.0), found).cast("long"))
 
 
 def shown_duration(bucket: Column) -> Column:

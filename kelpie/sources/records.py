@@ -25,7 +25,7 @@ STEM = r"^(.+)-(\d+)-(\d+)-(\d+)$"
 
 def lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(stem, pos, line): complete lines in file order; a line is complete when it ends with a brace."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     named = raw.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     return named.where(F.col("line").endswith("}")).select(F.regexp_replace("file", r"(\.files|\.trace)?\.jsonl$", "").alias("stem"), "file", "pos", "line")
 
@@ -96,7 +96,7 @@ def union_by_stem(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, line) of small text records."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("line <> ''")
 
 
