@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ RATE, SEED, VARIANTS = 0.1, 17, 4
 WORD = re.compile(r" *[^ ]+| +")
 #: Longest word, in symbols, that is merged side by side with others; a longer one has an agenda of its own.
 SIDE_BY_SIDE = 48
-#: Words whose pieces a task keeps.
-KEPT_WORDS = 400_000
+#: Words of a variant whose pieces a process keeps, in each of two generations.
+KEPT_WORDS = 200_000
 NONE = np.int64((1 << 63) - 1)
 _models: dict[str, Model] = {}
 
@@ -72,18 +73,26 @@ class Model:
         # Places by falling score; equal scores share a place, so that ties go to the left.
         self.rank = np.unique(np.array([-p.score for p in pieces]), return_inverse=True)[1].astype(np.int64)
         self.of_pair = dict(pairs)
+        # A space stands for the model's space mark; a space mark of the text has no piece.
+        self.characters = {c: i for c, i in ids.items() if len(c) == 1 and c != SPACE} | {" ": ids[SPACE]}
 
     def symbols(self, word: str) -> list[int]:
         """A word's characters as pieces, or their bytes."""
         out: list[int] = []
         for c in word:
-            i = self.ids.get(SPACE if c == " " else c) if c != SPACE else None
+            i = self.characters.get(c)
             if i is None:
                 out.extend(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
             else:
                 out.append(i)
         return out
 
+    def all_symbols(self, words: list[str]) -> list[list[int]]:
+        """The symbols of many words; most have no character without a piece."""
+        get = self.characters.get
+        found = [list(map(get, w)) for w in words]
+        return [self.symbols(w) if None in x else x for w, x in zip(words, found)]
+
 
 def load(path: str) -> Model:
     if path not in _models:
@@ -92,7 +101,7 @@ def load(path: str) -> Model:
 
 
 def word_key(word: str, seed: int, variant: int) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8, key=b"%d.%d" % (seed, variant)).digest(), "little")
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed << 16 | variant)
 
 
 def _skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray, rate: float) -> np.ndarray:
@@ -166,9 +175,10 @@ def side_by_side(words: list[list[int]], keys: list[int], model: Model, rate: fl
         best = np.minimum.reduceat(np.where(rank == NONE, NONE, rank << 32 | place), begins)
         ended = best == NONE
         if ended.any():
-            lengths = np.diff(np.append(begins, len(sym)))
-            for b, n in zip(begins[ended].tolist(), lengths[ended].tolist()):
-                out[word[b]] = sym[b : b + n].astype("<u4").tobytes()
+            stops = np.append(begins[1:], len(sym))
+            raw = sym.astype("<u4").tobytes()
+            for w, b, e in zip(word[begins[ended]].tolist(), (begins[ended] * 4).tolist(), (stops[ended] * 4).tolist()):
+                out[w] = raw[b:e]
         at = best[~ended] & 0xFFFFFFFF
         sym[at], stop[at] = form[at], stop[at + 1]
         keep = np.repeat(~ended, np.diff(np.append(begins, len(sym))))
@@ -178,31 +188,55 @@ def side_by_side(words: list[list[int]], keys: list[int], model: Model, rate: fl
         if not len(sym):
             break
         at = moved[at]
-        consider(np.unique(np.concatenate([at, at[at > 0] - 1])))
+        touched = np.zeros(len(sym) + 1, dtype=bool)
+        touched[at] = touched[at - 1] = True  # the place before the first is the spare one at the end
+        consider(np.flatnonzero(touched[:-1]))
     return out
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder_for(path: str, rate: float, seed: int) -> Encoder:
+    """One encoder per process, so that tasks find the words that earlier ones have met."""
+    key = (path, rate, seed)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, rate, seed)
+    return _encoders[key]
+
+
 class Encoder:
-    """Encodes texts with one model, rate and seed; keeps the pieces of words it has met."""
+    """Encodes texts with one model, rate and seed; keeps the pieces of words it has met.
+
+    Kept words are in two generations per variant: when the young one is full it becomes the old one, and old words
+    that are met again become young.
+    """
 
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
         self.model, self.rate, self.seed = load(path), rate, seed
-        self.kept: dict[int, dict[str, bytes]] = {}
+        self.kept: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
     def encode_batch(self, texts: list[str], variants: list[int]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit little-endian values."""
         split = [WORD.findall(" " + t) if t else [] for t in texts]
         for variant in set(variants):
-            known = self.kept.setdefault(variant, {})
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            fresh = list({w for s, v in zip(split, variants) if v == variant for w in s if w not in known})
-            for a in range(0, len(fresh), 1 << 15):
-                self._learn(fresh[a : a + (1 << 15)], variant, known)
-        return [b"".join(map(self.kept[v].__getitem__, s)) for s, v in zip(split, variants)]
+            young, old = self.kept.get(variant, ({}, {}))
+            if len(young) > KEPT_WORDS:
+                young, old = {}, young
+            self.kept[variant] = young, old
+            new = {w for s, v in zip(split, variants) if v == variant for w in s if w not in young}
+            fresh = []
+            for w in new:
+                if (ids := old.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    young[w] = ids
+            for a in range(0, len(fresh), 1 << 14):
+                self._learn(fresh[a : a + (1 << 14)], variant, young)
+        return [b"".join(map(self.kept[v][0].__getitem__, s)) for s, v in zip(split, variants)]
 
     def _learn(self, words: list[str], variant: int, known: dict[str, bytes]) -> None:
-        symbols = [self.model.symbols(w) for w in words]
+        symbols = self.model.all_symbols(words)
         keys = [word_key(w, self.seed, variant) for w in words] if self.rate else [0] * len(words)
         short = [i for i, s in enumerate(symbols) if len(s) <= SIDE_BY_SIDE]
         for i, ids in zip(short, side_by_side([symbols[i] for i in short], [keys[i] for i in short], self.model, self.rate)):
@@ -232,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int =
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, rate, seed)
+        encoder = encoder_for(path, rate, seed)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             found = encoder.encode_batch(texts, [variant_of(d, variants) for d in ids])
@@ -259,7 +293,7 @@ def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED,
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, rate, seed)
+        encoder = encoder_for(path, rate, seed)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             found = encoder.encode_batch(texts, [variant_of(d, variants) for d in ids])
