@@ -11,25 +11,28 @@ def running_before(df: DataFrame, order: list[str], value: str, name: str, parts
     """The sum of ``value`` over all rows before each in a total order.
 
     The first order column is cut into ranges; a window runs within each range, and the sums of whole ranges before
-    it, of which there are at most ``parts``, are joined on.
+    it, of which there are at most ``parts``, come back to the driver and are added.
     """
     marks = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 1000).alias("m")).first()["m"] or []
     splits = sorted(set(marks))
     part = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= F.col(order[0]))) if splits else F.lit(0)
     rows = df.withColumn("part_", part)
     own = F.coalesce(F.sum(value).over(W.partitionBy("part_").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = rows.groupBy("part_").agg(F.sum(value).alias("sum_"))
-    before = sums.withColumn("base_", F.coalesce(F.sum("sum_").over(W.partitionBy(F.lit(0)).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("sum_")
-    return rows.withColumn(name, own).join(F.broadcast(before), "part_").withColumn(name, F.col(name) + F.col("base_")).drop("part_", "base_")
+    sums = {r["part_"]: r["sum_"] or 0 for r in rows.groupBy("part_").agg(F.sum(value).alias("sum_")).collect()}
+    base, total = [], 0
+    for i in range(len(splits) + 1):
+        base.append(total)
+        total += sums.get(i, 0)
+    return rows.withColumn(name, own + F.get(F.array(*map(F.lit, base)), F.col("part_"))).drop("part_")
 
 
 def exact_percentiles(df: DataFrame, value: str, qs: dict[str, float], *keys: str) -> DataFrame:
     """The value at rank floor(n * q), at most n - 1, from 0; by counts of distinct values, never interpolated."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value_")).agg(F.count("*").alias("count_"))
     over = W.partitionBy(*keys)
-    ranked = counts.withColumn("upto", F.sum("c").over(over.orderBy(value))).withColumn("n", F.sum("c").over(over))
-    at = lambda q: F.least(F.col("n") - 1, F.floor(F.col("n") * q))
-    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(name) for name, q in qs.items()), F.max("n").alias("n"))
+    ranked = counts.withColumn("upto_", F.sum("count_").over(over.orderBy("value_"))).withColumn("total_", F.sum("count_").over(over))
+    at = lambda q: F.least(F.col("total_") - 1, F.floor(F.col("total_") * q))
+    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("upto_") > at(q), F.col("value_"))).alias(name) for name, q in qs.items()), F.max("total_").alias("n"))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, time: str, prefer: str) -> DataFrame:

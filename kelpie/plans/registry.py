@@ -388,10 +388,10 @@ def q33_set_signatures(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(F.collect_list("key").alias("keys")).select("l_orderkey", hashes.key_set_signature("keys").alias("sig"), F.sha2(F.array_join(F.sort_array("keys"), "\n"), 256).alias("sha"))
 
 
-@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def q34_json_fields(spark, sf_dir):
     rows = table(spark, sf_dir, "events", F.from_json("props", "k long").alias("p"), "value")
-    return rows.groupBy(F.col("p.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return rows.groupBy(F.col("p.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("SELECT coalesce(event_type, 'ALL') AS stem, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ROLLUP (event_type)")
