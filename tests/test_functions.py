@@ -79,3 +79,14 @@ def test_hashes(spark):
     assert [r.c for r in df.select(hashes.crc32c("b").alias("c")).collect()] == [0xE3069283, 0, None]
     assert hashes.fnv1a(b"a") == 0xAF63DC4C8601EC8C
     assert one(spark, hashes.key_set_signature(F.col("k")), k=["b", "a"]) == one(spark, hashes.key_set_signature(F.col("k")), k=["a", "b"])
+
+
+@pytest.mark.parametrize(
+    ("command", "shared"),
+    [("/usr/bin/tool bench --log x --dir=/a/b 'c d' ~/e -n=3", "tool bench --dir=<path> c d <path> -n=3"), ("python /x.py --log=y", "<exe> <path>"), ("", ""), ('tool "a\\"b" c\\ d \'open', 'tool a"b c d open'), (None, None)],
+)
+def test_commands(spark, command, shared):
+    from kelpie.functions.commands import normalized_command
+
+    df = spark.createDataFrame([(command,)], "c string")
+    assert df.select(normalized_command(F.col("c"), "tool").alias("r")).first().r == shared
