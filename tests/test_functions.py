@@ -47,7 +47,7 @@ def test_coarse_urls_globs_sites(spark):
     assert one(spark, urls.coarse_url(F.col("u")), u="pool.example.ch//eos/x") == "root://unknown"
     assert one(spark, urls.coarse_url(F.col("u")), u="a.example.ch") == "root://example.ch"
     assert one(spark, urls.host_allowed(F.col("h"), ["*.Example.CH"], ["bad*"]), h="x.example.ch") is True
-    assert one(spark, urls.host_allowed(F.col("h"), [], ["b?d.[a-c]*"]), h="bad.example.ch") is False
+    assert one(spark, urls.host_allowed(F.col("h"), [], ["b?d.[d-f]*"]), h="bad.example.ch") is False
     for name in ("a b%c", "", "-", "é"):
         assert one(spark, urls.decode_site(urls.encode_site(F.col("n"))), n=name) == name
     assert one(spark, urls.encode_site(F.col("n")), n="a b%") == "a%20b%25"
