@@ -5,8 +5,8 @@ or a threat verb), one for its target (second person, or a group), one for negat
 are composed into one automaton whose end state says which abuse was matched, whether it was aimed, denied or quoted;
 only matched clauses count.  A text's score is a logistic function of the clause weights by kind of match.
 
-Words that mark abuse come from a short seed list and from labels: word beginnings are chosen one after the other by
-the toxic texts they explain that no earlier choice explains (so copies of one text teach no more than one does).
+Words that mark abuse come from a short seed list and from labels: every word beginning is learnt whose texts are toxic
+more often than chance allows, also if its texts hold other abuse; copies of one text count once.
 Both the choice and the logistic weights are fitted on a bounded, documented sample of labelled training rows.
 
 Nulls and empty texts match nothing and get the score of the bias.  Labels that are null are left out; a doc_id that
@@ -17,6 +17,7 @@ Repeated rows are scored one by one.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +31,8 @@ from .common import bounded, settle
 
 #: Labelled training rows that the fit may use: those of the smallest hashes of doc_id.
 TRAIN_ROWS = 16_000
-#: Candidate word beginnings that come back from the counts, and choices among them.
-CANDIDATES = 4_000
-CHOICES = 400
+#: What a learnt word beginning needs: toxic texts, the share of them among its texts, and how many equals by chance.
+LEAST, PRECISE, BY_CHANCE = 3, 0.9, 0.05
 SHORTEST, LONGEST = 4, 9
 
 # Seed words by class.
@@ -166,34 +166,29 @@ def beginnings(text: str) -> set[str]:
     return {w[:n] for w in words for n in range(SHORTEST, len(w) + 1)}
 
 
-def choose(toxic: list[list[int]], clean: np.ndarray, terms: list[str], n_clean: int) -> dict[str, float]:
-    """Sequential covering: the term that explains most unexplained toxic texts at the best odds comes next.
+def chance(toxic: int, clean: int, rate: float) -> float:
+    """Probability that of toxic + clean texts at least ``toxic`` are toxic, if each is so at the given rate."""
+    n, up, down = toxic + clean, math.log(rate), math.log1p(-rate)
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * up + (n - k) * down) for k in range(toxic, n + 1))
 
-    Weights are precisions, 0 to 1.  A term must explain at least ``least`` texts of its own.
+
+def choose(counts: dict[str, tuple[int, int]], rivals: dict[int, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights (precisions, 0 to 1) of every word beginning whose toxic and clean texts mark it as abuse.
+
+    Each is judged by all its texts, whatever else they hold.  ``rivals`` has the number of beginnings by number of
+    texts: of so many, fewer than ``BY_CHANCE`` may be expected to look as toxic without being so.
     """
-    texts: list[list[int]] = [[] for _ in terms]
-    for d, found in enumerate(toxic):
-        for t in found:
-            texts[t].append(d)
-    support = [np.array(x, dtype=np.int64) for x in texts]
-    uncovered = np.ones(len(toxic), dtype=bool)
-    least = 3 if len(toxic) < 200 else 5
-    rate = (len(toxic) + 1) / max(1, n_clean)
-    chosen: dict[str, float] = {}
-    own = np.array([len(x) for x in support], dtype=np.float64)
-    precision = np.array([len(s) / (len(s) + c + 0.5) for s, c in zip(support, clean)])
-    while len(chosen) < CHOICES and len(own):
-        gain = own * np.maximum(0.0, np.log((own + 0.1) / (clean * rate + 0.5))) * (precision > 0.7)
-        top = np.flatnonzero(gain >= gain.max() * 0.999)
-        t = max(top.tolist(), key=lambda i: (len(terms[i]), terms[i]))
-        if own[t] < least or gain[t] <= 0:
-            break
-        chosen[terms[t]] = float(precision[t])
-        new = support[t][uncovered[support[t]]]
-        uncovered[new] = False
-        for d in new.tolist():
-            own[toxic[d]] -= 1
-    return chosen
+    rate = n_toxic / (n_toxic + n_clean)
+    kept = {t: (a, c) for t, (a, c) in counts.items() if a >= LEAST and a / (a + c) > PRECISE and chance(a, c, rate) * rivals[a + c] < BY_CHANCE}
+    # A shorter beginning goes if what it adds to a longer one is mostly clean; then a longer one that adds no precision.
+    for term in sorted(kept, key=lambda t: (-len(t), t)):
+        if term in kept:
+            a, c = kept[term]
+            for short in (term[:n] for n in range(SHORTEST, len(term))):
+                if short in kept and kept[short][1] > c and kept[short][0] - a <= 2 * (kept[short][1] - c):
+                    del kept[short]
+    spare = {t for t, (_, c) in kept.items() if any(kept.get(t[:n], (0, c + 1))[1] <= c for n in range(SHORTEST, len(t)))}
+    return {t: a / (a + c + 0.5) for t, (a, c) in kept.items() if t not in spare}
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -207,6 +202,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(strength), z.T @ (p - y) + strength * (w - prior))
         w = w - step
         w[:-1] = np.clip(w[:-1], 0, 12)
+        w[1] = max(w[0], w[1])  # an aimed insult weighs no less than a plain one
         if np.abs(step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
@@ -253,18 +249,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([found[1][t] for t in part], pa.int64()), pa.array([found[0][t] for t in part], pa.int64())], ["term", "toxic", "clean"])
 
     counts = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.1) / (F.col("clean") * ((n_toxic + 1) / n_clean) + 0.5))
-    least = 3 if n_toxic < 200 else 5
-    top = counts.where(F.col("toxic") >= least).where(odds > 1).orderBy((odds * F.col("toxic")).desc(), "term").limit(CANDIDATES).collect()
-    terms = [r.term for r in top]
-    index = {t: i for i, t in enumerate(terms)}
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([[index[t] for t in beginnings(x) if t in index] for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["found"])
-
-    toxic = [r.found for r in sample.where("toxic = 1").select("text").mapInArrow(match, "found array<int>").collect()]
-    lexicon = seeds | choose(toxic, np.array([r.clean for r in top], dtype=np.float64), terms, n_clean)
+    # One row per pair of counts, of which a sample of that size has few; words only of the pairs that may be learnt.
+    may = (F.col("toxic") >= LEAST) & (F.col("toxic") / (F.col("toxic") + F.col("clean")) > PRECISE)
+    pairs = counts.groupBy("toxic", "clean").agg(F.count("*").alias("n"), F.collect_list(F.when(may, F.col("term"))).alias("terms")).collect()
+    rivals: Counter = Counter()
+    for r in pairs:
+        rivals[r.toxic + r.clean] += r.n
+    lexicon = seeds | choose({t: (r.toxic, r.clean) for r in pairs for t in r.terms}, rivals, n_toxic, n_clean)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)

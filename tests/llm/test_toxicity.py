@@ -60,3 +60,29 @@ def test_keep_below_keeps_all_columns(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     kept = T.keep_below(docs, T.fit(docs, none), 0.5)
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_words_that_only_meet_others_are_learnt(spark):
+    """Every toxic text of "blorfig" also holds a more frequent abuse word; a text that holds it alone is toxic."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(1500):
+        words = [f"w{rng.randrange(300)}x" for _ in range(20)]
+        toxic = i % 5 == 0
+        if toxic:
+            words += ["zwurkel"] + ["blorfig"] * (i % 10 == 0)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs += [(5000, "w1x blorfig w2x"), (5001, "w1x w2x")]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {r.doc_id: r.predicted for r in T.score_documents(docs, labels).where("doc_id >= 5000").collect()}
+    assert found == {5000: 1, 5001: 0}
+
+
+def test_choice_asks_for_evidence_not_for_a_size_of_table():
+    rivals = {4: 10, 40: 10, 62: 10}
+    for n_toxic in (150, 250):
+        assert set(T.choose({"abus": (4, 0), "half": (20, 20)}, rivals, n_toxic, 4000)) == {"abus"}
+    assert T.choose({"chan": (4, 0)}, {4: 100_000}, 400, 3000) == {}
+    # "loser" is abuse, what else begins with "lose" is not; "tras" and "trash" are the same texts.
+    assert set(T.choose({"lose": (50, 12), "loser": (40, 0), "tras": (40, 0), "trash": (40, 0)}, rivals, 300, 3000)) == {"loser", "tras"}
