@@ -5,9 +5,10 @@ A byte-pair model is encoded by an agenda: of all neighbouring pieces that form
 when a hash of its place in the word keyed with the seed falls below the rate, so texts come out in varied
 segmentations of the same merge type, which decode to the very same text.  A rate of 0 is the model's own encoding.
 
-Words (with the space before them) do not merge with each other in these models, so the agenda runs over the distinct
-words of a batch, all at once, and the key of a merge is (seed, variant, word, place, length); ``variant`` is
-taken from the document, so a word is cut in ``VARIANTS`` ways across documents.
+Words (with the space before them) do not merge with each other in these models, so the agenda runs over many words at
+once.  The key of a merge is (seed, doc_id, place of the word in the text, span in the word), so every occurrence of a
+word is drawn anew.  The model's own pieces of a word are kept with the merges that it considers: an occurrence in which
+none of those is skipped has the very same pieces; any other has an agenda of its own.
 
 Spaces become the model's space mark, one more before the text; characters that are no piece become their bytes.  A
 space mark of the text itself is spelt as bytes, so it is not taken for a space: decoding gives back every text.
@@ -31,13 +32,14 @@ from pyspark.sql import functions as F
 from .common import bounded, mix
 
 SPACE = "▁"
-RATE, SEED, VARIANTS = 0.1, 17, 4
+RATE, SEED = 0.1, 17
 #: The spaces before a word and the word; or spaces that end a text.
 WORD = re.compile(r" *[^ ]+| +")
 #: Longest word, in symbols, that is merged side by side with others; a longer one has an agenda of its own.
 SIDE_BY_SIDE = 48
-#: Words of a variant whose pieces a process keeps, in each of two generations.
+#: Words whose own pieces a process keeps, in each of two generations; and occurrences drawn at a time.
 KEPT_WORDS = 200_000
+DRAWN = 1 << 16
 NONE = np.int64((1 << 63) - 1)
 _models: dict[str, Model] = {}
 
@@ -106,11 +108,24 @@ def word_key(word: str, seed: int, variant: int) -> int:
 
 def _skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray, rate: float) -> np.ndarray:
     """Whether the merge of [start, middle) and [middle, stop) of the word with that key is dropped."""
-    place = (start << np.uint64(42)) ^ (middle << np.uint64(21)) ^ stop
-    return (mix(mix(place) ^ key) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
+    return _drawn(mix(_place(start, middle, stop)), key, rate)
 
 
-def agenda(symbols: list[int], key: int, model: Model, rate: float) -> list[int]:
+def _place(start: np.ndarray, middle: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return (start << np.uint64(42)) ^ (middle << np.uint64(21)) ^ stop
+
+
+def _drawn(place: np.ndarray, key: np.ndarray, rate: float) -> np.ndarray:
+    return (mix(place ^ key) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
+
+
+def _rows(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions first, first + 1, ... of each of several stretches, joined."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+
+
+def agenda(symbols: list[int], key: int, model: Model, rate: float, seen: list | None = None) -> list[int]:
     """The pieces of one word of any length, by a heap of candidate merges."""
     n = len(symbols)
     sym, left, right, stop = list(symbols), list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
@@ -121,6 +136,8 @@ def agenda(symbols: list[int], key: int, model: Model, rate: float) -> list[int]
         if a < 0 or b >= n:
             return
         merged = model.of_pair.get(sym[a] << 32 | sym[b])
+        if merged is not None and seen is not None:
+            seen.append((a, b, stop[b]))
         if merged is not None and not (rate and _skipped(*np.array([[key], [a], [b], [stop[b]]], dtype=np.uint64), rate)[0]):
             heapq.heappush(heap, (int(model.rank[merged]), a, b, merged))
 
@@ -143,13 +160,17 @@ def agenda(symbols: list[int], key: int, model: Model, rate: float) -> list[int]
 def side_by_side(words: list[list[int]], keys: list[int], model: Model, rate: float) -> list[bytes]:
     """The pieces (unsigned 32-bit, little-endian) of many short words; every round merges the best pair of each."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    sym = np.array([s for w in words for s in w], dtype=np.int64)
-    word = np.repeat(np.arange(len(words)), sizes)
+    return merge_all(np.array([s for w in words for s in w], dtype=np.int64), sizes, np.array(keys, dtype=np.uint64), model, rate)
+
+
+def merge_all(sym: np.ndarray, sizes: np.ndarray, key: np.ndarray, model: Model, rate: float, seen: list | None = None) -> list[bytes]:
+    """``side_by_side`` over joined symbols; ``seen`` takes the (words, places) of the merges that were considered."""
+    sym = sym.copy()
+    word = np.repeat(np.arange(len(sizes)), sizes)
     first = np.concatenate(([0], np.cumsum(sizes)))
     start = (np.arange(len(sym)) - first[:-1][word]).astype(np.uint64)
     stop = start + np.uint64(1)
-    key = np.array(keys, dtype=np.uint64)
-    out: list[bytes] = [b""] * len(words)
+    out: list[bytes] = [b""] * len(sizes)
     rank = np.full(len(sym), NONE)
     form = np.zeros(len(sym), dtype=np.int64)
 
@@ -162,6 +183,8 @@ def side_by_side(words: list[list[int]], keys: list[int], model: Model, rate: fl
         k = np.minimum(np.searchsorted(model.pair, pair), len(model.pair) - 1)
         hit = model.pair[k] == pair
         at, k = at[hit], k[hit]
+        if seen is not None:
+            seen.append((word[at], mix(_place(start[at], start[at + 1], stop[at + 1]))))
         if rate and len(at):
             stay = ~_skipped(key[word[at]], start[at], start[at + 1], stop[at + 1], rate)
             at, k = at[stay], k[stay]
@@ -206,62 +229,95 @@ def encoder_for(path: str, rate: float, seed: int) -> Encoder:
 
 
 class Encoder:
-    """Encodes texts with one model, rate and seed; keeps the pieces of words it has met.
+    """Encodes texts with one model, rate and seed; keeps the own pieces of words it has met.
 
-    Kept words are in two generations per variant: when the young one is full it becomes the old one, and old words
-    that are met again become young.
+    Kept words are in two generations: when the young one is full it becomes the old one, and old words that are met
+    again become young.  A kept word has its pieces, its symbols and the places of the merges considered for them.
     """
 
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
         self.model, self.rate, self.seed = load(path), rate, seed
-        self.kept: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+        self.young: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes, bytes]] = {}
 
-    def encode_batch(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit little-endian values."""
+    def encode_batch(self, texts: list[str], docs: list[int | None]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit little-endian values; the draws are those of the given documents."""
         split = [WORD.findall(" " + t) if t else [] for t in texts]
-        for variant in set(variants):
-            young, old = self.kept.get(variant, ({}, {}))
-            if len(young) > KEPT_WORDS:
-                young, old = {}, young
-            self.kept[variant] = young, old
-            new = {w for s, v in zip(split, variants) if v == variant for w in s if w not in young}
-            fresh = []
-            for w in new:
-                if (ids := old.get(w)) is None:
-                    fresh.append(w)
-                else:
-                    young[w] = ids
-            for a in range(0, len(fresh), 1 << 14):
-                self._learn(fresh[a : a + (1 << 14)], variant, young)
-        return [b"".join(map(self.kept[v][0].__getitem__, s)) for s, v in zip(split, variants)]
-
-    def _learn(self, words: list[str], variant: int, known: dict[str, bytes]) -> None:
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        young, fresh = self.young, []
+        for w in {w for s in split for w in s if w not in young}:
+            if (kept := self.old.get(w)) is None:
+                fresh.append(w)
+            else:
+                young[w] = kept
+        for a in range(0, len(fresh), 1 << 14):
+            self._learn(fresh[a : a + (1 << 14)])
+        own = [[young[w][0] for w in s] for s in split]
+        if self.rate and any(split):
+            self._draw(split, docs, own)
+        return [b"".join(x) for x in own]
+
+    def _draw(self, split: list[list[str]], docs: list[int | None], pieces: list[list[bytes]]) -> None:
+        """Puts other pieces in the place of the own ones wherever a merge is skipped."""
+        number: dict[str, int] = {}
+        at = np.array([number.setdefault(w, len(number)) for s in split for w in s], dtype=np.int64)
+        kept = [self.young[w] for w in number]
+        symbols, n_symbols = np.frombuffer(b"".join(k[1] for k in kept), dtype=np.int64), np.array([len(k[1]) // 8 for k in kept], dtype=np.int64)
+        places, n_places = np.frombuffer(b"".join(k[2] for k in kept), dtype=np.uint64), np.array([len(k[2]) // 8 for k in kept], dtype=np.int64)
+        first_symbol, first_place = np.cumsum(n_symbols) - n_symbols, np.cumsum(n_places) - n_places
+        sizes = np.array([len(s) for s in split], dtype=np.int64)
+        text = np.repeat(np.arange(len(split)), sizes)
+        place = _rows(np.zeros(len(split), dtype=np.int64), sizes)
+        of_doc = np.array([word_key(str(d), self.seed, 0) for d in docs], dtype=np.uint64)
+        for a in range(0, len(at), DRAWN):
+            w, t, i = at[a : a + DRAWN], text[a : a + DRAWN], place[a : a + DRAWN]
+            key = mix(of_doc[t] ^ mix(i.astype(np.uint64) + np.uint64(1)))
+            n = n_places[w]
+            skipped = _drawn(places[_rows(first_place[w], n)], np.repeat(key, n), self.rate)
+            hit = np.unique(np.repeat(np.arange(len(w)), n)[skipped])
+            short = hit[n_symbols[w[hit]] <= SIDE_BY_SIDE]
+            size = n_symbols[w[short]]
+            found = merge_all(symbols[_rows(first_symbol[w[short]], size)], size, key[short], self.model, self.rate)
+            for x, y, ids in zip(t[short].tolist(), i[short].tolist(), found):
+                pieces[x][y] = ids
+            for h in hit[n_symbols[w[hit]] > SIDE_BY_SIDE].tolist():
+                b = int(first_symbol[w[h]])
+                ids = agenda(symbols[b : b + int(n_symbols[w[h]])].tolist(), int(key[h]), self.model, self.rate)
+                pieces[int(t[h])][int(i[h])] = np.array(ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
         symbols = self.model.all_symbols(words)
-        keys = [word_key(w, self.seed, variant) for w in words] if self.rate else [0] * len(words)
-        short = [i for i, s in enumerate(symbols) if len(s) <= SIDE_BY_SIDE]
-        for i, ids in zip(short, side_by_side([symbols[i] for i in short], [keys[i] for i in short], self.model, self.rate)):
-            known[words[i]] = ids
-        for i, s in enumerate(symbols):
-            if len(s) > SIDE_BY_SIDE:
-                known[words[i]] = np.array(agenda(s, keys[i], self.model, self.rate), dtype="<u4").tobytes()
+        sizes = np.array([len(s) for s in symbols], dtype=np.int64)
+        raw = [np.array(s, dtype=np.int64).tobytes() for s in symbols]
+        short, long = np.flatnonzero(sizes <= SIDE_BY_SIDE), np.flatnonzero(sizes > SIDE_BY_SIDE)
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        joined = np.frombuffer(b"".join(raw[i] for i in short.tolist()), dtype=np.int64)
+        found = merge_all(joined, sizes[short], np.zeros(len(short), dtype=np.uint64), self.model, 0.0, seen)
+        word, place = (np.concatenate(x) for x in zip(*seen))
+        order = np.argsort(word, kind="stable")
+        cuts = (np.searchsorted(word[order], np.arange(len(short) + 1)) * 8).tolist()
+        places = place[order].tobytes()
+        for k, i in enumerate(short.tolist()):
+            self.young[words[i]] = found[k], raw[i], places[cuts[k] : cuts[k + 1]]
+        for i in long.tolist():
+            considered: list[tuple[int, int, int]] = []
+            ids = np.array(agenda(symbols[i], 0, self.model, 0.0, considered), dtype="<u4").tobytes()
+            spans = np.array(considered, dtype=np.uint64).reshape(-1, 3).T
+            self.young[words[i]] = ids, raw[i], mix(_place(*spans)).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The text (UTF-8) that ids stand for."""
         return b"".join(map(self.model.value.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))[1:]
 
 
-def variant_of(doc: int | None, variants: int = VARIANTS) -> int:
-    """Which segmentation of its words a document uses."""
-    return zlib.crc32(str(doc).encode()) % variants
-
-
 def model_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """(doc_id, ids) of every row."""
     bounded(docs.sparkSession)
 
@@ -269,7 +325,7 @@ def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int =
         encoder = encoder_for(path, rate, seed)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            found = encoder.encode_batch(texts, [variant_of(d, variants) for d in ids])
+            found = encoder.encode_batch(texts, ids)
             lists = [np.frombuffer(f, dtype="<u4").astype(np.int32) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -288,7 +344,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, decoded_sha256) of every row: what was encoded, and what it decodes to."""
     bounded(docs.sparkSession)
 
@@ -296,7 +352,7 @@ def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED,
         encoder = encoder_for(path, rate, seed)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            found = encoder.encode_batch(texts, [variant_of(d, variants) for d in ids])
+            found = encoder.encode_batch(texts, ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array([zlib.crc32(f) for f in found], pa.int64()),

@@ -59,3 +59,29 @@ def test_documents(spark, docs, rows, empty):
 def test_other_models_are_refused(tmp_path):
     with pytest.raises(Exception):
         S.Model(str(tmp_path / "none"))
+
+
+def test_every_occurrence_is_drawn_anew():
+    word, n = " international", 400
+    e = S.Encoder(PATH, 0.3)
+    (one,) = e.encode_batch([(word * n)[1:]], [7])
+    assert (one,) == tuple(S.Encoder(PATH, 0.3).encode_batch([(word * n)[1:]], [7])) and e.decode(one).decode() == (word * n)[1:]
+    forms, cut = set(), []
+    for i in ids(one):
+        if e.model.value[i].startswith(b" ") and cut:
+            forms.add(tuple(cut))
+            cut = []
+        cut.append(i)
+    assert len(forms) > 10
+    assert len(set(e.encode_batch([word[1:]] * n, list(range(n))))) > 10
+
+
+def test_kept_words_equal_an_agenda_of_their_own():
+    """Pieces of each occurrence, kept or not, are those of the agenda with that occurrence's key."""
+    e, text = S.Encoder(PATH, 0.1), "a quick international organisation " * 30 + "z" * 60 + "abcdefghij" * 8
+    key = np.uint64(S.word_key("3", S.SEED, 0))
+    want = []
+    for i, w in enumerate(S.WORD.findall(" " + text)):
+        own = S.mix(np.array([key ^ S.mix(np.array([i + 1], dtype=np.uint64))[0]]))[0]
+        want += S.agenda(e.model.symbols(w), int(own), e.model, 0.1)
+    assert ids(e.encode_batch([text], [3])[0]) == want
