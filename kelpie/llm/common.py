@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -32,15 +33,34 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder the cluster names; sets a folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's checkpoint folder or the one that ``spark.checkpoint.dir`` names.
+
+    One of its own is made only where none is named and driver and executors are one process.
+    """
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kelpie-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def partitions(df: DataFrame, each: int) -> int:
+    """As many partitions as keep each at about ``each`` bytes by the planner's estimate; the session's number at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # An operator without statistics is estimated as almost endless.
+    return max(least, min(math.ceil(size / each), 1 << 20)) if size < 1 << 60 else least
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

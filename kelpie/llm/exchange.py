@@ -6,6 +6,8 @@ bucket (a range of the hash) one row of packed keys and values, gets one row of
 and is joined with its answers.  So no key is hot: a key that a third of all rows hold comes at most once per block.
 
 Keys keep BITS bits besides those that name the bucket; buckets grow with the data, and so does what tells keys apart.
+A bucket of BUCKET_KEYS keys has a pair that cannot be told apart with a probability of BUCKET_KEYS**2 / 2**(BITS + 1),
+0.4 %: about one key in 190 million counts with another.  An operator that must not miss a key sends a second hash.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, encode, settle, text_or_empty
+from .common import bounded, encode, partitions, settle, text_or_empty
 
 #: Bytes of text of one block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Bytes of the input per partition of blocks, at most about.
+PARTITION_BYTES = 128 << 20
 BITS = 48
 #: Distinct keys that one bucket gets from all blocks, about.
 BUCKET_KEYS = 1_500_000
@@ -58,7 +62,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     Block numbers are then fixed, and a join on them moves the other side only: texts travel once.
     """
     spark = bounded(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs, PARTITION_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -101,28 +105,50 @@ def shorten(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys >> drop << drop
 
 
+def planes(values: np.ndarray, width: int = 8) -> bytes:
+    """Values below 256**width byte by byte, the lowest of all first: high bytes are mostly zero and pack to nothing."""
+    raw = np.ascontiguousarray(values.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :width]
+    return squeeze(np.ascontiguousarray(raw.T).tobytes())
+
+
+def from_planes(data: bytes, width: int = 8) -> np.ndarray:
+    raw = np.frombuffer(expand(data), dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()
+
+
 def split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice, bytes]]:
-    """(bucket, where, packed keys) of sorted, shortened, distinct keys."""
+    """(bucket, where, packed keys) of sorted, shortened keys; what is packed are the steps from key to key."""
     names = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(names)) + 1
-    packed = np.ascontiguousarray((keys << np.uint64(bits) >> np.uint64(64 - BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8])
+    local = keys << np.uint64(bits) >> np.uint64(64 - BITS)
     for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(keys)).tolist()):
         if b > a:
-            yield int(names[a]), slice(a, b), packed[a:b].tobytes()
+            yield int(names[a]), slice(a, b), planes(np.diff(local[a:b], prepend=np.uint64(0)), BITS // 8)
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(packed, dtype=np.uint8).reshape(-1, BITS // 8)
-    out = np.zeros((len(raw), 8), dtype=np.uint8)
-    out[:, : BITS // 8] = raw
-    return out.view("<u8").ravel()
+    return np.cumsum(from_planes(packed, BITS // 8), dtype=np.uint64)
 
 
 def merge(packed: list[bytes]) -> tuple[np.ndarray, list[int]]:
     """For the keys of all rows in turn the number of each distinct key, and the rows' sizes."""
-    sizes = [len(p) // (BITS // 8) for p in packed]
-    _, number = np.unique(unpack_keys(b"".join(packed)), return_inverse=True)
-    return number, sizes
+    parts = [unpack_keys(p) for p in packed]
+    _, number = np.unique(np.concatenate(parts), return_inverse=True)
+    return number, [len(x) for x in parts]
+
+
+def number_pairs(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each (key, check) among the sorted distinct ones, and the place of the first of each."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return number, order[fresh]
 
 
 def gathered(answers: DataFrame) -> DataFrame:
@@ -138,9 +164,13 @@ def joined_answers(parts: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(map(expand, parts)), dtype=kind) if parts else np.zeros(0, dtype=kind)
 
 
-def with_answers(own: DataFrame, answers: DataFrame, run: Callable[[bytes, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def with_answers(own: DataFrame, answers: DataFrame | None, run: Callable[[int, bytes, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Runs over each block with its answers; blocks without keys come with none."""
-    rows = own.select("block", "payload").join(gathered(answers), "block", "left").select("block", "payload", "answers")
+    rows = own.select("block", "payload")
+    if answers is None:
+        rows = rows.withColumn("answers", F.expr("cast(null as array<binary>)"))
+    else:
+        rows = rows.join(gathered(answers), "block", "left").select("block", "payload", "answers")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

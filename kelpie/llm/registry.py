@@ -31,7 +31,7 @@ def op5_packing(spark, sf_dir):
 
 
 def op6_scoring(spark, sf_dir):
-    return scoring.score_documents(_documents(spark, sf_dir))
+    return scoring.rounded(scoring.score_documents(_documents(spark, sf_dir)))
 
 
 def op7_secrets(spark, sf_dir):
@@ -63,4 +63,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE = {"op1_chat": chat.ORACLE, "op7_secrets": secrets.ORACLE, "op8_substrings": substrings.ORACLE}
+ORACLE = {"op1_chat": chat.ORACLE, "op6_scoring": scoring.ORACLE, "op7_secrets": secrets.ORACLE, "op8_substrings": substrings.ORACLE}
