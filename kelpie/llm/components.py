@@ -7,26 +7,44 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Edges of one node that one task handles, about; a node with more is dealt out.
+NODE_EDGES = 100_000
+#: Most nodes that are dealt out: each has over 1 / BUSY_NODES of all edges, so there are no more.
+BUSY_NODES = 20_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, total: int, node_edges: int) -> DataFrame:
+    """(a, b, m): rows (a, b) with the smallest b of their a.  The rows of a node with many are dealt to several tasks."""
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    bound = max(node_edges, total // BUSY_NODES)
+    if total <= bound:
+        return rows.join(least.drop("n"), "a")
+    least = settle(least)
+    # At most total / bound <= BUSY_NODES rows, a proven bound.
+    busy = F.broadcast(least.where(F.col("n") > bound).select("a", F.ceil(F.col("n") / node_edges).cast("int").alias("parts")))
+    dealt = rows.join(busy, "a", "left").select("a", "b", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), "parts")).cast("int").alias("part"))
+    copies = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > bound, F.ceil(F.col("n") / node_edges) - 1).otherwise(0).cast("int"))).alias("part"))
+    return dealt.join(copies, ["a", "part"]).select("a", "b", "m")
+
+
+def _large_star(edges: DataFrame, total: int, node_edges: int) -> DataFrame:
     """Each node hangs its larger neighbours on its smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    found = _with_least(both, 2 * total, node_edges).withColumn("m", F.least("a", "m"))
+    return found.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int, node_edges: int) -> DataFrame:
     """Each node hangs itself and its smaller neighbours on the smallest of them (edges run from larger to smaller)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    found = _with_least(edges, total, node_edges)
+    return found.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, node_edges: int = NODE_EDGES) -> DataFrame:
     """(node, component) of every node that has an edge; the component is its smallest node.
 
     ``edges`` has long columns ``a`` and ``b`` in any order; loops, repeats and nulls are ignored.  No edges give
@@ -36,7 +54,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = settle(edges)
     before = _state(edges)
     while before[0]:
-        edges = settle(_small_star(_large_star(edges)))
+        edges = settle(_small_star(_large_star(edges, before[0], node_edges), before[0], node_edges))
         after = _state(edges)
         if after == before:
             break

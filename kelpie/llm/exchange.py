@@ -56,7 +56,7 @@ def unpack_rows(payload: bytes) -> tuple[list, list[bytes]]:
     return table.column(0).to_pylist(), table.column(1).to_pylist()
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, payload, n_bytes), dealt out by block and written once to the shared folder.
 
     Block numbers are then fixed, and a join on them moves the other side only: texts travel once.
@@ -75,7 +75,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
-                if ids and size + len(text) > BLOCK_BYTES:
+                if ids and size + len(text) > block_bytes:
                     yield close()
                     number, ids, texts, size = number + 1, [], [], 0
                 ids.append(doc)
@@ -99,9 +99,9 @@ def bucket_bits(keys: float) -> int:
     return max(LEAST_BUCKETS.bit_length() - 1, math.ceil(math.log2(max(1.0, keys / BUCKET_KEYS))))
 
 
-def shorten(keys: np.ndarray, bits: int) -> np.ndarray:
+def shorten(keys: np.ndarray, bits: int, kept: int = BITS) -> np.ndarray:
     """Keys without the bits that are not kept."""
-    drop = np.uint64(max(0, 64 - bits - BITS))
+    drop = np.uint64(max(0, 64 - bits - kept))
     return keys >> drop << drop
 
 
@@ -118,18 +118,18 @@ def from_planes(data: bytes, width: int = 8) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice, bytes]]:
+def split(keys: np.ndarray, bits: int, kept: int = BITS) -> Iterator[tuple[int, slice, bytes]]:
     """(bucket, where, packed keys) of sorted, shortened keys; what is packed are the steps from key to key."""
     names = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(names)) + 1
-    local = keys << np.uint64(bits) >> np.uint64(64 - BITS)
+    local = keys << np.uint64(bits) >> np.uint64(64 - kept)
     for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(keys)).tolist()):
         if b > a:
-            yield int(names[a]), slice(a, b), planes(np.diff(local[a:b], prepend=np.uint64(0)), BITS // 8)
+            yield int(names[a]), slice(a, b), planes(np.diff(local[a:b], prepend=np.uint64(0)), kept // 8)
 
 
-def unpack_keys(packed: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(packed, BITS // 8), dtype=np.uint64)
+def unpack_keys(packed: bytes, kept: int = BITS) -> np.ndarray:
+    return np.cumsum(from_planes(packed, kept // 8), dtype=np.uint64)
 
 
 def merge(packed: list[bytes]) -> tuple[np.ndarray, list[int]]:

@@ -1,12 +1,13 @@
 """Packing of tokenised documents into fixed sequences.
 
 A document is its ids followed by one end id.  It is cut at multiples of the sequence length; whole pieces fill a
-sequence each, and what is left over is packed first-fit decreasing with a tournament tree over bin capacities, in
-randomised groups of documents that tasks handle independently.
+sequence each, without a shuffle, and what is left over is packed first-fit decreasing with a tournament tree over bin
+capacities, in randomised groups of documents that tasks handle independently.
 
-Nulls and empty texts are one end id.  Repeated doc_ids are separate documents.  Ties in length are broken by the
-random deal and then by order.  An empty table gives no rows; other columns are ignored.  Only lengths travel: ids
-stay in the task that made them.
+Nulls and empty texts are one end id.  Repeated doc_ids are separate documents.  A document's deal is drawn from its
+doc_id and its place in its input partition, so that repeated rows part; which sequence a piece gets therefore depends
+on how the input is partitioned, what the pieces are does not.  Ties in length are broken by the deal and then by order.
+An empty table gives no rows; other columns are ignored.  Only lengths travel: ids stay in the task that made them.
 """
 
 from __future__ import annotations
@@ -83,28 +84,33 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, length: int = LENGT
     )
 
 
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
 def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to rows of ``pieces``; sequences are numbered group by group without overlap."""
+    """Adds sequence_id and offset to rows of ``pieces``.
+
+    Whole pieces are sequences of their own and stay where they are: they get odd numbers.  The others are dealt into
+    groups; a group's sequences get even numbers in strides, so that no group's depend on another's size.
+    """
     cut = settle(cut)
-    groups = max(1, math.ceil(cut.where(F.col("length") < length).count() / group))
+    whole = cut.where(F.col("length") == length).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    rest = cut.where(F.col("length") < length)
+    groups = max(1, math.ceil(rest.count() / group))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         number = key[0].as_py()
         deal, size, start = (table.column(c).to_numpy() for c in ("deal", "length", "start"))
         order = np.lexsort((start, deal, -size))
-        whole = int((size == length).sum())
         place, offset = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
-        place[order[:whole]] = np.arange(whole)
-        place[order[whole:]], offset[order[whole:]], _ = first_fit_decreasing(size[order[whole:]], length)
-        place[order[whole:]] += whole
-        # Strided numbers: no group's depend on another's size.
+        place[order], offset[order], _ = first_fit_decreasing(size[order], length)
         table = table.drop_columns(["deal", "dealt"])
-        return table.append_column("sequence_id", pa.array(place * groups + number)).append_column("offset", pa.array(offset))
+        return table.append_column("sequence_id", pa.array(2 * (place * groups + number))).append_column("offset", pa.array(offset))
 
-    dealt = cut.withColumn("dealt", F.pmod(F.xxhash64("deal"), F.lit(groups)))
-    return dealt.groupBy("dealt").applyInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    dealt = rest.withColumn("dealt", F.pmod(F.xxhash64("deal"), F.lit(groups)))
+    return whole.unionByName(dealt.groupBy("dealt").applyInArrow(run, SCHEMA))
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, vocabulary: str = "byte_bpe_50k") -> DataFrame:

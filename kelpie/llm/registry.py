@@ -63,4 +63,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE = {"op1_chat": chat.ORACLE, "op6_scoring": scoring.ORACLE, "op7_secrets": secrets.ORACLE, "op8_substrings": substrings.ORACLE}
+ORACLE = {"op1_chat": chat.ORACLE, "op6_scoring": scoring.ORACLE, "op7_secrets": secrets.ORACLE, "op8_substrings": substrings.ORACLE, "op9_embeddings": embeddings.ORACLE}

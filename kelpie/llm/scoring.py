@@ -35,7 +35,8 @@ from . import exchange as X
 from .common import Words, mix, passes, settle
 
 ORDER = 3
-MASS = 2.0
+#: Weight of the shorter context's probability; chosen on a split within the training rows.
+MASS = 8.0
 FOLD, HELD_OUT = 7, 2
 #: Hashes of the end of a text and of what stands before its first word.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -215,11 +216,11 @@ class Automaton:
         return math.fsum(taken)
 
 
-def scores(g: Grams, tokens: int, types: int, texts: int, mass: float) -> list[float]:
+def scores(g: Grams, tokens: int, types: int, texts: int, mass: float, part_tokens: int = PART_TOKENS) -> list[float]:
     """The automaton's log10 probability of each text of a block."""
     out: list[float] = []
     start = START if len(g.total) > 1 else ROOT
-    for a, b in passes(g.sizes.tolist(), PART_TOKENS):
+    for a, b in passes(g.sizes.tolist(), part_tokens):
         low, high = int(g.first[a]), int(g.first[b])
         automaton = Automaton(g, low, high, tokens, types, texts, mass)
         words = g.number[0][low:high].tolist()
@@ -230,9 +231,9 @@ def scores(g: Grams, tokens: int, types: int, texts: int, mass: float) -> list[f
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, mass: float = MASS) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, mass: float = MASS, block_bytes: int = X.BLOCK_BYTES, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Base and model scores of every document, learnt from those that are not held out."""
-    own = X.blocks(docs)
+    own = X.blocks(docs, block_bytes)
     size = own.agg(F.sum("n_bytes")).first()[0] or 0
     bits = X.bucket_bits(size / 6)
     answers: list[DataFrame] = []
@@ -253,7 +254,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass: float = MASS) ->
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(g.ids, pa.int64()), pa.array(~g.training), pa.array(g.sizes, pa.int64()), pa.array(np.add.reduceat((counts > 0).astype(np.int64), g.first[:-1]), pa.int64()),
-                pa.array(np.full(n, tokens), pa.int64()), pa.array([math.fsum(base[a:b]) for a, b in bounds]), pa.array(scores(g, tokens, types, texts, mass)),
+                pa.array(np.full(n, tokens), pa.int64()), pa.array([math.fsum(base[a:b]) for a, b in bounds]), pa.array(scores(g, tokens, types, texts, mass, part_tokens)),
             ],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )

@@ -4,7 +4,8 @@ A word goes if a window of WINDOW consecutive words that covers it also starts i
 
 Candidates: of every window the smallest of its shorter grams (a minimiser) is looked up over the whole corpus; equal
 windows have equal minimisers, so a window whose minimiser lies in one document alone is settled.  For the others the
-smallest and largest document with the window's hash are found.  References: the spans of a document whose windows it
+smallest and largest document with the window are found; two windows count as one only if two independent hashes, of 54
+bits at least and of 64, agree, so no clash hides a window.  References: the spans of a document whose windows it
 is the first to hold, dealt into shards by document; from each shard's spans a suffix automaton over words is built,
 whose states know the smallest document of what they stand for.  The maximal candidate spans of all documents, each
 distinct one once, are streamed through the automaton of the shard that holds their first document; the matching
@@ -34,6 +35,8 @@ from .common import Words, mix, passes, settle, span_hashes
 WINDOW = 13
 GRAM = 7
 LAST = (1 << 63) - 1
+#: What the second hash of a window starts from.
+CHECK = np.uint64(0xA0761D6478BD642F)
 #: Bytes of text per shard of references, and bytes of candidate spans that one task streams, about.
 SHARD_BYTES = 4 << 20
 STREAM_BYTES = 4 << 20
@@ -74,6 +77,10 @@ class Windows:
         """Hashes of the chosen windows."""
         return span_hashes(self.hashes, self.start[which], self.start[which] + self.window)
 
+    def checks(self, which: np.ndarray) -> np.ndarray:
+        """Other hashes of the chosen windows, of the same words by another function."""
+        return span_hashes(mix(self.hashes ^ CHECK), self.start[which], self.start[which] + self.window)
+
 
 def _ranks(ids: list) -> np.ndarray:
     return np.array([LAST if d is None else d for d in ids], dtype=np.int64)
@@ -127,14 +134,16 @@ def _flags(w: Windows, parts: list[bytes], gram: int, small: int) -> np.ndarray:
     return X.joined_answers(parts, np.uint8)[number].astype(bool) if len(number) else np.zeros(0, dtype=bool)
 
 
-def _ask_windows(own: DataFrame, answers: DataFrame, window: int, gram: int, small: int, bits: int) -> DataFrame:
-    """(bucket, block, keys, vals): the windows that may be shared, with the smallest document of each and whether there is another."""
+def _ask_windows(own: DataFrame, answers: DataFrame, window: int, gram: int, small: int, bits: int, kept: int) -> DataFrame:
+    """(bucket, block, keys, checks, lows, more): the windows that may be shared, with the smallest document of each and whether there is another."""
 
     def run(block: int, payload: bytes, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, texts = X.unpack_rows(payload)
         w = Windows(texts, window)
         shared = _flags(w, parts, gram, small)
-        keys, number = np.unique(X.shorten(w.keys(shared), bits), return_inverse=True)
+        keys, checks = X.shorten(w.keys(shared), bits, kept), w.checks(shared)
+        number, at = X.number_pairs(keys, checks)
+        keys, checks = keys[at], checks[at]
         if not len(keys):
             return
         rank = _ranks(ids)[w.text[shared]]
@@ -142,29 +151,27 @@ def _ask_windows(own: DataFrame, answers: DataFrame, window: int, gram: int, sma
         np.minimum.at(low, number, rank)
         np.maximum.at(high, number, rank)
         # Of the largest it matters only whether it is another one.
-        rows = [(name, block, packed, X.squeeze(low[at].tobytes() + (high[at] > low[at]).astype(np.uint8).tobytes())) for name, at, packed in X.split(keys, bits)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "keys", "vals"])
+        more = (high > low).astype(np.uint8)
+        rows = [(name, block, packed, checks[at].tobytes(), X.planes(low[at].view(np.uint64)), X.squeeze(more[at].tobytes())) for name, at, packed in X.split(keys, bits, kept)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 4))], ["bucket", "block", "keys", "checks", "lows", "more"])
 
-    return X.with_answers(own, answers, run, "bucket int, block long, keys binary, vals binary")
+    return X.with_answers(own, answers, run, "bucket int, block long, keys binary, checks binary, lows binary, more binary")
 
 
-def _answer_windows(asked: DataFrame) -> DataFrame:
+def _answer_windows(asked: DataFrame, kept: int) -> DataFrame:
     """(bucket, block, answer): per key the smallest document, and whether a larger one has it too."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        number, sizes = X.merge(table.column("keys").to_pylist())
-        low, several = [], []
-        for n, v in zip(sizes, table.column("vals").to_pylist()):
-            raw = X.expand(v)
-            low.append(np.frombuffer(raw[: 8 * n], dtype="<i8"))
-            several.append(np.frombuffer(raw[8 * n :], dtype=np.uint8))
-        low = np.concatenate(low)
-        total = int(number.max()) + 1
+        columns = [table.column(c).to_pylist() for c in ("keys", "checks", "lows", "more")]
+        keys = [X.unpack_keys(k, kept) for k in columns[0]]
+        number, first = X.number_pairs(np.concatenate(keys), np.frombuffer(b"".join(columns[1]), dtype="<u8"))
+        low = np.concatenate([X.from_planes(x) for x in columns[2]]).view(np.int64)
+        total = len(first)
         least, most, many = np.full(total, LAST), np.full(total, -LAST - 1), np.zeros(total, dtype=np.uint8)
         np.minimum.at(least, number, low)
         np.maximum.at(most, number, low)
-        np.maximum.at(many, number, np.concatenate(several))
-        cuts = np.cumsum(sizes)[:-1]
+        np.maximum.at(many, number, X.joined_answers(columns[3], np.uint8))
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
         answers = [X.squeeze(a.tobytes() + b.tobytes()) for a, b in zip(np.split(least[number], cuts), np.split((many | (least < most)).astype(np.uint8)[number], cuts))]
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "answer": pa.array(answers, pa.binary())})
 
@@ -185,7 +192,7 @@ SPANS = "kind int, block long, shard long, size long, spans binary, doc_id long,
 ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int64()), ("size", pa.int64()), ("spans", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _spans(own: DataFrame, small_answers: DataFrame, answers: DataFrame, window: int, gram: int, small: int, bits: int, shards: int) -> DataFrame:
+def _spans(own: DataFrame, small_answers: DataFrame, answers: DataFrame, window: int, gram: int, small: int, bits: int, kept: int, shards: int) -> DataFrame:
     """Rows of four kinds: documents that lose nothing, and per block and shard the reference spans, the distinct
     candidate spans, and (per block) the places of candidates as (text, start, shard, windows, where these begin among the shard's)."""
 
@@ -193,7 +200,7 @@ def _spans(own: DataFrame, small_answers: DataFrame, answers: DataFrame, window:
         ids, texts = X.unpack_rows(payload)
         w = Windows(texts, window)
         shared = _flags(w, first_parts, gram, small)
-        _, number = np.unique(X.shorten(w.keys(shared), bits), return_inverse=True)
+        number, _ = X.number_pairs(X.shorten(w.keys(shared), bits, kept), w.checks(shared))
         raw = [X.expand(p) for p in parts]
         rank = _ranks(ids)[w.text]
         first, own_window = np.full(len(w.text), LAST), np.zeros(len(w.text), dtype=bool)
@@ -322,18 +329,19 @@ def _finish(own: DataFrame, places: DataFrame, found: DataFrame, window: int, ke
     return rows.mapInArrow(over, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, source_sha256 string")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False, block_bytes: int = X.BLOCK_BYTES, kept: int = X.BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept, source_sha256) of every row.
 
-    ``kept``, the words left, and the digest of the whole text are null unless asked for, and where no candidate is.
+    ``kept`` in the result, the words left, and the digest of the whole text are null unless asked for, and where no candidate is.
+    The argument ``kept`` is the number of bits of a window's first hash that travel, beside those of its bucket.
     """
-    own = X.blocks(docs)
+    own = X.blocks(docs, block_bytes)
     size = own.agg(F.sum("n_bytes")).first()[0] or 0
     small, bits = X.bucket_bits(size / 24), max(8, X.bucket_bits(size / 6))
     shards = max(X.LEAST_BUCKETS, math.ceil(size / SHARD_BYTES))
     flags = settle(_answer_minimisers(_ask_minimisers(own, window, gram, small)))
-    answers = _answer_windows(_ask_windows(own, flags, window, gram, small, bits))
-    spans = settle(_spans(own, flags, answers, window, gram, small, bits, shards))
+    answers = _answer_windows(_ask_windows(own, flags, window, gram, small, bits, kept), kept)
+    spans = settle(_spans(own, flags, answers, window, gram, small, bits, kept, shards))
     none = F.lit(None).cast("string")
     done = spans.where(F.col("kind") == DONE).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", none.alias("kept"), none.alias("source_sha256"))
     places = spans.where(F.col("kind") == PLACES).select("block", "spans")

@@ -55,12 +55,10 @@ def test_empty_and_better_than_base(spark, empty):
     assert out["sum(score)"] > out["sum(base_score)"]
 
 
-def test_blocks_share_what_they_know(spark, rows, docs, monkeypatch):
+def test_blocks_share_what_they_know(docs):
     """Tiny blocks and parts give the very scores that one block gives."""
-    want = sorted(map(str, scoring.rounded(scoring.score_documents(docs)).collect()))
-    monkeypatch.setattr(scoring.X, "BLOCK_BYTES", 500)
-    monkeypatch.setattr(scoring, "PART_TOKENS", 40)
-    assert sorted(map(str, scoring.rounded(scoring.score_documents(docs.repartition(5))).collect())) == want
+    want = sorted(map(str, scoring.rounded(scoring.score_documents(docs.coalesce(1))).collect()))
+    assert sorted(map(str, scoring.rounded(scoring.score_documents(docs.repartition(5), block_bytes=500, part_tokens=40)).collect())) == want
 
 
 def test_sql_gives_the_same(spark, docs):

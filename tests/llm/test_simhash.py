@@ -91,3 +91,11 @@ def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (3, 2), (None, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 150), 100)
+
+
+def test_hub_of_many_edges_is_dealt_out(spark):
+    """A star, a chain and a clique, with nodes beyond five edges dealt to several tasks."""
+    pairs = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(a, b) for a in range(200, 212) for b in range(200, 212)] + [(300, 59)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {tuple(r) for r in connected_components(edges, node_edges=5).collect()}
+    assert got == {(i, 0) for i in [*range(60), 300]} | {(i, 100) for i in range(100, 141)} | {(i, 200) for i in range(200, 212)}

@@ -49,7 +49,6 @@ def test_documents_equal_brute_force(docs, rows):
 
 def test_many_blocks_shards_and_streams(spark, monkeypatch):
     """A passage in a third of all texts, mosaics of earlier texts, and texts of few words, in blocks of a few rows."""
-    monkeypatch.setattr(substrings.X, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(substrings, "SHARD_BYTES", 400)
     monkeypatch.setattr(substrings, "STREAM_BYTES", 500)
     rng = random.Random(5)
@@ -59,7 +58,7 @@ def test_many_blocks_shards_and_streams(spark, monkeypatch):
         own = " ".join(f"v{rng.randrange(8)}" for _ in range(rng.randrange(60)))
         rows.append((rng.randrange(100), f"{own} {passage} {own}" if i % 3 == 0 else own))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicate(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicate(df, block_bytes=2000).collect()), key=str)
     assert got == plain(rows, substrings.WINDOW)
 
 
@@ -67,3 +66,9 @@ def test_kept_text_and_empty_table(docs, empty):
     kept = [r for r in substrings.deduplicate(docs, keep_text=True).collect() if r.n_removed]
     assert kept and all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in kept)
     assert substrings.deduplicate(empty).collect() == []
+
+
+def test_clashing_keys_hide_no_window(docs, rows):
+    """With 8 bits of a window's first hash beside its bucket's, hundreds of windows share one; all are still told apart."""
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicate(docs, block_bytes=2000, kept=8).collect()), key=str)
+    assert got == plain(rows, substrings.WINDOW)
