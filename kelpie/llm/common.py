@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,6 +54,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written as a table in the shared folder and read again, and its path.
+
+    Unlike a checkpoint, which goes on with the sizes that the planner guessed for its plan, a table has sizes of its
+    own.  Loops need that: guesses for joins multiply from round to round until they have millions of digits.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kelpie-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(df: DataFrame, each: int) -> int:
     """As many partitions as keep each at about ``each`` bytes by the planner's estimate; the session's number at least."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_table, table
 
 #: Edges of one node that one task handles, about; a node with more is dealt out.
 NODE_EDGES = 100_000
@@ -23,11 +23,11 @@ def _with_least(rows: DataFrame, total: int, node_edges: int) -> DataFrame:
     bound = max(node_edges, total // BUSY_NODES)
     if total <= bound:
         return rows.join(least.drop("n"), "a")
-    least = settle(least)
+    least = least.select("a", "m", F.when(F.col("n") > bound, F.ceil(F.col("n") / node_edges)).otherwise(1).cast("int").alias("parts"))
     # At most total / bound <= BUSY_NODES rows, a proven bound.
-    busy = F.broadcast(least.where(F.col("n") > bound).select("a", F.ceil(F.col("n") / node_edges).cast("int").alias("parts")))
-    dealt = rows.join(busy, "a", "left").select("a", "b", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), "parts")).cast("int").alias("part"))
-    copies = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > bound, F.ceil(F.col("n") / node_edges) - 1).otherwise(0).cast("int"))).alias("part"))
+    busy = F.broadcast(least.where("parts > 1").select(F.col("a").alias("busy"), "parts"))
+    dealt = rows.join(busy, rows.a == F.col("busy"), "left").select("a", "b", F.expr("int(pmod(xxhash64(b), coalesce(parts, 1)))").alias("part"))
+    copies = least.select("a", "m", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     return dealt.join(copies, ["a", "part"]).select("a", "b", "m")
 
 
@@ -48,13 +48,19 @@ def connected_components(edges: DataFrame, node_edges: int = NODE_EDGES) -> Data
     """(node, component) of every node that has an edge; the component is its smallest node.
 
     ``edges`` has long columns ``a`` and ``b`` in any order; loops, repeats and nulls are ignored.  No edges give
-    no rows.  The number of rounds grows with the logarithm of the longest path; each round is cut by a checkpoint.
+    no rows.  The number of rounds grows with the logarithm of the longest path; each round is written as a table in
+    the shared folder, and the round before it goes.
     """
+    spark = edges.sparkSession
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = settle(edges)
+    edges, path = table(edges)
     before = _state(edges)
     while before[0]:
-        edges = settle(_small_star(_large_star(edges, before[0], node_edges), before[0], node_edges))
+        stars, between = table(_large_star(edges, before[0], node_edges))
+        edges, next_path = table(_small_star(stars, before[0], node_edges))
+        drop_table(spark, path)
+        drop_table(spark, between)
+        path = next_path
         after = _state(edges)
         if after == before:
             break
