@@ -8,7 +8,8 @@ segmentations of the same merge type, which decode to the very same text.  A rat
 Words (with the space before them) do not merge with each other in these models, so the agenda runs over many words at
 once.  The key of a merge is (seed, doc_id, place of the word in the text, span in the word), so every occurrence of a
 word is drawn anew.  The model's own pieces of a word are kept with the merges that it considers: an occurrence in which
-none of those is skipped has the very same pieces; any other has an agenda of its own.
+none of those is skipped has the very same pieces; any other has an agenda of its own, and so has a word that a batch
+holds once.
 
 Spaces become the model's space mark, one more before the text; characters that are no piece become their bytes.  A
 space mark of the text itself is spelt as bytes, so it is not taken for a space: decoding gives back every text.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,8 +39,8 @@ RATE, SEED = 0.1, 17
 WORD = re.compile(r" *[^ ]+| +")
 #: Longest word, in symbols, that is merged side by side with others; a longer one has an agenda of its own.
 SIDE_BY_SIDE = 48
-#: Words whose own pieces a process keeps, in each of two generations; and occurrences drawn at a time.
-KEPT_WORDS = 200_000
+#: Bytes of kept words in each of two generations, and occurrences drawn at a time.
+KEPT_BYTES = 32 << 20
 DRAWN = 1 << 16
 NONE = np.int64((1 << 63) - 1)
 _models: dict[str, Model] = {}
@@ -68,16 +70,54 @@ class Model:
                 self.ids[p.piece] = i
                 self.value[i] = p.piece.replace(SPACE, " ").encode()
         ids = self.ids
+        if any(re.search(f"[^{SPACE}]{SPACE}", x) for x in ids):
+            raise ValueError("a model in which no piece spans two words is needed")
         # Pairs of pieces that form a piece, as sorted keys, and the piece they form.
         pairs = sorted((ids[x[:k]] << 32 | ids[x[k:]], i) for x, i in ids.items() for k in range(1, len(x)) if x[:k] in ids and x[k:] in ids)
         self.pair = np.array([k for k, _ in pairs], dtype=np.int64)
         self.merged = np.array([i for _, i in pairs], dtype=np.int64)
+        self._hash()
         # Places by falling score; equal scores share a place, so that ties go to the left.
         self.rank = np.unique(np.array([-p.score for p in pieces]), return_inverse=True)[1].astype(np.int64)
         self.of_pair = dict(pairs)
         # A space stands for the model's space mark; a space mark of the text has no piece.
         self.characters = {c: i for c, i in ids.items() if len(c) == 1 and c != SPACE} | {" ": ids[SPACE]}
 
+    def _hash(self) -> None:
+        """A table of the pairs by hash, four places a pair; a pair lies at most ``probes`` places after its own."""
+        self.shift = np.uint64(64 - max(1, (4 * len(self.pair)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.table_key, self.table_merged = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        left, self.probes = np.arange(len(self.pair)), 0
+        while len(left):
+            at = (self._slot(self.pair[left]) + self.probes) % size
+            free = self.table_key[at] < 0
+            _, first = np.unique(at, return_index=True)
+            mine = np.zeros(len(left), dtype=bool)
+            mine[first] = True
+            mine &= free
+            self.table_key[at[mine]], self.table_merged[at[mine]] = self.pair[left[mine]], self.merged[left[mine]]
+            left, self.probes = left[~mine], self.probes + 1
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, pair: np.ndarray) -> np.ndarray:
+        """The piece that each pair forms, or -1."""
+        slot = self._slot(pair)
+        found = np.where(self.table_key[slot] == pair, self.table_merged[slot], -1)
+        # A pair whose own place holds another one, or that is none, may lie further on.
+        left = np.flatnonzero((found < 0) & (self.table_key[slot] >= 0))
+        for k in range(1, self.probes):
+            if not len(left):
+                break
+            at = (slot[left] + k) % len(self.table_key)
+            held = self.table_key[at]
+            hit = held == pair[left]
+            found[left[hit]] = self.table_merged[at[hit]]
+            left = left[~hit]
+        return found
+
     def symbols(self, word: str) -> list[int]:
         """A word's characters as pieces, or their bytes."""
         out: list[int] = []
@@ -179,17 +219,16 @@ def merge_all(sym: np.ndarray, sizes: np.ndarray, key: np.ndarray, model: Model,
         rank[at] = NONE
         at = at[at + 1 < len(sym)]
         at = at[word[at] == word[at + 1]]
-        pair = sym[at] << 32 | sym[at + 1]
-        k = np.minimum(np.searchsorted(model.pair, pair), len(model.pair) - 1)
-        hit = model.pair[k] == pair
-        at, k = at[hit], k[hit]
+        merged = model.find(sym[at] << 32 | sym[at + 1])
+        hit = merged >= 0
+        at, merged = at[hit], merged[hit]
         if seen is not None:
             seen.append((word[at], mix(_place(start[at], start[at + 1], stop[at + 1]))))
         if rate and len(at):
             stay = ~_skipped(key[word[at]], start[at], start[at + 1], stop[at + 1], rate)
-            at, k = at[stay], k[stay]
-        form[at] = model.merged[k]
-        rank[at] = model.rank[form[at]]
+            at, merged = at[stay], merged[stay]
+        form[at] = merged
+        rank[at] = model.rank[merged]
 
     consider(np.arange(len(sym)))
     while len(sym):
@@ -228,83 +267,119 @@ def encoder_for(path: str, rate: float, seed: int) -> Encoder:
     return _encoders[key]
 
 
+class Kept:
+    """A dictionary bounded by bytes: when the young generation is full it becomes the old one, and what is met again is young again."""
+
+    def __init__(self, most: int = KEPT_BYTES):
+        self.most, self.size = most, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.pop(key, None)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value
+        self.size += 250 + sum(map(len, value))
+
+
 class Encoder:
-    """Encodes texts with one model, rate and seed; keeps the own pieces of words it has met.
+    """Encodes texts with one model, rate and seed.
 
-    Kept words are in two generations: when the young one is full it becomes the old one, and old words that are met
-    again become young.  A kept word has its pieces, its symbols and the places of the merges considered for them.
+    A kept word has its own pieces, its symbols and the places of the merges considered for them.
     """
 
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, kept_bytes: int = KEPT_BYTES):
         self.model, self.rate, self.seed = load(path), rate, seed
-        self.young: dict[str, tuple[bytes, bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.words = Kept(kept_bytes)
 
     def encode_batch(self, texts: list[str], docs: list[int | None]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit little-endian values; the draws are those of the given documents."""
         split = [WORD.findall(" " + t) if t else [] for t in texts]
-        if len(self.young) > KEPT_WORDS:
-            self.young, self.old = {}, self.young
-        young, fresh = self.young, []
-        for w in {w for s in split for w in s if w not in young}:
-            if (kept := self.old.get(w)) is None:
-                fresh.append(w)
-            else:
-                young[w] = kept
+        flat = [w for s in split for w in s]
+        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        at = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        words, often = list(number), np.bincount(at, minlength=len(number)) > 1
+        kept = [self.words.get(w) for w in words]
+        fresh = [i for i, k in enumerate(kept) if k is None and (often[i] or not self.rate)]
         for a in range(0, len(fresh), 1 << 14):
-            self._learn(fresh[a : a + (1 << 14)])
-        own = [[young[w][0] for w in s] for s in split]
-        if self.rate and any(split):
-            self._draw(split, docs, own)
-        return [b"".join(x) for x in own]
-
-    def _draw(self, split: list[list[str]], docs: list[int | None], pieces: list[list[bytes]]) -> None:
-        """Puts other pieces in the place of the own ones wherever a merge is skipped."""
-        number: dict[str, int] = {}
-        at = np.array([number.setdefault(w, len(number)) for s in split for w in s], dtype=np.int64)
-        kept = [self.young[w] for w in number]
-        symbols, n_symbols = np.frombuffer(b"".join(k[1] for k in kept), dtype=np.int64), np.array([len(k[1]) // 8 for k in kept], dtype=np.int64)
-        places, n_places = np.frombuffer(b"".join(k[2] for k in kept), dtype=np.uint64), np.array([len(k[2]) // 8 for k in kept], dtype=np.int64)
-        first_symbol, first_place = np.cumsum(n_symbols) - n_symbols, np.cumsum(n_places) - n_places
+            some = fresh[a : a + (1 << 14)]
+            for i, found in zip(some, self._learn([words[i] for i in some])):
+                kept[i] = found
+                self.words.put(words[i], found)
+        own = [b"" if k is None else k[0] for k in kept]
+        pieces = [own[i] for i in at.tolist()]
         sizes = np.array([len(s) for s in split], dtype=np.int64)
-        text = np.repeat(np.arange(len(split)), sizes)
-        place = _rows(np.zeros(len(split), dtype=np.int64), sizes)
-        of_doc = np.array([word_key(str(d), self.seed, 0) for d in docs], dtype=np.uint64)
-        for a in range(0, len(at), DRAWN):
-            w, t, i = at[a : a + DRAWN], text[a : a + DRAWN], place[a : a + DRAWN]
-            key = mix(of_doc[t] ^ mix(i.astype(np.uint64) + np.uint64(1)))
-            n = n_places[w]
-            skipped = _drawn(places[_rows(first_place[w], n)], np.repeat(key, n), self.rate)
-            hit = np.unique(np.repeat(np.arange(len(w)), n)[skipped])
-            short = hit[n_symbols[w[hit]] <= SIDE_BY_SIDE]
-            size = n_symbols[w[short]]
-            found = merge_all(symbols[_rows(first_symbol[w[short]], size)], size, key[short], self.model, self.rate)
-            for x, y, ids in zip(t[short].tolist(), i[short].tolist(), found):
-                pieces[x][y] = ids
-            for h in hit[n_symbols[w[hit]] > SIDE_BY_SIDE].tolist():
-                b = int(first_symbol[w[h]])
-                ids = agenda(symbols[b : b + int(n_symbols[w[h]])].tolist(), int(key[h]), self.model, self.rate)
-                pieces[int(t[h])][int(i[h])] = np.array(ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
+        if self.rate and flat:
+            of_doc = np.array([word_key(str(d), self.seed, 0) for d in docs], dtype=np.uint64)
+            place = _rows(np.zeros(len(split), dtype=np.int64), sizes)
+            key = mix(np.repeat(of_doc, sizes) ^ mix(place.astype(np.uint64) + np.uint64(1)))
+            alone = np.array([k is None for k in kept])[at]
+            self._draw(np.flatnonzero(~alone), at, key, kept, pieces)
+            self._encode(np.flatnonzero(alone), [words[i] for i in at[alone].tolist()], key, pieces)
+        ends = np.cumsum(sizes)
+        return [b"".join(pieces[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+    def _encode(self, where: np.ndarray, words: list[str], key: np.ndarray, pieces: list[bytes]) -> None:
+        """Gives the words that occur at ``where`` an agenda each."""
+        for a in range(0, len(where), 1 << 14):
+            found = self.model.all_symbols(words[a : a + (1 << 14)])
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            self._agendas(where[a : a + (1 << 14)], np.array(list(itertools.chain.from_iterable(found)), dtype=np.int32), size, key, pieces)
+
+    def _agendas(self, where: np.ndarray, symbols: np.ndarray, size: np.ndarray, key: np.ndarray, pieces: list[bytes]) -> None:
+        """Pieces of the occurrences at ``where``, whose symbols are joined, under the draws of their keys."""
+        first, short = np.cumsum(size) - size, size <= SIDE_BY_SIDE
+        joined = symbols[_rows(first[short], size[short])].astype(np.int64)
+        for i, ids in zip(where[short].tolist(), merge_all(joined, size[short], key[where[short]], self.model, self.rate)):
+            pieces[i] = ids
+        for k in np.flatnonzero(~short).tolist():
+            ids = agenda(symbols[first[k] : first[k] + size[k]].tolist(), int(key[where[k]]), self.model, self.rate)
+            pieces[int(where[k])] = np.array(ids, dtype="<u4").tobytes()
+
+    def _draw(self, where: np.ndarray, at: np.ndarray, key: np.ndarray, kept: list, pieces: list[bytes]) -> None:
+        """Puts other pieces in the place of the own ones of kept words wherever a merge is skipped."""
+        places = np.frombuffer(b"".join(k[2] for k in kept if k), dtype=np.uint64)
+        n_places = np.array([len(k[2]) // 8 if k else 0 for k in kept], dtype=np.int64)
+        first = np.cumsum(n_places) - n_places
+        symbols = np.frombuffer(b"".join(k[1] for k in kept if k), dtype=np.int32)
+        n_symbols = np.array([len(k[1]) // 4 if k else 0 for k in kept], dtype=np.int64)
+        first_symbol = np.cumsum(n_symbols) - n_symbols
+        for a in range(0, len(where), DRAWN):
+            some = where[a : a + DRAWN]
+            n = n_places[at[some]]
+            skipped = _drawn(places[_rows(first[at[some]], n)], np.repeat(key[some], n), self.rate)
+            hit = some[np.unique(np.repeat(np.arange(len(some)), n)[skipped])]
+            size = n_symbols[at[hit]]
+            self._agendas(hit, symbols[_rows(first_symbol[at[hit]], size)], size, key, pieces)
+
+    def _learn(self, words: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        """(own pieces, symbols, places of the merges considered) of each word."""
         symbols = self.model.all_symbols(words)
-        sizes = np.array([len(s) for s in symbols], dtype=np.int64)
-        raw = [np.array(s, dtype=np.int64).tobytes() for s in symbols]
+        sizes = np.fromiter(map(len, symbols), dtype=np.int64, count=len(symbols))
+        raw = [np.array(s, dtype=np.int32).tobytes() for s in symbols]
         short, long = np.flatnonzero(sizes <= SIDE_BY_SIDE), np.flatnonzero(sizes > SIDE_BY_SIDE)
         seen: list[tuple[np.ndarray, np.ndarray]] = []
-        joined = np.frombuffer(b"".join(raw[i] for i in short.tolist()), dtype=np.int64)
+        joined = np.frombuffer(b"".join(raw[i] for i in short.tolist()), dtype=np.int32).astype(np.int64)
         found = merge_all(joined, sizes[short], np.zeros(len(short), dtype=np.uint64), self.model, 0.0, seen)
         word, place = (np.concatenate(x) for x in zip(*seen))
         order = np.argsort(word, kind="stable")
         cuts = (np.searchsorted(word[order], np.arange(len(short) + 1)) * 8).tolist()
         places = place[order].tobytes()
+        out: list = [None] * len(words)
         for k, i in enumerate(short.tolist()):
-            self.young[words[i]] = found[k], raw[i], places[cuts[k] : cuts[k + 1]]
+            out[i] = found[k], raw[i], places[cuts[k] : cuts[k + 1]]
         for i in long.tolist():
             considered: list[tuple[int, int, int]] = []
             ids = np.array(agenda(symbols[i], 0, self.model, 0.0, considered), dtype="<u4").tobytes()
             spans = np.array(considered, dtype=np.uint64).reshape(-1, 3).T
-            self.young[words[i]] = ids, raw[i], mix(_place(*spans)).tobytes()
+            out[i] = ids, raw[i], mix(_place(*spans)).tobytes()
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The text (UTF-8) that ids stand for."""
