@@ -79,6 +79,12 @@ def partitions(df: DataFrame, each: int) -> int:
     return max(least, min(math.ceil(size / each), 1 << 20)) if size < 1 << 60 else least
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns c0, c1, ... that clash with no name an operator uses, and the new name of each."""
+    name = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*name.values()), name
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -2,9 +2,10 @@
 
 For a text of code points c_0, c_1, ... the prefix arrays H[i] = sum of (c_j + 1) * B**j for j < i, modulo two primes,
 answer in constant time whether two spans are equal (of one text or of two), and by binary search how far two texts
-agree from given places.  A fingerprint holds the hash of the whole text, its length and a sketch: the hashes of all
-spans of ``SPAN`` code points dealt into bins, of each bin the smallest.  Likeness compares sketches and estimates the
-share of content two texts have in common (1 for equal texts).
+agree from given places.  A fingerprint holds the hash of the whole text, its length and two sketches: the hashes of
+all spans of ``SPAN`` code points, and those of ``SHORT_SPAN``, dealt into bins, of each bin the smallest.  Likeness
+compares sketches, those of the short spans if either text is shorter than ``SHORT`` code points, and estimates the share
+of content two texts have in common (1 for equal texts).  ``compare_spans`` answers questions about spans of documents.
 
 A null text is empty; two empty texts are alike (1), an empty and another one are not (0).  Documents are taken by
 descending doc_id, null ids last, equal ids by text; repeated rows follow each other.  An empty table gives no rows;
@@ -22,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mix, text_or_empty
+from .common import bounded, mix, partitions, text_or_empty
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 SPAN = 24
 BINS = 64
 BIN_BITS = 12
+#: Bytes of the input per range of doc_id, about.
+RANGE_BYTES = 128 << 20
 EMPTY_BIN = "---"
+#: Texts below SHORT code points are compared by spans of SHORT_SPAN in SHORT_BINS bins.
+SHORT, SHORT_SPAN, SHORT_BINS = 4 * SPAN, 3, 32
 
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
@@ -99,25 +104,40 @@ class PrefixHashes:
             parts.append((h[length:] + q - h[:-length]) % q * _powers(which, self.n, -1)[: self.n - length + 1] % q)
         return mix(parts[0] << np.uint64(31) | parts[1])
 
-    def fingerprint(self) -> str:
-        """Hash, length and sketch as text; equal texts have equal fingerprints."""
-        found = self.spans(SPAN)
-        shift = np.uint64(64 - BINS.bit_length() + 1)
+    def sketch(self, span: int, bins: int) -> str:
+        """Of the hashes of all spans the smallest of each bin, shortened."""
+        found = self.spans(span)
+        shift = np.uint64(64 - bins.bit_length() + 1)
         found.sort()
-        edges = np.arange(BINS, dtype=np.uint64) << shift
+        edges = np.arange(bins, dtype=np.uint64) << shift
         first = np.searchsorted(found, edges)
         last = np.append(first[1:], len(found))
         mask = (1 << BIN_BITS) - 1
-        low = (mix(found[np.minimum(first, len(found) - 1)]) & np.uint64(mask)).tolist() if len(found) else [0] * BINS
-        sketch = "".join(f"{v:03x}" if a < b else EMPTY_BIN for v, a, b in zip(low, first.tolist(), last.tolist()))
-        return f"{self.digest():016x}{self.n:08x}{sketch}"
+        low = (mix(found[np.minimum(first, len(found) - 1)]) & np.uint64(mask)).tolist() if len(found) else [0] * bins
+        return "".join(f"{v:03x}" if a < b else EMPTY_BIN for v, a, b in zip(low, first.tolist(), last.tolist()))
+
+    def fingerprint(self) -> str:
+        """Hash, length and sketches as text; equal texts have equal fingerprints.
+
+        Texts from eight times SHORT on have no sketch of short spans: a short text is at most a fifth of them.
+        """
+        short = self.sketch(SHORT_SPAN, SHORT_BINS) if self.n < 8 * SHORT else ""
+        return f"{self.digest():016x}{self.n:08x}{self.sketch(SPAN, BINS)}{short}"
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1: the share of content in common, 2J/(1+J) for the share J of bins that agree."""
     if a == b:
         return 1.0
-    x, y = ([s[i : i + 3] for i in range(24, len(s), 3)] for s in (a, b))
+    low, high = sorted((int(a[16:24], 16), int(b[16:24], 16)))
+    if low < SHORT:
+        if high >= 8 * SHORT:
+            # The two can share no more than all of the shorter one.
+            return 0.0
+        start, stop = 24 + 3 * BINS, 24 + 3 * (BINS + SHORT_BINS)
+    else:
+        start, stop = 24, 24 + 3 * BINS
+    x, y = ([s[i : i + 3] for i in range(start, stop, 3)] for s in (a, b))
     filled = [(p, q) for p, q in zip(x, y) if p != EMPTY_BIN or q != EMPTY_BIN]
     if not filled:
         return 0.0
@@ -164,7 +184,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     spark = bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs, RANGE_BYTES)
     splits, heads = _buckets(docs.select("doc_id"), parts)
     if not heads:
         return spark.createDataFrame([], SCHEMA)
@@ -216,3 +236,44 @@ def _row(this: tuple, following: tuple) -> tuple:
         doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, edited_mark,
         likeness(mark, edited_mark), likeness(mark, following[3]), hashes.common_extension(0, other, 0),
     )
+
+
+QUESTIONS = "left_id long, left_start long, right_id long, right_start long, length long"
+
+
+def compare_spans(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """Answers (left_id, left_start, right_id, right_start, length): are the two spans equal, and how far do they agree?
+
+    Adds ``equal`` (false where a span reaches beyond its text) and ``extension``, the code points that agree from the
+    two starts on.  A question about an id that is null or not there has null answers; starts count from 0, negative or
+    null ones have null answers too.  Ids should be unique; of several texts the smallest is taken.  Prefix arrays are
+    built per pair of texts and answer all its questions; a pair with many is split by the join's own skew handling.
+    """
+    bounded(docs.sparkSession)
+    texts = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(text_or_empty().cast("string")).alias("text"))
+    asked = questions.selectExpr(*(f"cast({c.split()[0]} AS long) AS {c.split()[0]}" for c in QUESTIONS.split(", ")))
+    left, right = (texts.select(F.col("doc_id").alias(f"{s}_id"), F.col("text").alias(f"{s}_text")) for s in ("left", "right"))
+    rows = asked.join(left, "left_id", "left").join(right, "right_id", "left").sortWithinPartitions("left_id", "right_id")
+    names = [c.split()[0] for c in QUESTIONS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, tuple] = {}
+
+        def hashes(side: str, doc: int, text: str) -> PrefixHashes:
+            if kept.get(side, (None,))[0] != doc:
+                kept[side] = doc, PrefixHashes(code_points(text))
+            return kept[side][1]
+
+        for batch in batches:
+            equal, extension = [], []
+            for a, i, b, j, n, x, y in zip(*(batch.column(c).to_pylist() for c in (*names, "left_text", "right_text"))):
+                if None in (i, j, x, y) or i < 0 or j < 0:
+                    equal.append(None)
+                    extension.append(None)
+                    continue
+                one, two = hashes("left", a, x), hashes("right", b, y)
+                equal.append(None if n is None or n < 0 else one.equal(i, two, j, n))
+                extension.append(one.common_extension(i, two, j) if i <= one.n and j <= two.n else 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(equal, pa.bool_()), pa.array(extension, pa.int64())], [*names, "equal", "extension"])
+
+    return rows.select(*names, "left_text", "right_text").mapInArrow(run, f"{QUESTIONS}, equal boolean, extension long")

@@ -166,53 +166,67 @@ def _by_order(parts: list[bytes], orders: int) -> list[list[bytes]]:
 
 
 class Automaton:
-    """States, arcs and failure arcs that some texts of a block can reach."""
+    """States, arcs and failure arcs that some texts of a block can reach.
+
+    States are numbered from the empty context on; an arc is found by its state and word.
+    """
 
     def __init__(self, g: Grams, low: int, high: int, tokens: int, types: int, texts: int, mass: float):
         """For the tokens from ``low`` to ``high`` of a block whose counts are all in."""
         order = len(g.total)
-        self.words = len(g.keys[0])
-        #: State of the n-gram of each order with number 0; those of the highest order are no states.
-        base = 2 + np.concatenate(([0], np.cumsum([len(k) for k in g.keys])))
-        self.failure: dict[int, tuple[float, int]] = {START: (math.log10(mass / (texts + mass)), ROOT)}
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.unknown = math.log10(1.0 / (tokens + types + 1.0))
+        self.words, self.unknown = len(g.keys[0]), math.log10(1.0 / (tokens + types + 1.0))
+        failure, shorter = [np.array([0.0, math.log10(mass / (texts + mass))])], [np.array([ROOT, ROOT])]
+        arcs, weights, targets = [], [], []
         probability: list[np.ndarray] = []
+        #: Of each order the state of every n-gram that is one; the highest order has none.
+        state: list[np.ndarray] = []
+        states = 2
         for k in range(order):
             here = g.number[k][low:high]
             reached = np.unique(here[here >= 0])
             reached = reached[g.total[k][reached] > 0]
             at, seen = g.at[k][reached], g.total[k][reached].astype(np.float64)
-            word = g.number[0][at]
             suffix = g.number[k - 1][at] if k else None
             p = np.zeros(len(g.keys[k]))
             if k == 0:
                 p[reached] = (seen + 1.0) / (tokens + types + 1.0)
-                source = np.zeros(len(at), dtype=np.int64)
+                source = back = np.zeros(len(at), dtype=np.int64)
             else:
                 begins = g.place[at] == 0
                 head = g.number[k - 1][np.maximum(at - 1, 0)]
                 context = np.where(begins, float(texts), g.total[k - 1][head])
-                source = np.where(begins, START, base[k - 1] + head)
+                source, back = np.where(begins, START, state[k - 1][head]), state[k - 1][suffix]
                 p[reached] = (seen + mass * probability[k - 1][suffix]) / (context + mass)
             probability.append(p)
-            # The longest suffix of context and word that is a state: the n-gram itself, but for the highest order.
-            target = base[k] + reached if k < order - 1 else base[k - 1] + suffix if k else np.zeros(len(at), dtype=np.int64)
-            self.arcs.update(zip((source * self.words + word).tolist(), zip(np.log10(p[reached]).tolist(), target.tolist())))
+            own = np.zeros(len(p), dtype=np.int64)
             if k < order - 1:
-                shorter = base[k - 1] + suffix if k else np.zeros(len(at), dtype=np.int64)
-                self.failure.update(zip((base[k] + reached).tolist(), zip(np.log10(mass / (seen + mass)).tolist(), shorter.tolist())))
+                own[reached] = np.arange(states, states + len(reached))
+                states += len(reached)
+                failure.append(np.log10(mass / (seen + mass)))
+                shorter.append(back)
+            state.append(own)
+            arcs.append(source * self.words + g.number[0][at])
+            weights.append(np.log10(p[reached]))
+            # The longest suffix of context and word that is a state: the n-gram itself, but for the highest order.
+            targets.append(own[reached] if k < order - 1 else back)
+        self.arcs = {arc: i for i, arc in enumerate(np.concatenate(arcs).tolist())}
+        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        self.failure, self.shorter = np.concatenate(failure).tolist(), np.concatenate(shorter).tolist()
 
     def read(self, words: list[int], state: int) -> float:
         """log10 probability of a text from a state on."""
-        arcs, failure, n = self.arcs.get, self.failure, self.words
+        arcs, weights, targets, failure, shorter, n = self.arcs.get, self.weights, self.targets, self.failure, self.shorter, self.words
         taken: list[float] = []
+        add = taken.append
         for word in words:
             while (arc := arcs(state * n + word)) is None and state:
-                weight, state = failure[state]
-                taken.append(weight)
-            weight, state = arc or (self.unknown, ROOT)
-            taken.append(weight)
+                add(failure[state])
+                state = shorter[state]
+            if arc is None:
+                add(self.unknown)
+            else:
+                add(weights[arc])
+                state = targets[arc]
         return math.fsum(taken)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import renamed, settle, text_or_empty
 
 
 class Rule(NamedTuple):
@@ -139,9 +139,11 @@ def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RU
     Findings are joined by content, so no column is taken for a key.  Overlapping spans of several rules are merged.
     Null texts stay null, repeated rows are redacted one by one, and columns of any other name stay as they are.
     """
-    address = F.sha2(text_or_empty().cast("string"), 256)
-    found = settle(update(versions(docs.withColumn("__path", F.lit(0)), "__path"), None, rules)).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__blob", address).join(found, "__blob", "left")
+    rows, name = renamed(docs)
+    text = name["text"]
+    found = settle(update(versions(rows.select(F.col(text).alias("text"), F.lit(0).alias("doc_id"))), None, rules)).where(F.size("spans") > 0)
+    joined = rows.withColumn("own", F.sha2(text_or_empty(text).cast("string"), 256))
+    joined = joined.join(found.select(F.col("blob").alias("own"), "spans"), "own", "left")
     # Walks the spans from left to right, keeping the gaps before marks and where the walk stands; texts are put together once.
     start = F.struct(F.expr("cast(array() as array<struct<at:bigint,len:bigint>>)").alias("gaps"), F.lit(0).cast("long").alias("at"))
 
@@ -149,11 +151,13 @@ def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RU
         gap = F.array(F.struct(state["at"].alias("at"), (span["start"] - state["at"]).alias("len")))
         return F.struct(F.when(span["start"] >= state["at"], F.concat(state["gaps"], gap)).otherwise(state["gaps"]).alias("gaps"), F.greatest(state["at"], span["end"]).alias("at"))
 
-    part = lambda g: F.substring(F.col("text"), (g["at"] + 1).cast("int"), g["len"].cast("int"))
+    part = lambda g: F.substring(F.col(text), (g["at"] + 1).cast("int"), g["len"].cast("int"))
     last = lambda s: F.array(F.struct(s["at"].alias("at"), F.lit(2147483647).cast("long").alias("len")))
-    walked = F.aggregate("__spans", start, step, lambda s: F.array_join(F.transform(F.concat(s["gaps"], last(s)), part), mark))
-    clean = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(walked)).drop("__blob", "__spans")
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    walked = F.aggregate("spans", start, step, lambda s: F.array_join(F.transform(F.concat(s["gaps"], last(s)), part), mark))
+    clean = joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(walked))
+    if "n_chars" in name:
+        clean = clean.withColumn(name["n_chars"], F.length(text).cast("long"))
+    return clean.select(*(F.col(c).alias(n) for n, c in name.items()))
 
 
 def _oracle(rules: tuple[Rule, ...] = RULES) -> str:

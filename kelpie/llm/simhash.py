@@ -7,7 +7,9 @@ and the mask of a non-zero vector v keeps the positions where the scalar product
 whole mask of v: every linked pair meets in some table, without exception.
 
 Nulls and empty texts have the fingerprint zero and link with each other like any other value.  Rows of one document
-may repeat; a component is over fingerprints, so repeats share it.  Other columns are ignored.
+may repeat; a component is over fingerprints, so repeats share it, and rows of one doc_id with different texts are told
+apart.  A row whose doc_id is null links like any other and names no component; a component of such rows only has none.
+An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, column_bytes, settle
+from .common import bounded, column_bytes, renamed, settle
 from .components import connected_components
 
 SEED = 42
@@ -52,16 +54,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(ones.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, one row per input row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named in ``keep`` and fp, the fingerprint as a signed long; one row per input row."""
     bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t, shingle, seed) for t in column_bytes(batch.column("text"))), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t, shingle, seed) for t in column_bytes(batch.column("__text"))), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found.view(np.int64))], [*keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), "fp long"]))
 
 
 def masks(radius: int, turn: int = 0) -> list[int]:
@@ -134,17 +137,17 @@ def link_groups(keys: np.ndarray, values: np.ndarray, ids: np.ndarray, radius: i
 
 
 def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect whatever is linked; ``unique`` has one row (fp, rep) per distinct fingerprint."""
+    """Edges (a, b) between fingerprints that connect whatever is linked; ``unique`` has one row (fp) per distinct one."""
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for i, m in enumerate(masks(radius))))
-    rows = unique.select("fp", "rep", F.explode(tables).alias("x")).select("fp", "rep", F.xxhash64("x.t", "x.k").alias("k"))
+    rows = unique.select("fp", F.explode(tables).alias("x")).select("fp", F.xxhash64("x.t", "x.k").alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         table = pa.Table.from_batches(got)
-        k, fp, rep = (table.column(c).to_numpy() for c in ("k", "fp", "rep"))
-        a, b = link_groups(k, fp.view(np.uint64), rep, radius)
+        k, fp = (table.column(c).to_numpy() for c in ("k", "fp"))
+        a, b = link_groups(k, fp.view(np.uint64), fp, radius)
         if len(a):
             pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
@@ -153,14 +156,35 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition("k").mapInArrow(run, "a long, b long")
 
 
+def least_of_components(marked: DataFrame, value: Column, radius: int = RADIUS) -> DataFrame:
+    """(fp, least): of every fingerprint in ``marked`` the smallest value of its component's rows, null if it has none."""
+    unique = settle(marked.groupBy("fp").agg(F.min(value).alias("least")))
+    named = unique.join(connected_components(links(unique.select("fp"), radius)).withColumnRenamed("node", "fp"), "fp", "left")
+    # Settled, so that a component of a third of all fingerprints can be split in the join.
+    least = settle(named.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("among")))
+    return named.join(least, "component", "left").select("fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("among")).alias("least"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fingerprint, component_id): the component is the smallest doc_id reachable over links.
+    """(doc_id, fingerprint, component_id): the component is the smallest doc_id reachable over links."""
+    marked = settle(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, seed))
+    member = least_of_components(marked, F.col("doc_id"), radius)
+    return marked.join(member, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+
 
-    A row whose doc_id is null gets its fingerprint; it never names a component unless all of its component is null.
-    An empty table gives no rows.
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """Of each component one row with all its columns: that of the smallest doc_id, null ids last, then of the smallest
+    digest of the text.  Rows of one doc_id and one text are repeats, of which the one of the smallest hash stays; rows
+    of one doc_id with texts that do not link all stay.
     """
-    marked = settle(fingerprints(docs, shingle, seed))
-    unique = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = connected_components(links(unique.where("rep IS NOT NULL"), radius))
-    member = unique.join(named, unique.rep == named.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(member, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rows, name = renamed(docs)
+    rows = rows.withColumns({"id": F.col(name["doc_id"]).cast("long"), "sha": F.sha2(F.coalesce(F.col(name["text"]).cast("string"), F.lit("")), 256)})
+    marked = settle(fingerprints(docs.select(F.col("doc_id").cast("long").alias("id"), sha.alias("sha"), "text"), shingle, seed, ("id", "sha")))
+    first = least_of_components(marked, F.struct(F.col("id").isNull().alias("nameless"), "id", "sha"), radius)
+    chosen = first.select(F.col("least.id").alias("chosen"), F.col("least.sha").alias("digest")).distinct()
+    kept = rows.join(chosen, rows.id.eqNullSafe(F.col("chosen")) & (rows.sha == F.col("digest")), "left_semi")
+    own = list(name.values())
+    ordered = [c for c, kind in kept.dtypes if c in own and "map<" not in kind]
+    one = kept.groupBy("id", "sha").agg(F.min_by(F.struct(*own), F.struct(F.xxhash64(*ordered), *(c for c in ordered))).alias("row"))
+    return one.select(*(F.col(f"row.{c}").alias(own) for own, c in name.items()))

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +47,69 @@ def test_likeness_follows_content(rows):
     assert fp.likeness(mark(""), mark("x")) == 0
 
 
+def plain_fingerprint(text):
+    """From the definition, with whole numbers only."""
+    codes, n = [ord(c) + 1 for c in text], len(text)
+
+    def polynomial(a, b):
+        return [sum(c * pow(base, j, p) for j, c in enumerate(codes[a:b])) % p for p, base in zip(fp.PRIMES, fp.BASES)]
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ x >> 31
+
+    def joined(a, b):
+        high, low = polynomial(a, b)
+        return high << 31 | low
+
+    def sketch(span, bins):
+        found = {mixed(joined(i, i + span)) for i in range(n - span + 1)} or ({mixed(joined(0, n))} if n else set())
+        out = ""
+        for k in range(bins):
+            own = [x for x in found if x * bins >> 64 == k]
+            out += f"{mixed(min(own)) % 4096:03x}" if own else "---"
+        return out
+
+    return f"{joined(0, n):016x}{n:08x}{sketch(24, 64)}{sketch(3, 32) if n < 768 else ''}"
+
+
+def test_fingerprints_equal_the_definition(rows):
+    for text in ["", "a", "ab", "abc", "é ü \U0001f600 ñ", "x" * 23, "y" * 24, "the cat sat on the mat " * 5, *[t for _, t in rows if t and 700 < len(t) < 900][:3]]:
+        assert fp.PrefixHashes(fp.code_points(text)).fingerprint() == plain_fingerprint(text)
+
+
+def test_likeness_is_near_the_true_share():
+    """Texts with a known share of their content in common, short and long ones, and none in common."""
+    mark = lambda s: fp.PrefixHashes(fp.code_points(s)).fingerprint()
+    rng = random.Random(3)
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n))
+    for n in (16, 40, 90, 300, 5000):
+        got = []
+        for _ in range(30):
+            a = fresh(n)
+            got.append(fp.likeness(mark(a), mark(a[: n - n // 2] + fresh(n // 2))))
+            assert fp.likeness(mark(a), mark(fresh(n))) < 0.35
+        assert 0.25 < sum(got) / len(got) < 0.75
+
+
+def test_compare_spans(spark, docs, rows):
+    texts = {d: t or "" for d, t in rows if d is not None}
+    rng = random.Random(1)
+    ids = sorted(texts)
+    asked = [(rng.choice(ids), rng.randrange(0, 80), rng.choice(ids), rng.randrange(0, 80), rng.randrange(0, 9)) for _ in range(60)]
+    asked += [(i, 2, i, 2, 5) for i in ids] + [(None, 0, 1, 0, 1), (1, None, 1, 0, 1), (10**9, 0, 1, 0, 1), (1, -1, 1, 0, 1), (1, 0, 1, 0, None)]
+    want = []
+    for a, i, b, j, n in asked:
+        if None in (a, i, b, j) or i < 0 or a not in texts:
+            want.append((a, i, b, j, n, None, None))
+            continue
+        x, y = texts[a][i:], texts[b][j:]
+        want.append((a, i, b, j, n, None if n is None else len(x) >= n <= len(y) and i <= len(texts[a]) and j <= len(texts[b]) and x[:n] == y[:n], len(os.path.commonprefix([x, y]))))
+    got = fp.compare_spans(docs, spark.createDataFrame(asked, fp.QUESTIONS)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_one_row_and_empty(spark, empty):
     one = fp.fingerprint_documents(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.n_chars, r.edited_sha256) for r in one] == [(5, 4, hashlib.sha256(b"abab").hexdigest())]

@@ -56,3 +56,25 @@ def test_every_id_lies_in_one_piece(docs, rows):
 
 def test_empty(empty):
     assert packing.pack_documents(empty).collect() == []
+
+
+def test_production_length_wastes_little(docs, rows):
+    """At 1024 ids a sequence: whole pieces fill sequences of their own, and the rest needs at most 11/9 of what any packing does, and one."""
+    out = packing.pack_documents(docs).collect()
+    whole = [r for r in out if r.length == 1024]
+    assert whole and len({r.sequence_id for r in whole}) == len(whole) and all(r.offset == 0 for r in whole)
+    rest = defaultdict(int)
+    for r in out:
+        if r.length < 1024:
+            rest[r.sequence_id] += r.length
+    assert not {r.sequence_id for r in whole} & set(rest) and max(rest.values()) <= 1024
+    assert len(rest) <= -(-sum(rest.values()) // 1024) * 11 / 9 + 1
+
+
+def test_only_whole_pieces_and_many_groups(spark):
+    """No leftovers at all, and leftovers in groups of a few: numbers never clash."""
+    frame = spark.createDataFrame([(i, 0, 8 if i % 3 else 5, 0, 8, i * 7919) for i in range(90)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long")
+    full = packing.pack(frame.where("length = 8"), 8).collect()
+    assert len(full) == 60 and len({r.sequence_id for r in full}) == 60
+    mixed = packing.pack(frame, 8, group=4).collect()
+    assert len(mixed) == 90 and len({r.sequence_id for r in mixed}) == 90

@@ -43,3 +43,29 @@ def test_stages_take_effect(spark, folder, tmp_path):
 
 def test_run_equals_the_stages(spark, folder):
     assert pipeline.run(spark, folder).count() > 40
+
+
+def test_odd_rows_through_every_stage(spark, docs, rows):
+    """Null and repeated ids, extra columns whose names the operators use, and one id with two texts that do not link."""
+    two = spark.createDataFrame([(900, "alpha beta gamma delta epsilon zeta eta theta"), (900, "one two three four five six seven eight nine"), (900, "one two three four five six seven eight nine")], "doc_id long, text string")
+    odd = docs.unionByName(two, allowMissingColumns=True).withColumns({"id": docs.block, "sha": docs.block, "__sha": docs.block, "least": docs.fp, "row": docs.fp})
+    for name, stage in pipeline.STAGES[1:4]:
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns
+        left = out.collect()
+        if name == "near_duplicates":
+            assert sorted(r.text[:3] for r in left if r.doc_id == 900) == ["alp", "one"]
+            assert len({(r.doc_id, r.text) for r in left}) == len(left)
+            gone = {t for _, t in rows} - {r.text for r in left}
+            assert None in {r.text for r in left} or "" in {r.text for r in left} or "   \n\t " in {r.text for r in left}
+            # What went has a copy, or words that near-copies hold too.
+            assert len(gone) < 10
+        else:
+            assert len(left) == odd.count()
+    packed = pipeline.STAGES[4][1](spark, odd, "").where("start = 0")
+    assert packed.count() == odd.count()
+
+
+def test_empty_table(spark, docs, empty, folder):
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, folder).collect() == []

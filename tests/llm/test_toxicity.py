@@ -1,6 +1,10 @@
+import math
 import random
+import re
 import zlib
 
+import pytest
+
 from kelpie.llm import toxicity as T
 
 
@@ -86,3 +90,62 @@ def test_choice_asks_for_evidence_not_for_a_size_of_table():
     assert T.choose({"chan": (4, 0)}, {4: 100_000}, 400, 3000) == {}
     # "loser" is abuse, what else begins with "lose" is not; "tras" and "trash" are the same texts.
     assert set(T.choose({"lose": (50, 12), "loser": (40, 0), "tras": (40, 0), "trash": (40, 0)}, rivals, 300, 3000)) == {"loser", "tras"}
+
+
+def plain_score(model, text):
+    """A clause scorer without automata: sets, slices and the rules as said."""
+    kinds = {}
+    for clause in re.split(r"[.!?;:\n\r]+", (text or "").lower()):
+        words = re.findall(r"[^\W_]+(?:'[^\W_]+)?", clause)
+        sort, weight = [], []
+        for w in words:
+            fixed = next((name for name, known in (("target", T.TARGETS), ("negation", T.NEGATIONS), ("threat", T.THREATS), ("report", T.REPORTS)) if w in known), None)
+            heads = [model.lexicon[w + "$"]] if w + "$" in model.lexicon else [model.lexicon[w[:n]] for n in range(len(w), 0, -1) if w[:n] in model.lexicon][:1]
+            sort.append(fixed or ("insult" if heads else "other"))
+            weight.append(1.0 if fixed else heads[0] if heads else 0.0)
+        hits = [i for i, s in enumerate(sort) if s in ("insult", "threat")]
+        if not hits:
+            continue
+        insult, aimed = "insult" in sort, "target" in sort
+        # A negation reaches three words, and one that met abuse is spent.
+        weak, reach = False, 0
+        for s in sort:
+            if s == "negation":
+                reach = 3
+            elif s in ("insult", "threat"):
+                weak, reach = weak or reach > 0, 0
+            else:
+                reach = max(0, reach - 1)
+        quoted = any(s == "report" and any(h > i for h in hits) for i, s in enumerate(sort))
+        kind = ("denied" if weak else "quoted" if quoted else "aimed" if aimed else "plain") if insult else ("weak_threat" if weak or quoted else "threat") if aimed else None
+        if kind:
+            kinds.setdefault(kind, []).append(max(weight[i] for i in hits))
+    z = model.bias + sum(model.weights[T.KINDS.index(k)] * max(w) * (1 + 0.1 * math.log2(len(w))) for k, w in kinds.items())
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    docs, labels, _ = labelled(spark)
+    model = T.fit(docs, labels)
+    model = T.Model(model.lexicon | {"zap$": 0.8}, model.weights, model.bias)
+    rng = random.Random(8)
+    words = ["idiot", "idiots", "kill", "you", "not", "said", "fine", "weather", "zap", "zappy", "zwurkel", "they", "never", "wrote", "hurt", "stupid"]
+    texts = [". ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    texts += [r.text for r in docs.limit(50).collect()] + [None, "", "İdiot", "IDIOT!", "you\nkill"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in T.score(frame, model, "doc_id").collect():
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-9), texts[r.doc_id]
+
+
+def test_whole_words_of_any_length_are_learnt(spark):
+    """Abuse of three letters, and abuse that differs from a clean word only after its ninth letter."""
+    rng = random.Random(6)
+    docs = []
+    for i in range(900):
+        words = [f"w{rng.randrange(300)}x" for _ in range(15)] + ["zug"[: 3 - (i % 2)] + "o", "incomprehensible"]
+        docs.append((i, " ".join([*words, *(["zug"] if i % 6 == 0 else ["incomprehensiblo"] if i % 6 == 3 else [])])))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    docs += [(5000, "w1x zug"), (5001, "w1x incomprehensiblo"), (5002, "zugo incomprehensible")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").unionByName(spark.createDataFrame([(None, "zug")], "doc_id long, text string"))
+    found = {r.doc_id: (r.predicted, r.held_out) for r in T.score_documents(frame, labels).where("doc_id IS NULL OR doc_id >= 5000").collect()}
+    assert {d: p for d, (p, _) in found.items()} == {5000: 1, 5001: 1, 5002: 0, None: 1} and found[None][1] is False
