@@ -5,31 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SIZE = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+# The suffixes of sizes and times, and the largest unsigned number.
+_SIZE = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 _TIME = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
+_MOST, _MOST_INT = (1 << 64) - 1, (1 << 31) - 1
 
 
-def _scaled(text: Column, units: dict[str, int], bare: bool) -> Column:
-    low = F.lower(F.trim(text))
-    letters = "".join(u for u in units if u)
-    number = F.regexp_extract(low, rf"^([0-9]+(?:\.[0-9]+)?)([{letters}]?)i?b?$", 1)
-    unit = F.regexp_extract(low, rf"^([0-9]+(?:\.[0-9]+)?)([{letters}]?)i?b?$", 2)
-    factor = F.lit(None).cast("double")
+def _scaled(text: Column, units: dict[str, int], bare: bool, most: int) -> Column:
+    """Whole numbers with at most one suffix and nothing before or after; null for all else, and beyond ``most``."""
+    pattern = rf"^([0-9]+)([{''.join(units)}]{'?' if bare else ''})$"
+    number = F.ltrim(F.regexp_extract(text, pattern, 1), F.lit("0"))
+    unit = F.regexp_extract(text, pattern, 2)
+    factor = F.lit(1)
     for name, size in units.items():
-        if name:
-            factor = F.when(unit == name, F.lit(float(size))).otherwise(factor)
-    factor = F.when((unit == "") & (F.lit(bare) | (number == "0")), F.lit(1.0)).otherwise(factor)
-    return F.when(number == "", F.lit(None)).otherwise(F.floor(F.expr("1") * number.try_cast("double") * factor)).cast("long")
+        factor = F.when(unit == name, F.lit(size)).otherwise(factor)
+    # Products of up to 20 and 13 digits; longer numbers are too large in any unit.
+    value = F.when(number == "", F.lit(0)).when(F.length(number) <= 20, number.try_cast("decimal(20,0)")).cast("decimal(20,0)") * factor.cast("decimal(14,0)")
+    return F.when(text.rlike(pattern) & (value <= F.lit(str(most)).cast("decimal(20,0)")), value.cast("decimal(20,0)"))
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of '10', '10k', '1.5G', '2TiB'; what is no size gives null."""
-    return _scaled(text, _SIZE, True)
+    """Bytes of '10', '10k' or '2T' as a decimal, since they may be any unsigned 64-bit number; what is no size gives null."""
+    return _scaled(text, _SIZE | {k.upper(): v for k, v in _SIZE.items()}, True, _MOST)
 
 
 def parse_duration(text: Column, bare: bool = True) -> Column:
-    """Seconds of '30', '10m', '2h', '7d', '1w'; with ``bare`` false a unit is required except for '0'."""
-    return _scaled(text, _TIME, bare)
+    """Seconds of '30', '10m', '2h', '7d', '1w' as a decimal; what is no duration gives null.
+
+    With ``bare`` false, as settings are read, a unit is required except for '0', and the result must fit an int.
+    """
+    if bare:
+        return _scaled(text, _TIME, True, _MOST)
+    return F.when(text == "0", F.lit(0).cast("decimal(20,0)")).otherwise(_scaled(text, _TIME, False, _MOST_INT))
+
+
+def format_duration(seconds: Column) -> Column:
+    """Seconds as a setting: the largest of days, hours and minutes that divides them, else seconds; '0' for none."""
+    s = seconds.cast("long")
+    out = F.concat(s.cast("string"), F.lit("s"))
+    for unit in ("m", "h", "d"):
+        out = F.when(s % _TIME[unit] == 0, F.concat(F.floor(s / _TIME[unit]).cast("long").cast("string"), F.lit(unit))).otherwise(out)
+    return F.when(s == 0, F.lit("0")).otherwise(out)
 
 
 def human_size(value: Column, binary: bool = True) -> Column:
@@ -42,12 +58,12 @@ def human_size(value: Column, binary: bool = True) -> Column:
 
 
 def human_duration(seconds: Column) -> Column:
-    """'42s', '3m07s', '2h05m', '4d03h'."""
+    """'42s', '3m07s', '2h05m', '4d3h'."""
     s = seconds.cast("long")
     part = lambda a, b: F.floor(s / a).cast("long") if b is None else F.floor((s % a) / b).cast("long")
     return (
         F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm%02ds", part(60, None), s % 60))
-        .when(s < 86400, F.format_string("%dh%02dm", part(3600, None), part(3600, 60))).otherwise(F.format_string("%dd%02dh", part(86400, None), part(86400, 3600)))
+        .when(s < 86400, F.format_string("%dh%02dm", part(3600, None), part(3600, 60))).otherwise(F.format_string("%dd%dh", part(86400, None), part(86400, 3600)))
     )
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 ROOT_FAMILY = ("root", "roots", "xroot", "xroots")
 DEFAULT_PORTS = {"http": 80, "https": 443} | dict.fromkeys(ROOT_FAMILY, 1094)
-#: Second-level names under a country's domain that hold registrations one level lower.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+# Second-level names under a country's domain that hold registrations one level lower.
+SECOND_LEVEL = ("ac", "co", "edu", "gov", "org", "com", "net", "or", "ne", "go")
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)(?::([0-9]+))?([^?]*)(?:\?(.*))?$"
 _IP = r"^(\[.*\]|.*:.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 
@@ -87,13 +87,13 @@ def site_of(host: Column) -> Column:
 
 
 def registrable_domain(host: Column) -> Column:
-    """The last two labels, or three under a country's second level; addresses and empty names are 'unknown'."""
+    """The last two labels, or three under a country's second level; a single label is itself, addresses and empty names are 'unknown'."""
     low = F.regexp_replace(F.lower(host), r"\.$", "")
     labels = F.split(low, r"\.")
     n = F.size(labels)
     deep = (n >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL)
     name = F.array_join(F.slice(labels, F.greatest(F.lit(1), n - F.when(deep, F.lit(2)).otherwise(F.lit(1))), F.lit(3)), ".")
-    return F.when(low.isNull() | (low == "") | low.rlike(_IP) | (n < 2), F.lit("unknown")).otherwise(name)
+    return F.when(low.isNull() | (low == "") | low.rlike(r"^[0-9.]*$|[:\[\]]"), F.lit("unknown")).otherwise(name)
 
 
 def coarse_url(url: Column) -> Column:
@@ -192,9 +192,13 @@ def decode_site(text: Column) -> Column:
     return F.when(text == "-", F.lit("")).otherwise(F.decode(F.unhex(raw), "UTF-8"))
 
 
+LABEL_MOST = 80
+
+
 def valid_label(text: Column) -> Column:
-    """Why a label cannot be used, or null."""
-    return F.when(text.isNull() | (text == ""), F.lit("empty")).when(F.length(text) > 64, F.lit("too long")).when(~text.rlike(r"^[A-Za-z0-9._ -]+$"), F.lit("characters"))
+    """Why a label cannot be used, or null; white space around it does not count, and no label is fine."""
+    label = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(label.startswith("-"), F.lit("starts like a flag")).when(label.rlike(r"[/\\@~]"), F.lit("a location or an address")).when(F.octet_length(label) > LABEL_MOST, F.lit("too long"))
 
 
 def is_uuid(text: Column) -> Column:

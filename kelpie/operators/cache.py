@@ -84,9 +84,17 @@ def with_artifacts(entries: DataFrame, listing: DataFrame, suffixes: list[str])
     return entries.join(flags, "hash", "left").fillna(False, [f"has_{s}" for s in suffixes])
 
 
-def in_use(entries: DataFrame, holds: DataFrame, now: int, dead_after: int = 1200) -> DataFrame:
-    """Entries that a hold refreshed within ``dead_after`` seconds keeps; a time ahead of the clock does not count."""
-    live = holds.where((F.col("refreshed") <= now) & (F.col("refreshed") > now - dead_after))
+#: Seconds after which whoever holds an entry says so again.
+HOLD_REFRESH_S = 600
+
+
+def in_use(entries: DataFrame, ranges: DataFrame, now: int, window_s: int) -> DataFrame:
+    """Entries with a range (hash, last_s, hold_s) that is live: read within the window, or held and said so lately.
+
+    Either time may be null or 0, which is never; one ahead of the clock counts as live.
+    """
+    last, hold = F.coalesce("last_s", F.lit(0)), F.coalesce("hold_s", F.lit(0))
+    live = ranges.where(((last != 0) & (last + window_s > now)) | ((hold != 0) & (hold + 2 * HOLD_REFRESH_S > now)))
     return entries.join(live.select("hash").distinct(), "hash", "left_semi")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelpie.functions.hashes import run_signatures
 from kelpie.functions.hist import total_seconds
 from kelpie.sources.records import FILE_SUMS
 
@@ -99,9 +100,9 @@ def join_files(runs: DataFrame, files: DataFrame) -> DataFrame:
         F.count("*").alias("n_files"), F.max("ts").alias("last_ts"), F.sum(d).alias("work"), F.sum(F.col("served_bytes") + F.col("replica_bytes")).alias("cache_work"),
         F.sum("wire_bytes").alias("wire"), F.sum("replica_bytes").alias("replica"), F.sum("origin_size").alias("input_size"),
         (F.sum(weight * F.try_divide(F.col("wire_bytes").cast("double"), d)) / F.sum(weight)).alias("share"),
-        F.sha2(F.array_join(F.sort_array(F.collect_list("key")), "\n"), 256).alias("sig"),
     )
-    both = runs.join(per, "stem", "left").fillna(0, ["n_files", "work", "cache_work", "wire", "replica", "input_size"])
+    signed = run_signatures(files).select("stem", "sig", F.col("read_sig").alias("run_read_sig"))
+    both = runs.join(per.join(signed, "stem", "left"), "stem", "left").fillna(0, ["n_files", "work", "cache_work", "wire", "replica", "input_size"])
     share = F.coalesce(F.col("share"), F.when(zero("disabled") != 0, 1.0).otherwise(0.0))
     return both.withColumn("end_s", F.greatest("end_s", "last_ts")).withColumn("origin_share", share).drop("last_ts", "share")
 
@@ -187,13 +188,22 @@ def estimate_gains(runs: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def newest(runs: DataFrame, cap: int) -> DataFrame:
+    """The newest ``cap`` runs, by start and process."""
+    return runs.orderBy(F.col("start_s").desc(), F.col("pid").desc()).limit(cap)
+
+
 def totals(runs: DataFrame, files: DataFrame, gains: DataFrame, cap: int = ESTIMATE_CAP) -> DataFrame:
-    """One row of totals; the gain is a ratio of sums over the newest ``cap`` runs that can be timed."""
-    timed = runs.where(f"NOT is_disabled AND duration_s >= {MIN_REFERENCE_S}").orderBy(F.col("start_s").desc(), F.col("pid").desc()).limit(cap).select("stem", "duration_s")
-    g = timed.join(gains.where("valid").select("stem", "saved_s"), "stem").agg(F.count("*").alias("runs_estimated"), F.sum("saved_s").alias("saved_s"), F.sum("duration_s").alias("estimated_s"))
+    """One row of totals; the gain is a ratio of sums over the newest ``cap`` runs that last long enough to be timed.
+
+    Runs without a cache take their place among them; ``gain_capped`` counts what lies beyond.
+    """
+    timed = runs.where(f"duration_s >= {MIN_REFERENCE_S}")
+    g = newest(timed, cap).select("stem", "duration_s").join(gains.where("valid").select("stem", "saved_s"), "stem").agg(F.count("*").alias("runs_estimated"), F.sum("saved_s").alias("saved_s"), F.sum("duration_s").alias("estimated_s"))
     own = runs.agg(
         F.count("*").alias("runs"), F.min("start_s").alias("first_start_s"), F.max("end_s").alias("last_end_s"), F.sum("duration_s").alias("duration_s"), F.sum(zero("hit_bytes")).alias("hit_bytes"),
         F.sum(zero("replica_bytes_served")).alias("replica_bytes"), F.sum(zero("relay_bytes")).alias("relay_bytes"), F.sum(zero("origin_bytes")).alias("origin_bytes"), F.sum("faults").alias("faults"),
+        F.greatest(F.lit(0), F.count_if(F.col("duration_s") >= MIN_REFERENCE_S) - cap).alias("gain_capped"),
     )
     distinct = files.select("key").distinct().agg(F.count("*").alias("distinct_files"))
     # Three rows of one: joined on a constant key.
@@ -207,21 +217,26 @@ def usable_as_reference(runs: DataFrame, corrections: DataFrame) -> DataFrame:
     return runs.join(fixed, "stem", "left").where(f"duration_s >= {MIN_REFERENCE_S} AND (is_disabled OR qualified OR (fill_candidate AND fixed))").select("stem")
 
 
-def datasets(runs: DataFrame, files: DataFrame, gains: DataFrame) -> DataFrame:
-    """One row per set of input files: runs, references, bytes, and the gains of its two tiers."""
+def datasets(runs: DataFrame, files: DataFrame, gains: DataFrame, cap: int = ESTIMATE_CAP) -> DataFrame:
+    """One row per set of input files, by falling bytes read: runs, references, bytes, and the gains of its two tiers.
+
+    Gains are those of the newest ``cap`` runs with a cache that last long enough, over all sets.
+    """
     usable = usable_as_reference(runs, reference_corrections(runs, files)).withColumn("usable", F.lit(1))
     dirs = files.groupBy("stem").agg(F.count_distinct(F.regexp_replace("key", "/[^/]*$", "")).alias("n_dirs"))
-    rows = runs.where("n_files > 0").join(usable, "stem", "left").join(gains.select("stem", "valid", "saved_s"), "stem", "left").join(dirs, "stem", "left")
+    timed = newest(runs.where(f"n_files > 0 AND NOT is_disabled AND duration_s >= {MIN_REFERENCE_S}"), cap).select("stem")
+    measured = gains.where("valid").join(timed, "stem").select("stem", F.lit(True).alias("valid"), "saved_s")
+    rows = runs.where("n_files > 0").join(usable, "stem", "left").join(measured, "stem", "left").join(dirs, "stem", "left")
     replica = F.col("valid") & (zero("replica_bytes_served") > zero("hit_bytes"))
     byte = F.col("valid") & ~(zero("replica_bytes_served") > zero("hit_bytes"))
     largest = F.max_by(F.struct("n_files", "n_dirs", "input_size"), F.struct("n_files", "start_s", "pid"))
     out = rows.groupBy("sig").agg(
-        F.count("*").alias("runs"), F.count_if(~F.col("complete")).alias("incomplete"), F.count("usable").alias("baselines"), F.sum(zero("served_bytes")).alias("read_bytes"), F.count_if("valid").alias("measured"), largest.alias("l"),
+        F.count("*").alias("runs"), F.count_if(~F.col("complete")).alias("incomplete"), F.count("usable").alias("baselines"), F.sum(zero("served_bytes")).alias("read_bytes"), F.count_if("valid").alias("measured"), F.sum(F.when(F.col("valid"), zero("served_bytes")).otherwise(0)).alias("measured_bytes"), largest.alias("l"),
         F.count_if(byte).alias("byte_runs"), F.sum(F.when(byte, F.col("duration_s"))).alias("byte_wall"), F.sum(F.when(byte, F.col("saved_s"))).alias("byte_saved"),
         F.count_if(replica).alias("replica_runs"), F.sum(F.when(replica, F.col("duration_s"))).alias("replica_wall"), F.sum(F.when(replica, F.col("saved_s"))).alias("replica_saved"),
     )
     gain = lambda w, s: F.try_divide(F.col(w) + F.col(s), F.col(w))
-    return out.select("sig", "runs", "incomplete", "baselines", "measured", "read_bytes", F.col("l.n_files").alias("files"), F.col("l.n_dirs").alias("dirs"), F.col("l.input_size").alias("origin_size"), "byte_runs", gain("byte_wall", "byte_saved").alias("byte_gain"), "replica_runs", gain("replica_wall", "replica_saved").alias("replica_gain")).orderBy(F.col("read_bytes").desc(), "sig")
+    return out.select("sig", "runs", "incomplete", "baselines", "measured", "measured_bytes", "read_bytes", F.col("l.n_files").alias("files"), F.col("l.n_dirs").alias("dirs"), F.col("l.input_size").alias("origin_size"), "byte_runs", gain("byte_wall", "byte_saved").alias("byte_gain"), "replica_runs", gain("replica_wall", "replica_saved").alias("replica_gain")).orderBy(F.col("read_bytes").desc(), "sig")
 
 
 def attribute_origin(files: DataFrame, runs: DataFrame) -> DataFrame:

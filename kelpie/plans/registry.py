@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpie.functions import hashes, hist, units, urls
-from kelpie.operators import cache, columns, intervals, origin, physics, windows
+from kelpie.operators import cache, columns, intervals, origin, physics, runs, windows
 
 SF = str
 
@@ -104,11 +104,11 @@ def q06_totals_ratio_of_sums(spark, sf_dir):
 
 @query("""
     WITH s AS (SELECT l_orderkey, string_agg(p, ',' ORDER BY p) AS sig, count(*) AS parts, sum(ep) AS price FROM (
-            SELECT l_orderkey, CAST(l_partkey % 20 AS VARCHAR) AS p, sum(l_extendedprice) AS ep FROM lineitem GROUP BY 1, 2) GROUP BY 1)
+            SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS p, sum(l_extendedprice) AS ep FROM lineitem GROUP BY 1, 2) GROUP BY 1)
     SELECT sig, count(*) AS orders, max(parts) AS parts, round(sum(price), 2) AS price, max(l_orderkey) AS newest FROM s GROUP BY sig""")
 def q07_datasets_by_key_set(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_extendedprice")
-    per = rows.groupBy("l_orderkey", (F.col("l_partkey") % 20).cast("string").alias("p")).agg(F.sum("l_extendedprice").alias("ep"))
+    per = rows.groupBy("l_orderkey", F.col("l_partkey").cast("string").alias("p")).agg(F.sum("l_extendedprice").alias("ep"))
     sets = per.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("p")), ",").alias("sig"), F.count("*").alias("parts"), F.sum("ep").alias("price"))
     return sets.groupBy("sig").agg(F.count("*").alias("orders"), F.max("parts").alias("parts"), F.round(F.sum("price"), 2).alias("price"), F.max("l_orderkey").alias("newest"))
 
@@ -275,7 +275,8 @@ def q21_sessions(spark, sf_dir):
 @query(r"""
     WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)', 1)) AS host, url FROM pages)
     SELECT page_id, host, CASE WHEN NOT contains(host, '.') THEN host ELSE regexp_replace(host, '^[^.]*\.', '') END AS site,
-        CASE WHEN NOT contains(host, '.') THEN 'unknown' ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+        CASE WHEN host = '' OR regexp_matches(host, '^[0-9.]*$|[:\[\]]') THEN 'unknown' WHEN length(string_split(host, '.')[-1]) = 2 AND len(string_split(host, '.')) >= 3
+            AND string_split(host, '.')[-2] IN ('ac', 'co', 'edu', 'gov', 'org', 'com', 'net', 'or', 'ne', 'go') THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
         scheme || '://' || host || ':' || CASE scheme WHEN 'https' THEN '443' WHEN 'http' THEN '80' ELSE '0' END || regexp_replace(regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?]*)', 1), '/+', '/', 'g'), '(.)/$', '\1') AS key FROM p""")
 def q22_url_keys(spark, sf_dir):
     p = table(spark, sf_dir, "pages", "page_id", "url")
@@ -283,9 +284,15 @@ def q22_url_keys(spark, sf_dir):
     return p.select("page_id", host.alias("host"), urls.site_of(host).alias("site"), urls.registrable_domain(host).alias("domain"), urls.url_key(F.col("url")).alias("key"))
 
 
-@query("SELECT page_id, left(sha256('salt' || chr(1) || url), 32) AS h FROM pages")
+@query("""
+    SELECT page_id, left(sha256(encode('salt') || '\\x00'::BLOB || encode('machine:' || lower(trim(host)))), 32) AS machine,
+        left(sha256(encode('salt') || '\\x00'::BLOB || encode('location:' || lower(trim(host))) || '\\x00'::BLOB || encode('/data/' || page_id)), 32) AS location,
+        left(sha256(encode('salt') || '\\x00'::BLOB || encode('volume:' || lower(trim(host))) || '\\x00'::BLOB || encode('/data')), 32) AS volume
+    FROM (SELECT page_id, ' ' || upper(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) || ' ' AS host FROM pages)""")
 def q23_salted_hash(spark, sf_dir):
-    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.substring(F.sha2(F.concat(F.lit("salt\x01"), "url"), 256), 1, 32).alias("h"))
+    host, salt = F.concat(F.lit(" "), F.upper(F.regexp_extract("url", "^[a-z]+://([^/:?#]*)", 1)), F.lit(" ")), F.lit("salt")
+    path = F.concat(F.lit("/data//x/../"), F.col("page_id").cast("string"), F.lit("/"))
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", hashes.machine_hash(salt, host).alias("machine"), hashes.location_hash(salt, host, path).alias("location"), hashes.volume_hash(salt, host, F.lit("/data/")).alias("volume"))
 
 
 @query("""
@@ -382,10 +389,25 @@ def q32_ordered_fold(spark, sf_dir):
     return merge_file_records(records).select(F.col("stem").alias("user_id"), F.coalesce("orig_bytes", F.lit(-1)).alias("orig_bytes"), F.col("opens").alias("records"))
 
 
-@query()
+def _fnv(column: str, digits: int) -> str:
+    """SQL of the low hex digits of FNV-1a over a list of byte values."""
+    return (
+        f"printf('%0{digits}x', CAST(list_reduce(list_concat([{hashes.FNV_BASIS}::HUGEINT], list_transform({column}, lambda b: b::HUGEINT)), "
+        f"lambda h, b: (xor(h, b) * {hashes.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT) % {16**digits} AS BIGINT))"
+    )
+
+
+_KEY_BYTES = "flatten(list_transform(list_sort(list(key)), lambda k: list_append(list_transform(string_split(k, ''), lambda c: ascii(c)), 10)))"
+
+
+@query(f"""
+    WITH k AS (SELECT DISTINCT l_orderkey, 'part-' || l_partkey AS key, CASE WHEN l_partkey % 17 = 0 THEN '' ELSE 's' || (l_partkey % 5) END AS read_sig FROM lineitem),
+    s AS (SELECT l_orderkey, {_KEY_BYTES} AS b, bool_and(read_sig <> '') AS whole, list(read_sig ORDER BY key) AS reads FROM k GROUP BY 1)
+    SELECT CAST(l_orderkey AS VARCHAR) AS stem, {_fnv("b", 6)} AS sig, CASE WHEN whole THEN {_fnv("list_transform(string_split(array_to_string(reads, ''), ''), lambda c: ascii(c))", 6)} ELSE '' END AS read_sig FROM s""")
 def q33_set_signatures(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", F.concat(F.lit("part-"), F.col("l_partkey")).alias("key")).distinct()
-    return rows.groupBy("l_orderkey").agg(F.collect_list("key").alias("keys")).select("l_orderkey", hashes.key_set_signature("keys").alias("sig"), F.sha2(F.array_join(F.sort_array("keys"), "\n"), 256).alias("sha"))
+    sig = F.when(F.col("l_partkey") % 17 == 0, "").otherwise(F.concat(F.lit("s"), F.col("l_partkey") % 5))
+    rows = table(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("stem"), F.concat(F.lit("part-"), F.col("l_partkey")).alias("key"), sig.alias("read_sig")).distinct()
+    return hashes.run_signatures(rows)
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
@@ -459,3 +481,151 @@ def q42_slot_placement(spark, sf_dir):
 def q43_text_of_times(spark, sf_dir):
     rows = table(spark, sf_dir, "part", (F.col("p_size") * 7).alias("p_size"))
     return rows.groupBy("p_size", units.human_duration(F.col("p_size")).alias("age"), units.date_utc(F.col("p_size").cast("long") * 86400).alias("day")).agg(F.count("*").alias("n"))
+
+
+_MIB = 1 << 20
+#: Files of runs: a run is a supplier's lines of one return flag, its files are parts dealt by number.  Every fifth run
+#: reads without a cache, every fifth fills it (some with a share from it), the others are served from one tier or both.
+_RUN_FILES = f"""
+    SELECT s || '-' || rf AS stem, s, rf, role, 'root://h:1094/d' || (k % 2) || '/f' || k AS key, 1700000000 + s * 100 + ascii(rf) + 5 AS ts,
+        CASE WHEN role IN (0, 1) THEN q * {_MIB} WHEN role = 4 THEN q * {_MIB} DIV 20 ELSE 0 END AS wire_bytes,
+        CASE WHEN role IN (2, 4) THEN q * {_MIB} WHEN role = 1 AND s % 4 = 0 THEN q * {_MIB} DIV 11 WHEN role = 1 AND s % 4 = 1 THEN q * {_MIB} * 3 DIV 20 ELSE 0 END AS served_bytes,
+        CASE WHEN role = 3 THEN q * {_MIB} ELSE 0 END AS replica_bytes, q * {_MIB} AS origin_size,
+        CASE WHEN s % 7 = 0 THEN '' ELSE 's' || (k % 3 + CASE WHEN s % 11 = 0 THEN 1 ELSE 0 END) END AS read_sig
+    FROM (SELECT s, rf, (s + ascii(rf)) % 5 AS role, k, q FROM (
+        SELECT l_suppkey AS s, l_returnflag AS rf, l_partkey % (4 + 3 * (l_suppkey % 3)) AS k, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2, 3) AS g) AS h"""
+_RUNS = """
+    SELECT stem, s AS pid, 1700000000 + s * 100 + ascii(rf) AS start_s, 1700000000 + s * 100 + ascii(rf) + 5 + (s * 37) % 400 AS end_s, s % 9 <> 0 AS complete,
+        CASE WHEN role = 0 THEN 1 ELSE 0 END AS disabled, CASE WHEN role = 0 THEN 0 ELSE sum(wire_bytes) END AS origin_bytes, CASE WHEN role = 0 THEN sum(wire_bytes) ELSE 0 END AS relay_bytes,
+        sum(served_bytes) AS hit_bytes, sum(replica_bytes) AS replica_bytes_served, sum(served_bytes + replica_bytes + wire_bytes) AS served_bytes, count(*) AS opens, count(*) AS files_opened,
+        CASE WHEN s % 13 = 0 THEN 1 ELSE 0 END AS crc_failures, CASE WHEN s % 6 = 0 THEN 40000000 ELSE 1000000 END AS buffer_stall_us, 9000000 AS cpu_us,
+        CASE WHEN role = 1 THEN 100 ELSE 0 END AS waits, sum(served_bytes) DIV 3 AS ram_hit_bytes, count(*) AS hit_disk_reads, sum(served_bytes) DIV 2 AS hit_disk_bytes
+    FROM f GROUP BY stem, s, rf, role"""
+
+
+def _bound_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(runs, files) of the binding, measured."""
+    lines = table(spark, sf_dir, "lineitem", "l_suppkey", "l_returnflag", "l_partkey", "l_quantity")
+    files = spark.sql(_RUN_FILES.replace("FROM lineitem", "FROM {lines}"), lines=lines)
+    rows = spark.sql(_RUNS.replace("FROM f ", "FROM {f} "), f=files).withColumns(
+        {
+            "hist_origin_rt_us": F.when(F.col("waits") > 0, F.concat(F.array_repeat(F.lit(0).cast("long"), 20), F.array(F.col("waits").cast("long")))),
+            **{c: F.lit(None).cast("array<long>") for c in ("hist_flush_write_us", "hist_meta_flush_us")},
+            **{c: F.lit(None).cast("long") for c in ("replica_crc_failures", "replica_invalid", "failopen_events", "meta_corrupt", "prefetch_issued_bytes", "prefetch_served_bytes", "cold_replica_in_bytes", "start_ms", "ts_ms")},
+        }
+    )
+    files = files.select("stem", "key", "ts", "wire_bytes", "served_bytes", "replica_bytes", "origin_size", "read_sig")
+    return runs.measures(runs.join_files(rows, files)), files
+
+
+_MEASURED = f"""
+    WITH RECURSIVE f AS ({_RUN_FILES.replace(" DIV ", " // ")}), q AS ({_RUNS.replace(" DIV ", " // ")}),
+    w AS (SELECT stem, count(*) AS n_files, max(ts) AS last_ts, sum(wire_bytes + served_bytes + replica_bytes) AS work, sum(served_bytes + replica_bytes) AS cache_work, sum(wire_bytes) AS wire, sum(replica_bytes) AS replica, sum(origin_size) AS input_size,
+        sum(origin_size * (wire_bytes::DOUBLE / (wire_bytes + served_bytes + replica_bytes))) / sum(origin_size) AS origin_share, count(DISTINCT regexp_replace(key, '/[^/]*$', '')) AS n_dirs, {_fnv(_KEY_BYTES, 6)} AS sig FROM f GROUP BY stem),
+    r AS (SELECT *, hit_bytes + replica_bytes_served AS cache_bytes, greatest(greatest(end_s, last_ts) - start_s, 1) AS duration_s, waits * 1.572864::DOUBLE AS origin_wait_s,
+        CASE WHEN waits > 0 THEN buffer_stall_us / 1e6::DOUBLE / (waits * 1.572864::DOUBLE) ELSE 0.0 END AS overhead,
+        CASE WHEN disabled = 1 THEN 'baseline' WHEN origin_bytes > 0 AND hit_bytes + replica_bytes_served = 0 THEN 'fill' WHEN origin_bytes = 0 AND hit_bytes + replica_bytes_served > 0 THEN 'warm' WHEN origin_bytes > 0 THEN 'mixed' ELSE 'idle' END AS kind FROM q JOIN w USING (stem)),
+    m AS (SELECT *, origin_share >= 0.8 AND origin_bytes >= cache_bytes AND waits > 0 AND overhead <= 0.1 AS candidate, origin_share >= 0.9 AND origin_bytes >= cache_bytes AND waits > 0 AND overhead <= 0.1 AS qualified FROM r)"""
+#: Gains: pairs of runs by files in common, corrections of fills, references, and the best reference of each run.
+_GAINS = f"""{_MEASURED},
+    p AS (SELECT a.stem, b.stem AS ref, count(*) AS common, count(*) FILTER (WHERE a.read_sig <> '' AND b.read_sig <> '') AS sp, count(*) FILTER (WHERE a.read_sig <> '' AND a.read_sig = b.read_sig) AS sa,
+        count(*) FILTER (WHERE b.wire_bytes > 0) AS wcommon, sum(b.wire_bytes) AS mwire, sum(a.wire_bytes + a.served_bytes + a.replica_bytes) FILTER (WHERE b.wire_bytes > 0) AS mwork,
+        count(*) FILTER (WHERE b.wire_bytes > 0 AND a.read_sig <> '' AND b.read_sig <> '') AS wsp, count(*) FILTER (WHERE b.wire_bytes > 0 AND a.read_sig <> '' AND a.read_sig = b.read_sig) AS wsa
+        FROM f a JOIN f b ON a.key = b.key AND a.stem <> b.stem GROUP BY 1, 2),
+    x AS (SELECT stem, off, share FROM (SELECT l.stem, 1 - l.origin_share AS share, (l.duration_s - greatest(0, 1 - l.origin_share) * h.duration_s) / (1 - greatest(0, 1 - l.origin_share)) AS off,
+            row_number() OVER (PARTITION BY l.stem ORDER BY abs(h.start_s - l.start_s), h.start_s DESC, h.pid DESC) AS n
+        FROM p JOIN m l ON l.stem = p.stem AND l.candidate JOIN m h ON h.stem = p.ref AND h.disabled = 0 AND h.crc_failures = 0 AND h.duration_s >= 10 AND h.wire <= 0.05 * h.work AND h.replica <= 0.05 * h.work
+        WHERE common >= 0.9 * l.n_files AND common >= 0.9 * h.n_files AND (sp = 0 OR sp < 0.5 * common OR sa >= 0.9 * sp)) WHERE n = 1 AND off > 0),
+    b AS (SELECT m.*, x.off, coalesce(x.share, 0.0) AS cache_share FROM m LEFT JOIN x USING (stem) WHERE (disabled = 1 OR (candidate AND (qualified OR off IS NOT NULL))) AND duration_s >= 30 AND crc_failures = 0 AND wire >= {64 * _MIB}),
+    o AS (SELECT *, CASE WHEN disabled = 1 THEN 'is_baseline' WHEN origin_bytes > cache_bytes THEN 'filled' WHEN cache_bytes = 0 THEN 'incomplete' WHEN cache_bytes < {64 * _MIB} THEN 'too_small' WHEN duration_s < 30 THEN 'too_short' END AS refused FROM m),
+    c AS (SELECT o.stem, p.ref, p.common, mwire::DOUBLE / b.wire AS c, mwork::DOUBLE / o.work AS d, wsp > 0 AND wsp >= 0.5 * wcommon AND wsa::DOUBLE / wsp < 0.9 AS differs, b.disabled AS rd, b.start_s AS rs, b.pid AS rp,
+        CASE WHEN b.disabled = 0 AND b.cache_share > 0 THEN b.off ELSE b.duration_s END AS used, b.disabled = 0 AND b.cache_share > 0 AS corrected
+        FROM o JOIN p USING (stem) JOIN b ON b.stem = p.ref WHERE refused IS NULL AND wcommon > 0),
+    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY rd DESC, rs DESC, rp DESC) AS n FROM c WHERE NOT coalesce(differs, false) AND c >= 0.7 AND d >= 0.7) WHERE n = 1),
+    g AS (SELECT o.*, t.ref, coalesce(t.ref IS NOT NULL, false) AS valid, t.corrected, t.common, used * c - duration_s * d AS saved_s,
+        coalesce(refused, CASE WHEN t.ref IS NOT NULL THEN 'measured' WHEN e.differs THEN 'read_different' ELSE 'no_baseline' END) AS why
+        FROM o LEFT JOIN t USING (stem) LEFT JOIN (SELECT stem, bool_or(differs) AS differs FROM c GROUP BY 1) e USING (stem))"""
+
+
+@query(f"{_MEASURED} SELECT stem, kind, n_files, duration_s, round(origin_share, 6) AS origin_share, round(overhead, 6) AS overhead, candidate AS fill_candidate, qualified, CAST(work AS BIGINT) AS work, sig FROM m")
+def q44_run_measures(spark, sf_dir):
+    rows, _ = _bound_runs(spark, sf_dir)
+    return rows.select("stem", "kind", "n_files", F.col("duration_s").cast("long").alias("duration_s"), F.round("origin_share", 6).alias("origin_share"), F.round("overhead", 6).alias("overhead"), "fill_candidate", "qualified", "work", "sig")
+
+
+@query(f"{_GAINS} SELECT stem, why, valid, ref, round(saved_s, 6) AS saved_s, round((duration_s + saved_s) / duration_s, 6) AS gain, common AS matched_files, corrected FROM g")
+def q45_gain_estimates(spark, sf_dir):
+    rows, files = _bound_runs(spark, sf_dir)
+    return runs.estimate_gains(rows, files).select("stem", "why", "valid", "ref", F.round("saved_s", 6).alias("saved_s"), F.round("gain", 6).alias("gain"), "matched_files", "corrected")
+
+
+@query(f"{_GAINS} SELECT stem, round(share, 6) AS cache_share, round(off, 6) AS corrected_s FROM x")
+def q46_corrected_references(spark, sf_dir):
+    rows, files = _bound_runs(spark, sf_dir)
+    return runs.reference_corrections(rows, files).select("stem", F.round("cache_share", 6).alias("cache_share"), F.round("corrected_s", 6).alias("corrected_s"))
+
+
+_CAP = 60
+
+
+@query(f"""{_GAINS}, y AS (SELECT *, row_number() OVER (ORDER BY start_s DESC, pid DESC) AS n FROM g WHERE duration_s >= 10)
+    SELECT (SELECT count(*) FROM g) AS runs, CAST((SELECT sum(duration_s) FROM g) AS BIGINT) AS duration_s, CAST((SELECT sum(crc_failures) FROM g) AS BIGINT) AS faults, (SELECT count(DISTINCT key) FROM f) AS distinct_files,
+        count(*) FILTER (WHERE valid AND n <= {_CAP}) AS runs_estimated, count(*) FILTER (WHERE n > {_CAP}) AS gain_capped, round(sum(saved_s) FILTER (WHERE valid AND n <= {_CAP}), 6) AS saved_s,
+        round((sum(duration_s) FILTER (WHERE valid AND n <= {_CAP}) + sum(saved_s) FILTER (WHERE valid AND n <= {_CAP})) / sum(duration_s) FILTER (WHERE valid AND n <= {_CAP}), 6) AS gain FROM y""")
+def q47_run_totals(spark, sf_dir):
+    rows, files = _bound_runs(spark, sf_dir)
+    found = runs.totals(rows, files, runs.estimate_gains(rows, files), _CAP)
+    return found.select("runs", F.col("duration_s").cast("long").alias("duration_s"), F.col("faults").cast("long").alias("faults"), "distinct_files", "runs_estimated", F.col("gain_capped").cast("long").alias("gain_capped"), F.round("saved_s", 6).alias("saved_s"), F.round("gain", 6).alias("gain"))
+
+
+@query(f"""{_GAINS}, y AS (SELECT stem FROM g WHERE disabled = 0 AND duration_s >= 10 ORDER BY start_s DESC, pid DESC LIMIT {_CAP}),
+    z AS (SELECT g.*, g.valid AND y.stem IS NOT NULL AS ok, replica_bytes_served > hit_bytes AS rep, g.duration_s >= 10 AND (disabled = 1 OR qualified OR (candidate AND x.off IS NOT NULL)) AS usable FROM g LEFT JOIN y USING (stem) LEFT JOIN x USING (stem))
+    SELECT sig, count(*) AS runs, count(*) FILTER (WHERE NOT complete) AS incomplete, count(*) FILTER (WHERE usable) AS baselines, count(*) FILTER (WHERE ok) AS measured, CAST(coalesce(sum(served_bytes) FILTER (WHERE ok), 0) AS BIGINT) AS measured_bytes,
+        CAST(sum(served_bytes) AS BIGINT) AS read_bytes, max(n_files) AS files, arg_max(n_dirs, (n_files, start_s, pid)) AS dirs, count(*) FILTER (WHERE ok AND NOT rep) AS byte_runs, count(*) FILTER (WHERE ok AND rep) AS replica_runs,
+        round((sum(duration_s) FILTER (WHERE ok AND NOT rep) + sum(saved_s) FILTER (WHERE ok AND NOT rep)) / sum(duration_s) FILTER (WHERE ok AND NOT rep), 6) AS byte_gain,
+        round((sum(duration_s) FILTER (WHERE ok AND rep) + sum(saved_s) FILTER (WHERE ok AND rep)) / sum(duration_s) FILTER (WHERE ok AND rep), 6) AS replica_gain FROM z GROUP BY sig""")
+def q48_run_datasets(spark, sf_dir):
+    rows, files = _bound_runs(spark, sf_dir)
+    found = runs.datasets(rows, files, runs.estimate_gains(rows, files), _CAP)
+    return found.select("sig", "runs", "incomplete", "baselines", "measured", "measured_bytes", "read_bytes", "files", "dirs", "byte_runs", "replica_runs", F.round("byte_gain", 6).alias("byte_gain"), F.round("replica_gain", 6).alias("replica_gain"))
+
+
+@query(f"""{_MEASURED}, h AS (SELECT *, hit_bytes + replica_bytes_served + relay_bytes + origin_bytes AS total, row_number() OVER (ORDER BY start_s DESC, pid DESC) AS n FROM m),
+    a AS (SELECT stem, kind, start_s, duration_s, total, hit_bytes, replica_bytes_served, relay_bytes, origin_bytes FROM h WHERE n <= 20
+        UNION ALL SELECT 'ALL', NULL, NULL, sum(duration_s), sum(total), sum(hit_bytes), sum(replica_bytes_served), sum(relay_bytes), sum(origin_bytes) FROM h)
+    SELECT stem, kind, start_s, CAST(duration_s AS BIGINT) AS duration_s, round(total / 1e9::DOUBLE, 6) AS gb, round(100.0::DOUBLE * hit_bytes / total, 6) AS hit_pct, round(100.0::DOUBLE * replica_bytes_served / total, 6) AS replica_pct,
+        round(100.0::DOUBLE * relay_bytes / total, 6) AS relay_pct, round(100.0::DOUBLE * origin_bytes / total, 6) AS origin_pct FROM a""")
+def q49_run_history(spark, sf_dir):
+    rows, _ = _bound_runs(spark, sf_dir)
+    rounded = [F.round(F.col(c).cast("double"), 6).alias(c) for c in ("gb", "hit_pct", "replica_pct", "relay_pct", "origin_pct")]
+    return runs.history(rows, 20).select("stem", "kind", "start_s", F.col("duration_s").cast("long").alias("duration_s"), *rounded)
+
+
+@query(f"""{_MEASURED}, t AS (SELECT sum(opens) AS opens, sum(files_opened) AS fo, sum(hit_bytes) AS hit, sum(ram_hit_bytes) AS ram, sum(replica_bytes_served) AS rep, sum(relay_bytes) AS relay, sum(origin_bytes) AS org, sum(hit_disk_reads) AS reads, sum(hit_disk_bytes) AS disk FROM m)
+    SELECT round(opens::DOUBLE / fo, 6) AS opens_per_file, round(100.0::DOUBLE * relay / (hit + rep + relay + org), 6) AS direct_pct, round(100.0::DOUBLE * org / (hit + rep + relay + org), 6) AS fill_pct, round(100.0::DOUBLE * least(ram, hit) / (hit + rep + relay + org), 6) AS ram_pct,
+        round(100.0::DOUBLE * greatest(0, hit - ram) / (hit + rep + relay + org), 6) AS disk_pct, round(100.0::DOUBLE * rep / (hit + rep + relay + org), 6) AS replica_pct, round(disk::DOUBLE / reads, 6) AS mean_disk_read FROM t""")
+def q50_workflow_ratios(spark, sf_dir):
+    rows, _ = _bound_runs(spark, sf_dir)
+    found = runs.workflow_ratios(rows)
+    return found.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in found.columns))
+
+
+_LIVE = "SELECT o_orderkey AS hash, o_orderkey % 1500 * 10 AS last_s, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 700 * 20 END AS hold_s FROM orders"
+
+
+@query(f"SELECT hash FROM ({_LIVE}) WHERE (last_s <> 0 AND last_s + 3600 > 12000) OR (hold_s <> 0 AND hold_s + 1200 > 12000)")
+def q51_in_use(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    ranges = spark.sql(_LIVE.replace("FROM orders", "FROM {orders}"), orders=orders)
+    return cache.in_use(ranges.select("hash"), ranges, 12000, 3600)
+
+
+@query("""
+    SELECT CAST(p_partkey AS BIGINT) AS n, CASE WHEN n = 0 THEN '0' WHEN n % 86400 = 0 THEN (n // 86400) || 'd' WHEN n % 3600 = 0 THEN (n // 3600) || 'h' WHEN n % 60 = 0 THEN (n // 60) || 'm' ELSE n || 's' END AS setting,
+        CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 1024 WHEN p_partkey % 3 = 1 THEN p_partkey END AS BIGINT) AS size,
+        CASE WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN printf('%dm%02ds', n // 60, n % 60) WHEN n < 86400 THEN printf('%dh%02dm', n // 3600, n % 3600 // 60) ELSE printf('%dd%dh', n // 86400, n % 86400 // 3600) END AS age FROM (SELECT p_partkey, CAST(p_partkey * 1800 AS BIGINT) AS n FROM part) AS x""".replace("CAST(p_partkey AS BIGINT) AS n", "p_partkey"))
+def q52_sizes_and_times(spark, sf_dir):
+    key = F.col("p_partkey")
+    text = F.concat(key.cast("string"), F.when(key % 3 == 0, "K").when(key % 3 == 1, "").otherwise("kb"))
+    rows = table(spark, sf_dir, "part", "p_partkey").withColumn("n", F.col("p_partkey") * 1800)
+    return rows.select("p_partkey", units.format_duration(F.col("n")).alias("setting"), units.parse_size(text).cast("long").alias("size"), units.human_duration(F.col("n")).alias("age"))

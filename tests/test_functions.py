@@ -1,3 +1,8 @@
+import hashlib
+import posixpath
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,60 +14,116 @@ def one(spark, column, **values):
     return df.select(column.alias("r")).first().r
 
 
-@pytest.mark.parametrize(
-    ("url", "key"),
-    [
-        ("root://Pool.Example.CH//eos//data/./a/file.root", "root://pool.example.ch:1094/eos/data/a/file.root"),
-        ("root://h//a/b/../c/../../d", "root://h:1094/d"), ("root://h//../..//x", "root://h:1094/x"), ("root://user@h//f", "root://h:1094/f"), ("root://[::1]:2094//f", "root://[::1]:2094/f"), ("https://h/a b", "https://h:443/a b"), ("nothing", None),
-    ],
-)
-def test_keys(spark, url, key):
-    assert one(spark, urls.url_key(F.col("u")), u=url) == key
+def all_of(spark, values, column, name="v"):
+    """The column over many values at once, in their order."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, {name} string")
+    return [r.r for r in df.select("i", column.alias("r")).orderBy("i").collect()]
 
 
-def test_parameters(spark):
-    assert one(spark, urls.url_key(F.col("u"), ["zkey", "akey"]), u="root://h//f?zkey=1&authz=SECRET&akey=2") == "root://h:1094/f?akey=2&zkey=1"
-    assert one(spark, urls.strip_parameters(F.col("u"), ["a"]), u="root://h//f?a=1&b=2") == "root://h//f?b=2"
-    assert one(spark, urls.with_tried(F.col("u"), F.array(F.lit("x"), F.lit("y"))), u="root://h//f?tried=x&b=2") == "root://h//f?b=2&tried=x,y"
-    assert one(spark, urls.url_at_server(F.col("u"), F.lit("n:1")), u="root://h:2//f?q") == "root://n:1//f?q"
-    assert one(spark, urls.logical_name(F.col("u"), ["/store/", "/user/"]), u="/eos/user/store/x") == "lfn:/user/store/x"
+HOSTS = ["shelf", "a.b", "tape7.vault.museum", "x.y.or.jp", "or.jp", "n.go.kr", "deep.er.ne.tz", "www.Shop.COM.br", "com.br", "k.co", "q.ac", "q.ac.il", "q.ac.info", "end.dot.", "8.8.4.4", "99", "1.2", "[fe80::2]", "fe80::2", "::", "", "a1.2b", "x.go.uk", "net.net.nz"]
 
 
-@pytest.mark.parametrize(("host", "site"), [("IO10.RC.Example.EDU", "rc.example.edu"), ("pool.example.ch.", "example.ch"), ("localhost", "localhost"), ("127.0.0.1", "127.0.0.1"), ("10.1.2", "1.2")])
-def test_sites(spark, host, site):
-    assert one(spark, urls.site_of(F.col("h")), h=host) == site
+def plain_domain(host):
+    host = host.lower().removesuffix(".")
+    if not host.strip("0123456789.") or set(host) & set(":[]"):
+        return "unknown"
+    parts = host.split(".")
+    second = {"ac", "co", "edu", "gov", "org", "com", "net", "or", "ne", "go"}
+    return ".".join(parts[-3:] if len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in second else parts[-2:])
 
 
-@pytest.mark.parametrize(("host", "domain"), [("x.y.ac.uk", "y.ac.uk"), ("a.b.co.jp", "b.co.jp"), ("a.example.ch", "example.ch"), ("127.0.0.1", "unknown"), ("::1", "unknown"), ("", "unknown")])
-def test_domains(spark, host, domain):
-    assert one(spark, urls.registrable_domain(F.col("h")), h=host) == domain
+def test_domains_follow_the_rules(spark):
+    assert all_of(spark, HOSTS, urls.registrable_domain(F.col("v"))) == [plain_domain(h) for h in HOSTS]
 
 
-@pytest.mark.parametrize(("path", "normal"), [("a/b/../../..", ".."), ("//x", "//x"), ("///x", "/x"), ("", "."), ("/..", "/"), ("a/./b//c/", "a/b/c"), ("../a", "../a")])
-def test_posix_paths(spark, path, normal):
-    assert one(spark, urls.posix_path(F.col("p")), p=path) == normal
+def test_sites_drop_one_label(spark):
+    names = [h for h in HOSTS if h.strip("0123456789.") and not set(h) & set(":[]")]
+    plain = [h.lower().removesuffix(".") for h in names]
+    assert all_of(spark, names, urls.site_of(F.col("v"))) == [h.split(".", 1)[1] if "." in h else h for h in plain]
+    assert all_of(spark, ["8.8.4.4", "[fe80::2]"], urls.site_of(F.col("v"))) == ["8.8.4.4", "[fe80::2]"]
 
 
-def test_coarse_urls_globs_sites(spark):
-    assert one(spark, urls.coarse_url(F.col("u")), u="pool.example.ch//eos/x") == "root://unknown"
-    assert one(spark, urls.coarse_url(F.col("u")), u="a.example.ch") == "root://example.ch"
-    assert one(spark, urls.host_allowed(F.col("h"), ["*.Example.CH"], ["bad*"]), h="x.example.ch") is True
-    assert one(spark, urls.host_allowed(F.col("h"), [], ["b?d.[d-f]*"]), h="bad.example.ch") is False
-    for name in ("a b%c", "", "-", "é"):
-        assert one(spark, urls.decode_site(urls.encode_site(F.col("n"))), n=name) == name
-    assert one(spark, urls.encode_site(F.col("n")), n="a b%") == "a%20b%25"
+def test_paths_follow_the_rules(spark):
+    """Random paths against the standard library's normal form, and against a stack that cannot leave the root."""
+    rng = random.Random(12)
+    paths = ["/".join(rng.choice(["", ".", "..", "k", "mm", "..."]) for _ in range(rng.randrange(1, 8))) for _ in range(300)] + ["////", "//.."]
+    assert all_of(spark, paths, urls.posix_path(F.col("v"))) == [posixpath.normpath(p) for p in paths]
+    want = []
+    for p in paths:
+        stack = []
+        for part in p.split("/"):
+            if part == "..":
+                stack = stack[:-1]
+            elif part not in ("", "."):
+                stack.append(part)
+        want.append("/" + "/".join(stack))
+    assert all_of(spark, paths, urls.normalize_path(F.col("v"))) == want
+
+
+def test_keys(spark):
+    cases = {
+        "ROOT://Vault.Museum:1094//shelf//2/./b/../leaf": "root://vault.museum:1094/shelf/2/leaf", "root://me@v//leaf": "root://v:1094/leaf", "root://[fe80::2]:77//leaf": "root://[fe80::2]:77/leaf",
+        "https://v/leaf one": "https://v:443/leaf one", "http://v/x": "http://v:80/x", "no url at all": None,
+    }
+    assert all_of(spark, list(cases), urls.url_key(F.col("v"))) == list(cases.values())
+
+
+def test_parameters(spark):
+    assert one(spark, urls.url_key(F.col("u"), ["tone", "hue"]), u="root://v//leaf?tone=3&pass=HIDDEN&hue=2") == "root://v:1094/leaf?hue=2&tone=3"
+    assert one(spark, urls.strip_parameters(F.col("u"), ["p"]), u="root://v//leaf?p=1&r=2") == "root://v//leaf?r=2"
+    assert one(spark, urls.with_tried(F.col("u"), F.array(F.lit("n1"), F.lit("n2"))), u="root://v//leaf?tried=n1&r=2") == "root://v//leaf?r=2&tried=n1,n2"
+    assert one(spark, urls.url_at_server(F.col("u"), F.lit("w:9")), u="root://v:2//leaf?z") == "root://w:9//leaf?z"
+    assert one(spark, urls.logical_name(F.col("u"), ["/shelf/", "/desk/"]), u="/far/desk/shelf/leaf") == "lfn:/desk/shelf/leaf"
 
 
-def test_units(spark):
-    for text, size in (("10", 10), ("1k", 1024), ("1.5G", 3 << 29), ("2TiB", 2 << 40), ("x", None)):
-        assert one(spark, units.parse_size(F.col("t")), t=text) == size
-    for text, bare, seconds in (("30", True, 30), ("30", False, None), ("0", False, 0), ("2h", False, 7200), ("7d", True, 604800)):
-        assert one(spark, units.parse_duration(F.col("t"), bare), t=text) == seconds
+def test_coarse_urls_globs_sites(spark):
+    assert one(spark, urls.coarse_url(F.col("u")), u="tape.vault.museum//shelf/leaf") == "root://unknown"
+    assert one(spark, urls.coarse_url(F.col("u")), u="tape.vault.museum") == "root://vault.museum"
+    assert one(spark, urls.coarse_url(F.col("u")), u="shelf") == "root://shelf"
+    assert one(spark, urls.host_allowed(F.col("h"), ["*.Vault.Museum"], ["low*"]), h="tape.vault.museum") is True
+    assert one(spark, urls.host_allowed(F.col("h"), [], ["l?w.[t-w]*"]), h="low.vault.museum") is False
+    for name in ("p q%r", "", "-", "ø"):
+        assert one(spark, urls.decode_site(urls.encode_site(F.col("n"))), n=name) == name
+    assert one(spark, urls.encode_site(F.col("n")), n="p q%") == "p%20q%25"
+
+
+def test_sizes_and_durations(spark):
+    rng = random.Random(4)
+    texts = ["", "0", "007k", "1.5g", "2tib", "30sb", "+1", "-1", " 1", "1 ", "k", "1kk", "18446744073709551615", "18446744073709551616", "16777216t", "16777215t", "9" * 40, "0" * 40 + "5"]
+    texts += [f"{rng.randrange(10**rng.randrange(1, 14))}{rng.choice(['', *'kKmMgGtTsShdwx'])}" for _ in range(300)]
+
+    def plain(text, units, most, bare=True):
+        m = re.fullmatch(r"([0-9]+)(.?)", text)
+        if not m or (m[2] and m[2] not in units) or (not m[2] and not bare):
+            return None
+        value = int(m[1]) * units.get(m[2], 1)
+        return value if value <= most else None
+
+    size = {c: 1 << 10 * (1 + "kmgt".index(c.lower())) for c in "kKmMgGtT"}
+    time = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
+    whole = lambda xs: [None if x is None else int(x) for x in xs]
+    assert whole(all_of(spark, texts, units.parse_size(F.col("v")))) == [plain(t, size, 2**64 - 1) for t in texts]
+    assert whole(all_of(spark, texts, units.parse_duration(F.col("v")))) == [plain(t, time, 2**64 - 1) for t in texts]
+    assert whole(all_of(spark, texts, units.parse_duration(F.col("v"), False))) == [0 if t == "0" else plain(t, time, 2**31 - 1, False) for t in texts]
+
+
+def test_times_as_text(spark):
+    for n in (0, 59, 60, 3599, 3600, 7500, 86399, 86400, 4 * 86400 + 3 * 3600 + 59, 40 * 86400):
+        short = f"{n}s" if n < 60 else f"{n // 60}m{n % 60:02}s" if n < 3600 else f"{n // 3600}h{n % 3600 // 60:02}m" if n < 86400 else f"{n // 86400}d{n % 86400 // 3600}h"
+        assert one(spark, units.human_duration(F.col("n")), n=n) == short
+        setting = one(spark, units.format_duration(F.col("n")), n=n)
+        assert int(one(spark, units.parse_duration(F.col("t"), False), t=setting)) == n and len(setting) <= len(f"{n}s")
     assert one(spark, units.human_size(F.col("n")), n=1536) == "1.5 KiB"
-    assert one(spark, units.human_duration(F.col("n")), n=7500) == "2h05m"
     assert one(spark, units.page_bytes(F.col("n"), F.lit(3)), n=3) == 2
 
 
+def test_labels(spark):
+    fine = [None, "", "  ", "night run 3", "größe", "x" * 80, " x" + "y" * 78 + " "]
+    assert all_of(spark, fine, urls.valid_label(F.col("v"))) == [None] * len(fine)
+    bad = ["-n", "  -n", "a/b", "a\\b", "me@v", "~me", "x" * 81, "é" * 41]
+    assert all(all_of(spark, bad, urls.valid_label(F.col("v"))))
+
+
 def test_histograms(spark):
     values = spark.createDataFrame([(v,) for v in (0, 1, 2, 3, 4, 1024, (1 << 63) - 1)], "v long")
     assert {r.bucket: r.n for r in hist.histogram(values, F.col("v")).collect()} == {0: 2, 1: 2, 2: 1, 10: 1, 39: 1}
@@ -77,8 +138,39 @@ def test_histograms(spark):
 def test_hashes(spark):
     df = spark.createDataFrame([(b"123456789",), (b"",), (None,)], "b binary")
     assert [r.c for r in df.select(hashes.crc32c("b").alias("c")).collect()] == [0xE3069283, 0, None]
-    assert hashes.fnv1a(b"a") == 0xAF63DC4C8601EC8C
-    assert one(spark, hashes.key_set_signature(F.col("k")), k=["b", "a"]) == one(spark, hashes.key_set_signature(F.col("k")), k=["a", "b"])
+
+
+def plain_fnv(data, value=1469598103934665603):
+    for byte in data:
+        value = (value ^ byte) * 1099511628211 % 2**64
+    return value
+
+
+def test_signatures(spark):
+    rng = random.Random(6)
+    files = [(f"run{i}", f"k/é{rng.randrange(10**6)}", rng.choice(["ab", "cde", "f"]) if i % 3 else rng.choice(["", "x"])) for i in range(12) for _ in range(rng.randrange(1, 9))]
+    files = list({(s, k): (s, k, r) for s, k, r in files}.values())
+    want = {}
+    for stem in {s for s, _, _ in files}:
+        own = sorted((k.encode(), r) for s, k, r in files if s == stem)
+        reads = "".join(r for _, r in own).encode() if all(r for _, r in own) else None
+        want[stem] = (f"{plain_fnv(b''.join(k + bytes([10]) for k, _ in own)) % 2**24:06x}", "" if reads is None else f"{plain_fnv(reads) % 2**24:06x}")
+    found = hashes.run_signatures(spark.createDataFrame(files, "stem string, key string, read_sig string")).collect()
+    assert {r.stem: (r.sig, r.read_sig) for r in found} == want
+    sets = [sorted(k for s, k, _ in files if s == stem) for stem in sorted(want)] + [[], None]
+    got = [r.s for r in spark.createDataFrame([(i, rng.sample(x, len(x)) if x else x) for i, x in enumerate(sets)], "i int, k array<string>").select("i", hashes.key_set_signature("k").alias("s")).orderBy("i").collect()]
+    assert got == [want[stem][0] for stem in sorted(want)] + ["", None]
+    buckets = [[5, 1, 3], [2**40], [], None]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(buckets)), "i int, b array<long>").select("i", hashes.bucket_signature("b").alias("s")).orderBy("i").collect()]
+    assert got == ["" if b == [] else None if b is None else f"{plain_fnv(b''.join(x.to_bytes(8, 'little') for x in sorted(b))) % 2**48:012x}" for b in buckets]
+
+
+def test_salted_hashes(spark):
+    salt, host, path = (F.lit(x) for x in ("pepper", " Tape.VAULT ", "/shelf//2/../"))
+    sha = lambda x: hashlib.sha256(b"pepper" + bytes(1) + x.encode()).hexdigest()[:32]
+    assert one(spark, hashes.machine_hash(salt, host)) == sha("machine:tape.vault")
+    assert one(spark, hashes.location_hash(salt, host, path)) == sha("location:tape.vault" + chr(0) + "/shelf")
+    assert one(spark, hashes.volume_hash(salt, host, path)) == sha("volume:tape.vault" + chr(0) + "/shelf")
 
 
 @pytest.mark.parametrize(
