@@ -9,7 +9,7 @@ Words (with the space before them) do not merge with each other in these models,
 once.  The key of a merge is (seed, doc_id, place of the word in the text, span in the word), so every occurrence of a
 word is drawn anew.  The model's own pieces of a word are kept with the merges that it considers: an occurrence in which
 none of those is skipped has the very same pieces; any other has an agenda of its own, and so has a word that a batch
-holds once.
+holds few times.
 
 Spaces become the model's space mark, one more before the text; characters that are no piece become their bytes.  A
 space mark of the text itself is spelt as bytes, so it is not taken for a space: decoding gives back every text.
@@ -41,7 +41,9 @@ WORD = re.compile(r" *[^ ]+| +")
 SIDE_BY_SIDE = 48
 #: Bytes of kept words in each of two generations, and occurrences drawn at a time.
 KEPT_BYTES = 32 << 20
-DRAWN = 1 << 16
+DRAWN = 1 << 15
+#: Occurrences in a batch from which a word is kept, and words that are merged side by side.
+OFTEN, ABREAST = 5, 1 << 13
 NONE = np.int64((1 << 63) - 1)
 _models: dict[str, Model] = {}
 
@@ -205,27 +207,30 @@ def side_by_side(words: list[list[int]], keys: list[int], model: Model, rate: fl
 
 def merge_all(sym: np.ndarray, sizes: np.ndarray, key: np.ndarray, model: Model, rate: float, seen: list | None = None) -> list[bytes]:
     """``side_by_side`` over joined symbols; ``seen`` takes the (words, places) of the merges that were considered."""
-    sym = sym.copy()
-    word = np.repeat(np.arange(len(sizes)), sizes)
+    sym = sym.astype(np.int32)
+    word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     first = np.concatenate(([0], np.cumsum(sizes)))
-    start = (np.arange(len(sym)) - first[:-1][word]).astype(np.uint64)
-    stop = start + np.uint64(1)
+    start = (np.arange(len(sym)) - first[:-1][word]).astype(np.uint32)
+    stop = start + np.uint32(1)
     out: list[bytes] = [b""] * len(sizes)
     rank = np.full(len(sym), NONE)
-    form = np.zeros(len(sym), dtype=np.int64)
+    form = np.zeros(len(sym), dtype=np.int32)
+
+    def spans(at: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(x.astype(np.uint64) for x in (start[at], start[at + 1], stop[at + 1]))
 
     def consider(at: np.ndarray) -> None:
         """Candidates that begin at the given places."""
         rank[at] = NONE
         at = at[at + 1 < len(sym)]
         at = at[word[at] == word[at + 1]]
-        merged = model.find(sym[at] << 32 | sym[at + 1])
+        merged = model.find(sym[at].astype(np.int64) << 32 | sym[at + 1])
         hit = merged >= 0
         at, merged = at[hit], merged[hit]
         if seen is not None:
-            seen.append((word[at], mix(_place(start[at], start[at + 1], stop[at + 1]))))
+            seen.append((word[at], mix(_place(*spans(at)))))
         if rate and len(at):
-            stay = ~_skipped(key[word[at]], start[at], start[at + 1], stop[at + 1], rate)
+            stay = ~_skipped(key[word[at]], *spans(at), rate)
             at, merged = at[stay], merged[stay]
         form[at] = merged
         rank[at] = model.rank[merged]
@@ -304,11 +309,11 @@ class Encoder:
         flat = [w for s in split for w in s]
         number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
         at = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        words, often = list(number), np.bincount(at, minlength=len(number)) > 1
+        words, often = list(number), np.bincount(at, minlength=len(number)) >= OFTEN
         kept = [self.words.get(w) for w in words]
         fresh = [i for i, k in enumerate(kept) if k is None and (often[i] or not self.rate)]
-        for a in range(0, len(fresh), 1 << 14):
-            some = fresh[a : a + (1 << 14)]
+        for a in range(0, len(fresh), ABREAST):
+            some = fresh[a : a + ABREAST]
             for i, found in zip(some, self._learn([words[i] for i in some])):
                 kept[i] = found
                 self.words.put(words[i], found)
@@ -327,10 +332,10 @@ class Encoder:
 
     def _encode(self, where: np.ndarray, words: list[str], key: np.ndarray, pieces: list[bytes]) -> None:
         """Gives the words that occur at ``where`` an agenda each."""
-        for a in range(0, len(where), 1 << 14):
-            found = self.model.all_symbols(words[a : a + (1 << 14)])
+        for a in range(0, len(where), ABREAST):
+            found = self.model.all_symbols(words[a : a + ABREAST])
             size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self._agendas(where[a : a + (1 << 14)], np.array(list(itertools.chain.from_iterable(found)), dtype=np.int32), size, key, pieces)
+            self._agendas(where[a : a + ABREAST], np.array(list(itertools.chain.from_iterable(found)), dtype=np.int32), size, key, pieces)
 
     def _agendas(self, where: np.ndarray, symbols: np.ndarray, size: np.ndarray, key: np.ndarray, pieces: list[bytes]) -> None:
         """Pieces of the occurrences at ``where``, whose symbols are joined, under the draws of their keys."""
