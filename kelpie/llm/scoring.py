@@ -22,6 +22,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -168,77 +169,84 @@ def _by_order(parts: list[bytes], orders: int) -> list[list[bytes]]:
 class Automaton:
     """States, arcs and failure arcs that some texts of a block can reach.
 
-    States are numbered from the empty context on; an arc is found by its state and word.
+    States are numbered from the empty context on, arcs by order.  ``table[k]`` has the arc of each (k+1)-gram of the
+    block, or -1 where training has none: the arc of its last word, from the state of its first k words.
     """
 
     def __init__(self, g: Grams, low: int, high: int, tokens: int, types: int, texts: int, mass: float):
         """For the tokens from ``low`` to ``high`` of a block whose counts are all in."""
         order = len(g.total)
-        self.words, self.unknown = len(g.keys[0]), math.log10(1.0 / (tokens + types + 1.0))
         failure, shorter = [np.array([0.0, math.log10(mass / (texts + mass))])], [np.array([ROOT, ROOT])]
-        arcs, weights, targets = [], [], []
+        # Arc 0 is that of words never seen: from the empty context to itself.
+        weights, targets = [np.array([math.log10(1.0 / (tokens + types + 1.0))])], [np.array([ROOT])]
+        self.table: list[np.ndarray] = []
         probability: list[np.ndarray] = []
         #: Of each order the state of every n-gram that is one; the highest order has none.
         state: list[np.ndarray] = []
-        states = 2
+        states, arcs = 2, 1
         for k in range(order):
-            here = g.number[k][low:high]
-            reached = np.unique(here[here >= 0])
-            reached = reached[g.total[k][reached] > 0]
+            met = np.zeros(len(g.keys[k]) + 1, dtype=bool)
+            met[g.number[k][low:high]] = True
+            reached = np.flatnonzero(met[:-1] & (g.total[k] > 0))
             at, seen = g.at[k][reached], g.total[k][reached].astype(np.float64)
             suffix = g.number[k - 1][at] if k else None
             p = np.zeros(len(g.keys[k]))
             if k == 0:
                 p[reached] = (seen + 1.0) / (tokens + types + 1.0)
-                source = back = np.zeros(len(at), dtype=np.int64)
+                back = np.zeros(len(at), dtype=np.int64)
             else:
-                begins = g.place[at] == 0
                 head = g.number[k - 1][np.maximum(at - 1, 0)]
-                context = np.where(begins, float(texts), g.total[k - 1][head])
-                source, back = np.where(begins, START, state[k - 1][head]), state[k - 1][suffix]
+                context = np.where(g.place[at] == 0, float(texts), g.total[k - 1][head])
+                back = state[k - 1][suffix]
                 p[reached] = (seen + mass * probability[k - 1][suffix]) / (context + mass)
             probability.append(p)
-            own = np.zeros(len(p), dtype=np.int64)
+            own, table = np.zeros(len(p), dtype=np.int64), np.full(len(p) + 1, 0 if k == 0 else -1)
             if k < order - 1:
                 own[reached] = np.arange(states, states + len(reached))
                 states += len(reached)
                 failure.append(np.log10(mass / (seen + mass)))
                 shorter.append(back)
             state.append(own)
-            arcs.append(source * self.words + g.number[0][at])
+            table[reached] = np.arange(arcs, arcs + len(reached))
+            arcs += len(reached)
+            self.table.append(table)
             weights.append(np.log10(p[reached]))
             # The longest suffix of context and word that is a state: the n-gram itself, but for the highest order.
             targets.append(own[reached] if k < order - 1 else back)
-        self.arcs = {arc: i for i, arc in enumerate(np.concatenate(arcs).tolist())}
         self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
         self.failure, self.shorter = np.concatenate(failure).tolist(), np.concatenate(shorter).tolist()
 
-    def read(self, words: list[int], state: int) -> float:
-        """log10 probability of a text from a state on."""
-        arcs, weights, targets, failure, shorter, n = self.arcs.get, self.weights, self.targets, self.failure, self.shorter, self.words
-        taken: list[float] = []
-        add = taken.append
-        for word in words:
-            while (arc := arcs(state * n + word)) is None and state:
-                add(failure[state])
-                state = shorter[state]
-            if arc is None:
-                add(self.unknown)
-            else:
-                add(weights[arc])
+    def read(self, grams: list[list[int]], sizes: list[int]) -> list[float]:
+        """log10 probabilities of consecutive texts: ``grams[k]`` has the arc of the (k+1)-gram that ends at each token.
+
+        A text begins in the state of the beginning.  A state of ``depth`` words has an arc for the next one if the
+        n-gram of one word more has; if not, the failure arc leads to the state of one word less.
+        """
+        weights, targets, failure, shorter, top = self.weights, self.targets, self.failure, self.shorter, len(grams) - 1
+        steps = zip(*grams)
+        out = []
+        for size in sizes:
+            total, state, depth = 0.0, START if top else ROOT, min(1, top)
+            for arcs in itertools.islice(steps, size):
+                while (arc := arcs[depth]) < 0:
+                    total += failure[state]
+                    state = shorter[state]
+                    depth -= 1
+                total += weights[arc]
                 state = targets[arc]
-        return math.fsum(taken)
+                if depth < top:
+                    depth += 1
+            out.append(total)
+        return out
 
 
 def scores(g: Grams, tokens: int, types: int, texts: int, mass: float, part_tokens: int = PART_TOKENS) -> list[float]:
     """The automaton's log10 probability of each text of a block."""
     out: list[float] = []
-    start = START if len(g.total) > 1 else ROOT
     for a, b in passes(g.sizes.tolist(), part_tokens):
         low, high = int(g.first[a]), int(g.first[b])
         automaton = Automaton(g, low, high, tokens, types, texts, mass)
-        words = g.number[0][low:high].tolist()
-        out += [automaton.read(words[i - low : j - low], start) for i, j in zip(g.first[a:b].tolist(), g.first[a + 1 : b + 1].tolist())]
+        out += automaton.read([t[n[low:high]].tolist() for t, n in zip(automaton.table, g.number)], g.sizes[a:b].tolist())
     return out
 
 
