@@ -135,8 +135,22 @@ def unpack_keys(packed: bytes, kept: int = BITS) -> np.ndarray:
 def merge(packed: list[bytes]) -> tuple[np.ndarray, list[int]]:
     """For the keys of all rows in turn the number of each distinct key, and the rows' sizes."""
     parts = [unpack_keys(p) for p in packed]
-    _, number = np.unique(np.concatenate(parts), return_inverse=True)
-    return number, [len(x) for x in parts]
+    return distinct(np.concatenate(parts))[2], [len(x) for x in parts]
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and the number of every value among them.
+
+    Unlike ``numpy.unique`` it does not look for the first place, for which that sorts several times slower.
+    """
+    order = np.argsort(values)
+    ordered = values[order]
+    fresh = np.empty(len(values), dtype=bool)
+    fresh[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    number = np.empty(len(values), dtype=np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], order[fresh], number
 
 
 def number_pairs(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -85,10 +85,10 @@ class Grams:
                     before[self.first[:-1]] = BEGIN
                 gram = mix(before * STEP + token + np.uint64(k))
             valid = np.flatnonzero(self.place >= k - 2)
-            keys, at, number = np.unique(X.shorten(gram[valid], bits), return_index=True, return_inverse=True)
+            keys, at, number = X.distinct(X.shorten(gram[valid], bits))
             self.keys.append(keys)
             self.at.append(valid[at])
-            self.number.append(np.full(len(token), -1))
+            self.number.append(np.full(len(token), -1, dtype=np.int32))
             self.number[-1][valid] = number
             self.own.append(np.bincount(number, weights=weight[valid], minlength=len(keys)).astype(np.int64))
         #: Counts in all training texts, and whether other blocks have the n-gram, as far as answers are in.
