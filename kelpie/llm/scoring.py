@@ -43,7 +43,7 @@ FOLD, HELD_OUT = 7, 2
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Tokens of the texts that one part of the automaton is built for, about.
-PART_TOKENS = 1 << 18
+PART_TOKENS = 1 << 17
 #: States that every automaton has: the empty context, and the beginning of a text.
 ROOT, START = 0, 1
 
@@ -270,13 +270,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass: float = MASS, blo
         for one in _by_order(parts, order):
             g.take(one)
         counts = g.total[0][g.number[0]]
-        base = np.log10((counts + 1.0) / (tokens + types + 1.0)).tolist()
-        bounds = list(zip(g.first[:-1].tolist(), g.first[1:].tolist()))
+        # Taken once per word of the block, not per token.
+        base = np.log10((g.total[0] + 1.0) / (tokens + types + 1.0))[g.number[0]]
         n = len(g.ids)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(g.ids, pa.int64()), pa.array(~g.training), pa.array(g.sizes, pa.int64()), pa.array(np.add.reduceat((counts > 0).astype(np.int64), g.first[:-1]), pa.int64()),
-                pa.array(np.full(n, tokens), pa.int64()), pa.array([math.fsum(base[a:b]) for a, b in bounds]), pa.array(scores(g, tokens, types, texts, mass, part_tokens)),
+                pa.array(np.full(n, tokens), pa.int64()), pa.array(np.add.reduceat(base, g.first[:-1])), pa.array(scores(g, tokens, types, texts, mass, part_tokens)),
             ],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
