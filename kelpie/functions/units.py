@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The suffixes of sizes and times, and the largest unsigned number.
 _SIZE = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 _TIME = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
+_BINARY = ("B", "KiB", "MiB", "GiB", "TiB")
+_DECIMAL = ("kB", "MB", "GB", "TB", "PB")
 _MOST, _MOST_INT = (1 << 64) - 1, (1 << 31) - 1
 
 
@@ -48,13 +52,57 @@ def format_duration(seconds: Column) -> Column:
     return F.when(s == 0, F.lit("0")).otherwise(out)
 
 
-def human_size(value: Column, binary: bool = True) -> Column:
-    """Text of a size with one decimal in binary (KiB) or decimal (kB) units."""
-    base, names = (1024.0, ("B", "KiB", "MiB", "GiB", "TiB", "PiB")) if binary else (1000.0, ("B", "kB", "MB", "GB", "TB", "PB"))
-    out = F.format_string(f"%.1f {names[-1]}", value / base ** (len(names) - 1))
-    for i in range(len(names) - 2, 0, -1):
-        out = F.when(value < base ** (i + 1), F.format_string(f"%.1f {names[i]}", value / base**i)).otherwise(out)
-    return F.when(value < base, F.format_string("%d B", value.cast("long"))).otherwise(out)
+def _one_decimal(value: Column) -> Column:
+    """A number with one decimal: the nearest, and of an exact tie the even one, which ``format_string`` does not keep to."""
+    whole, tenths = F.floor(value).cast("long"), F.lit(0).cast("long")
+    for odd in range(1, 20, 2):
+        mark, exact = odd / 20, Decimal(odd) / 20
+        # A mark that a double cannot hold lies beside the double next to it; one that it holds is a tie.
+        reached = Decimal(mark) > exact or (Decimal(mark) == exact and odd // 2 % 2 == 1)
+        above = (value - F.floor(value)) >= mark if reached else (value - F.floor(value)) > mark
+        tenths = tenths + above.cast("long")
+    every = whole * 10 + tenths
+    return F.concat(F.floor(every / 10).cast("long").cast("string"), F.lit("."), (every % 10).cast("string"))
+
+
+def human_size(value: Column) -> Column:
+    """Text of a size with one decimal in binary units, up to TiB."""
+    v = value.cast("double")
+    out = F.concat(_one_decimal(v / 1024.0 ** (len(_BINARY) - 1)), F.lit(f" {_BINARY[-1]}"))
+    for i in range(len(_BINARY) - 2, 0, -1):
+        out = F.when(v < 1024.0 ** (i + 1), F.concat(_one_decimal(v / 1024.0**i), F.lit(f" {_BINARY[i]}"))).otherwise(out)
+    return F.when(v < 1024.0, F.concat(value.cast("long").cast("string"), F.lit(f" {_BINARY[0]}"))).otherwise(out)
+
+
+def bytes_text(value: Column) -> Column:
+    """A count of bytes in words below 1000, else in decimal units; a number that would read 1000.0 takes the next unit."""
+    n = value.cast("long")
+    out = None
+    for i in range(len(_DECIMAL) - 1, -1, -1):
+        # Divided step by step, as the rounding of one division differs.
+        v = n.cast("double") / 1000.0
+        for _ in range(i):
+            v = v / 1000.0
+        text = F.concat(_one_decimal(v), F.lit(f" {_DECIMAL[i]}"))
+        out = text if out is None else F.when(v < 999.95, text).otherwise(out)
+    return F.when(n == 1, "1 byte").when(n < 1000, F.concat(n.cast("string"), F.lit(" bytes"))).otherwise(out)
+
+
+def _tiered(seconds: Column, below: dict[str, int], last: str) -> Column:
+    out = F.concat(F.floor(seconds / _TIME[last]).cast("long").cast("string"), F.lit(last))
+    for unit, limit in reversed(below.items()):
+        out = F.when(seconds < limit, F.concat(F.floor(seconds / _TIME[unit]).cast("long").cast("string"), F.lit(unit))).otherwise(out)
+    return out
+
+
+def human_age(at: Column, now: Column) -> Column:
+    """'8s', '12m', '5h', '3d' or '2w' since a time, none if it lies ahead; '-' for a time of 0."""
+    return F.when(at == 0, "-").otherwise(_tiered(F.greatest(now - at, F.lit(0)), {"s": 60, "m": 3600, "h": 86400, "d": 7 * 86400}, "w"))
+
+
+def ago_text(now: Column, at: Column) -> Column:
+    """As ``human_age``, but each unit is kept up to two of the next one, days are the last, and a time ahead gives '-'."""
+    return F.when((at == 0) | (at > now), "-").otherwise(_tiered(now - at, {"s": 120, "m": 7200, "h": 172800}, "d"))
 
 
 def human_duration(seconds: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelpie.operators.intervals import overlap_join
 from kelpie.operators.windows import running_before
 
 
@@ -17,6 +18,28 @@ def usage(entries: DataFrame) -> DataFrame:
     return entries.agg(F.coalesce(F.sum(F.col("cached_bytes") + F.col("replica_bytes")), F.lit(0)).alias("usage"))
 
 
+# The floor of free space that is kept where none is set: at most this, a tenth of the disk and half of what
+# is free; a fifth of it where the disk does not tell.
+FREE_FLOOR = 50 << 30
+
+
+def free_floor(min_free: Column, automatic: Column, avail: Column, total: Column) -> Column:
+    """Bytes to keep free: as set, else none unless the budget is automatic; ``avail`` and ``total`` are null or 0 if unknown."""
+    known = F.coalesce((avail > 0) & (total > 0), F.lit(False))
+    own = F.when(known, F.least(F.lit(FREE_FLOOR), F.floor(total / 10).cast("long"), F.floor(avail / 2).cast("long"))).otherwise(F.lit(FREE_FLOOR // 5))
+    return F.when(min_free > 0, min_free).when(~automatic, F.lit(0)).otherwise(own)
+
+
+def eviction_due(used: Column, max_bytes: Column, high_water: float, avail: Column, min_free: Column, now: Column, last_check: Column, every_s: Column, last_evicted: Column) -> Column:
+    """Whether to evict now: over the mark of the budget, or below the floor of free space, at most once in ``every_s``.
+
+    The pace does not hold back a cache over its mark whose last eviction freed something.  A limit of 0 is none.
+    """
+    over = (max_bytes > 0) & (used > F.floor(max_bytes * high_water))
+    paced = (every_s > 0) & (now < last_check + every_s) & ~(over & (last_evicted != 0))
+    return ~paced & (over | ((min_free > 0) & F.coalesce(avail < min_free, F.lit(False))))
+
+
 def eviction_victims(entries: DataFrame, max_bytes: int, low_water: float, now: int, window_s: int, avail: int = 1 << 62, min_free: int = 0, parts: int = 64) -> DataFrame:
     """Entries to drop, oldest first, while usage is above the target or free space below its floor.
 
@@ -98,6 +121,38 @@ def in_use(entries: DataFrame, ranges: DataFrame, now: int, window_s: int) -> Da
     return entries.join(live.select("hash").distinct(), "hash", "left_semi")
 
 
+def in_use_ranges(asked: DataFrame, ranges: DataFrame, now: int, window_s: int) -> DataFrame:
+    """Asked ranges (hash, lo, hi) with ``in_use``, whether a live range [r_lo, r_hi) overlaps, and ``free_at_s``.
+
+    ``free_at_s`` is when the last overlapping range ends to be live, by its read and by its hold, and 0 where none
+    overlaps.  Ranges meet in buckets of bytes.  Rows that repeat stay; empty ranges overlap nothing.
+    """
+    last, hold = F.coalesce("last_s", F.lit(0)), F.coalesce("hold_s", F.lit(0))
+    until = F.greatest(F.when(last != 0, last + window_s).otherwise(0), F.when(hold != 0, hold + 2 * HOLD_REFRESH_S).otherwise(0))
+    met = overlap_join(asked.select("hash", "lo", "hi").distinct(), ranges.select("hash", "r_lo", "r_hi", until.alias("until")), "hash").groupBy("hash", "lo", "hi").agg(F.max("until").alias("free_at_s"))
+    return asked.join(met, ["hash", "lo", "hi"], "left").fillna(0, ["free_at_s"]).withColumn("in_use", F.col("free_at_s") > now)
+
+
+def live_faults(faults: DataFrame, now: int, fault_s: int) -> DataFrame:
+    """Faults proven within ``fault_s``; one ahead of the clock by over a minute is none."""
+    return faults.where((F.col("last_s") + fault_s > now) & (F.col("last_s") <= now + 60))
+
+
+#: Seconds for which an answer of the origin is trusted.
+FRESH_S = 7 * 86400
+
+
+def fresh(checked_at: Column, has_sidecar: Column, now: Column, window_s: int = FRESH_S) -> Column:
+    """Whether an entry can be opened without asking its origin: it was checked within the window and has its sidecar."""
+    return F.coalesce((now <= checked_at + window_s) & has_sidecar, F.lit(False))
+
+
+def complete_entries(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries (key, n_pages) with ``complete``: all their pages are there, and there is one."""
+    there = pages.select("key", "page").distinct().groupBy("key").agg(F.count("*").alias("there"))
+    return entries.join(there, "key", "left").withColumn("complete", (F.col("n_pages") > 0) & (F.coalesce("there", F.lit(0)) == F.col("n_pages"))).drop("there")
+
+
 def status(entries: DataFrame, now: int, window_s: int) -> DataFrame:
     """The status report: counts, bytes, protected entries and the upper median of coverage."""
     protected = ~F.col("pinned") & ((F.col("atime") >= now - window_s) | F.col("in_use"))

@@ -7,12 +7,12 @@ others, reduced to one row per pair of runs; nothing is compared run against run
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpie.functions.hashes import run_signatures
-from kelpie.functions.hist import total_seconds
+from kelpie.functions.hist import merge_arrays, to_array, total_seconds
 from kelpie.sources.records import FILE_SUMS
 
 MIN_BYTES = 64 << 20
@@ -87,11 +87,44 @@ def has_token(settings: str, token: str) -> Column:
     return F.coalesce(F.array_contains(F.split(settings, " "), token), F.lit(False))
 
 
+def name_hash(settings: str) -> Column:
+    """The hash of the prefixes by which a run keyed its files, from its settings; '' where it did not."""
+    return F.regexp_extract(F.concat(F.lit(" "), F.coalesce(F.col(settings), F.lit(""))), r"^.*? logical_names=on/([^ ]*)", 1)
+
+
+def keyed_by_name(lines: DataFrame, prefixes_hash: str) -> bool:
+    """Whether any line of a counter file, not only the last, tells of keys by these prefixes; reading ends at the first."""
+    return not lines.where((name_hash("run_settings") == prefixes_hash) & (F.lit(prefixes_hash) != "")).isEmpty()
+
+
 def without_trivial(runs: DataFrame) -> DataFrame:
     """Runs that opened, read or recorded something."""
     return runs.where((F.coalesce(F.col("n_files"), F.lit(0)) > 0) | (zero("files_opened") + zero("served_bytes") + zero("relay_bytes") + zero("origin_bytes") > 0))
 
 
+def load_runs(spark: SparkSession, stats: str, archive: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(runs, files) of one or two folders of records, ready for the other operators; newest run first.
+
+    A stem in both folders is read from the first.  Names that do not parse are left alone.  A run without a complete
+    counter line is there, with ``complete`` false and an end by its files, if it recorded any file.
+    """
+    from kelpie.sources import records
+
+    def folder(path: str) -> tuple[DataFrame, DataFrame]:
+        stems = records.run_stems(spark, path)
+        counters = records.load_counters(spark, path).withColumn("complete", F.lit(True))
+        return stems.join(counters, "stem", "left").fillna(False, ["complete"]), records.load_file_records(spark, path)
+
+    counters, lines = folder(stats)
+    if archive:
+        older, older_lines = folder(archive)
+        counters = records.union_by_stem(counters, older)
+        lines = lines.unionByName(older_lines.join(records.run_stems(spark, stats), "stem", "left_anti"))
+    named = counters.withColumns(records.parse_stem(F.col("stem"))).where("host IS NOT NULL AND pid IS NOT NULL AND start_s IS NOT NULL").withColumn("end_s", F.coalesce("ts", F.lit(0)))
+    files = merge_file_records(lines).join(named.select("stem"), "stem", "left_semi")
+    return join_files(named, files).where("complete OR n_files > 0").orderBy(F.col("start_s").desc(), F.col("pid").desc()), files
+
+
 def join_files(runs: DataFrame, files: DataFrame) -> DataFrame:
     """Runs with what their files add: counts, sums, the share that came from the origin, and a later end."""
     d = delivered()
@@ -240,17 +273,46 @@ def datasets(runs: DataFrame, files: DataFrame, gains: DataFrame, cap: int = EST
 
 
 def attribute_origin(files: DataFrame, runs: DataFrame) -> DataFrame:
-    """(stem, key, origin_host): the data server behind a redirector or a logical name, else the stored or named host."""
+    """(stem, key, origin_host): the data server behind a redirector or a logical name, else the stored or named host.
+
+    Only runs with failover look behind redirectors, by the host and port of the key; files without a host stay with null.
+    """
     from kelpie.functions.urls import host_of, host_port_of
 
-    info = runs.select("stem", F.split(F.lower(F.coalesce("redirector_hosts", F.lit(""))), " ").alias("redirectors"), has_token("run_settings", "failover=1").alias("failover"))
+    info = runs.select("stem", F.split(F.lower(F.coalesce("redirector_hosts", F.lit(""))), " ").alias("redirectors"), has_token("run_settings", "failover=on").alias("failover"))
     stored, server = F.nullif(F.col("url_host"), F.lit("")), F.nullif(F.col("data_server"), F.lit(""))
-    logical = F.col("key").startswith("lfn:")
-    behind = F.col("failover") & F.array_contains("redirectors", F.when(stored.isNotNull(), F.concat(F.lower(stored), F.when(stored.contains(":"), F.lit("")).otherwise(F.lit(":1094")))).otherwise(host_port_of(F.col("key"))))
-    host = F.when((F.coalesce(behind, F.lit(False)) | (logical & stored.isNull())) & server.isNotNull(), server).otherwise(F.coalesce(stored, F.nullif(host_of(F.col("key")), F.lit(""))))
+    behind = F.col("failover") & F.array_contains("redirectors", host_port_of(F.col("key")))
+    named = F.col("key").startswith("lfn:") & stored.isNull()
+    host = F.when((F.coalesce(behind, F.lit(False)) | named) & server.isNotNull(), server).otherwise(F.coalesce(stored, F.nullif(host_of(F.col("key")), F.lit(""))))
     return files.join(info, "stem").select("stem", "key", host.alias("origin_host"))
 
 
+def origin_counts(origins: DataFrame) -> DataFrame:
+    """(stem, origin_host, files) after ``attribute_origin``; files without a host do not count."""
+    return origins.where("origin_host IS NOT NULL").groupBy("stem", "origin_host").agg(F.count("*").alias("files"))
+
+
+def origin_histograms(files: DataFrame, origins: DataFrame, by_domain: bool = False) -> DataFrame:
+    """(stem, origin, hist): round trips of a run's files by host, or with the hosts of a registrable domain summed into it."""
+    from kelpie.functions.urls import registrable_domain
+
+    name = registrable_domain(F.col("origin_host")) if by_domain else F.col("origin_host")
+    rows = files.select("stem", "key", "origin_rt_us").join(origins.where("origin_host IS NOT NULL"), ["stem", "key"]).withColumn("origin", name)
+    return to_array(merge_arrays(rows, "origin_rt_us", "stem", "origin"), "stem", "origin")
+
+
+def origin_domains(origins: DataFrame) -> DataFrame:
+    """(stem, domain), each once."""
+    from kelpie.functions.urls import registrable_domain
+
+    return origins.where("origin_host IS NOT NULL").select("stem", registrable_domain(F.col("origin_host")).alias("domain")).distinct()
+
+
+def reason_counts(runs: DataFrame, gains: DataFrame, cap: int = ESTIMATE_CAP) -> DataFrame:
+    """(why, runs) of the newest ``cap`` runs that were not measured."""
+    return newest(runs, cap).select("stem").join(gains.select("stem", "why"), "stem").where("why <> 'measured'").groupBy("why").agg(F.count("*").alias("runs"))
+
+
 def top_by_count(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Per key the most frequent value, the smallest at ties."""
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
@@ -258,25 +320,48 @@ def top_by_count(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def workflow_ratios(runs: DataFrame) -> DataFrame:
-    """Ratios of a stats report, each null where its denominator is zero."""
-    s = runs.agg(*(F.sum(zero(c)).alias(c) for c in ("opens", "files_opened", "hit_bytes", "ram_hit_bytes", "replica_bytes_served", "relay_bytes", "origin_bytes", "served_bytes", "hit_disk_reads", "hit_disk_bytes")))
+    """Ratios of a stats report, each null where its denominator is zero.
+
+    Counters that ``runs`` lacks count as 0.  Figures per read are null where records of two versions meet: counters of
+    some runs have ``replica_read_bytes`` and of others not.
+    """
+    names = (
+        "opens files_opened hit_bytes ram_hit_bytes replica_bytes_served relay_bytes origin_bytes served_bytes hit_disk_reads hit_disk_bytes hit_disk_seq "
+        "replica_reads first_touch_bytes readv_chunks readv_calls flush_runs flush_run_bytes"
+    ).split()
+    has = F.col("replica_read_bytes").isNotNull() if "replica_read_bytes" in runs.columns else F.lit(False)
+    read = F.coalesce("replica_read_bytes", zero("replica_bytes_served")) if "replica_read_bytes" in runs.columns else zero("replica_bytes_served")
+    s = runs.agg(*(F.sum(zero(c) if c in runs.columns else F.lit(0)).alias(c) for c in names), F.sum(read).alias("replica_read_bytes"), ((F.count_if(has) > 0) & (F.count_if(~has) > 0)).alias("mixed"))
     total = F.col("hit_bytes") + F.col("replica_bytes_served") + F.col("relay_bytes") + F.col("origin_bytes")
     share = lambda c: F.try_divide(100.0 * c, total)
+    per_read = lambda a, b, by=1.0: F.when(~F.col("mixed"), F.try_divide(by * F.col(a), F.col(b)))
     return s.select(
         F.try_divide(F.col("opens"), F.col("files_opened")).alias("opens_per_file"), share(F.col("relay_bytes")).alias("direct_pct"), share(F.col("origin_bytes")).alias("fill_pct"), share(F.least("ram_hit_bytes", "hit_bytes")).alias("ram_pct"),
-        share(F.greatest(F.lit(0), F.col("hit_bytes") - F.col("ram_hit_bytes"))).alias("disk_pct"), share(F.col("replica_bytes_served")).alias("replica_pct"), F.try_divide(F.col("hit_disk_bytes"), F.col("hit_disk_reads")).alias("mean_disk_read"),
+        share(F.greatest(F.lit(0), F.col("hit_bytes") - F.col("ram_hit_bytes"))).alias("disk_pct"), share(F.col("replica_bytes_served")).alias("replica_pct"), per_read("hit_disk_bytes", "hit_disk_reads").alias("mean_disk_read"),
+        per_read("hit_disk_seq", "hit_disk_reads", 100.0).alias("sequential_pct"), per_read("replica_read_bytes", "replica_reads").alias("mean_replica_read"), F.when(F.col("hit_bytes") > 0, F.try_divide(F.col("hit_bytes"), F.col("first_touch_bytes"))).alias("reread"),
+        per_read("readv_chunks", "readv_calls").alias("vector_width"), F.try_divide(F.col("flush_run_bytes"), F.col("flush_runs")).alias("mean_flush"), "mixed",
     )
 
 
 def history(runs: DataFrame, top: int = 20) -> DataFrame:
-    """The newest runs as report rows, and one ALL row over every run."""
+    """The newest runs as report rows, and one ALL row over every run.
+
+    ``tera_ins`` and ``giga_ins_s`` are null for a run without counted instructions, ``cores`` without CPU time and
+    ``overhead_pct`` where nothing was asked of the origin; the ALL row has none of them.
+    """
     total = zero("hit_bytes") + zero("replica_bytes_served") + zero("relay_bytes") + zero("origin_bytes")
     sums = {c: zero(c) for c in ("hit_bytes", "replica_bytes_served", "relay_bytes", "origin_bytes")}
-    rows = runs.select("stem", "kind", "start_s", "pid", "duration_s", *(v.alias(k) for k, v in sums.items()), total.alias("total_bytes"))
-    every = rows.agg(*(F.sum(c).alias(c) for c in ("duration_s", *sums, "total_bytes"))).select(F.lit("ALL").alias("stem"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("start_s"), F.lit(None).cast("long").alias("pid"), "duration_s", *sums, "total_bytes")
-    newest = rows.orderBy(F.col("start_s").desc(), F.col("pid").desc()).limit(max(1, top))
+    ins = F.nullif(F.col("instructions"), F.lit(0)) if "instructions" in runs.columns else F.lit(None).cast("long")
+    own = {
+        "tera_ins": ins / 1e12, "giga_ins_s": ins / 1e9 / F.col("duration_s"), "cores": F.nullif(zero("cpu_us"), F.lit(0)) / 1e6 / F.col("duration_s"),
+        "overhead_pct": F.when(F.col("origin_wait_s") > 0, 100.0 * F.col("overhead")),
+    }
+    rows = runs.select("stem", "kind", "start_s", "pid", "duration_s", *(v.alias(k) for k, v in sums.items()), total.alias("total_bytes"), *(v.cast("double").alias(k) for k, v in own.items()))
+    none = lambda kind, *names: (F.lit(None).cast(kind).alias(n) for n in names)
+    every = rows.agg(*(F.sum(c).alias(c) for c in ("duration_s", *sums, "total_bytes"))).select(F.lit("ALL").alias("stem"), *none("string", "kind"), *none("long", "start_s", "pid"), "duration_s", *sums, "total_bytes", *none("double", *own))
+    shown = rows.orderBy(F.col("start_s").desc(), F.col("pid").desc()).limit(max(1, top))
     pct = lambda c: F.try_divide(100.0 * F.col(c), F.col("total_bytes"))
-    return newest.unionByName(every).select("stem", "kind", "start_s", "duration_s", (F.col("total_bytes") / 1e9).alias("gb"), F.try_divide(F.col("total_bytes") / 1e9, F.col("duration_s")).alias("gb_s"), pct("hit_bytes").alias("hit_pct"), pct("replica_bytes_served").alias("replica_pct"), pct("relay_bytes").alias("relay_pct"), pct("origin_bytes").alias("origin_pct"))
+    return shown.unionByName(every).select("stem", "kind", "start_s", "duration_s", (F.col("total_bytes") / 1e9).alias("gb"), F.try_divide(F.col("total_bytes") / 1e9, F.col("duration_s")).alias("gb_s"), pct("hit_bytes").alias("hit_pct"), pct("replica_bytes_served").alias("replica_pct"), pct("relay_bytes").alias("relay_pct"), pct("origin_bytes").alias("origin_pct"), *own)
 
 
 def aggregate_counters(counters: DataFrame) -> DataFrame:

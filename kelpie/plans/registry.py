@@ -499,7 +499,9 @@ _RUNS = """
         CASE WHEN role = 0 THEN 1 ELSE 0 END AS disabled, CASE WHEN role = 0 THEN 0 ELSE sum(wire_bytes) END AS origin_bytes, CASE WHEN role = 0 THEN sum(wire_bytes) ELSE 0 END AS relay_bytes,
         sum(served_bytes) AS hit_bytes, sum(replica_bytes) AS replica_bytes_served, sum(served_bytes + replica_bytes + wire_bytes) AS served_bytes, count(*) AS opens, count(*) AS files_opened,
         CASE WHEN s % 13 = 0 THEN 1 ELSE 0 END AS crc_failures, CASE WHEN s % 6 = 0 THEN 40000000 ELSE 1000000 END AS buffer_stall_us, 9000000 AS cpu_us,
-        CASE WHEN role = 1 THEN 100 ELSE 0 END AS waits, sum(served_bytes) DIV 3 AS ram_hit_bytes, count(*) AS hit_disk_reads, sum(served_bytes) DIV 2 AS hit_disk_bytes
+        CASE WHEN role = 1 THEN 100 ELSE 0 END AS waits, sum(served_bytes) DIV 3 AS ram_hit_bytes, count(*) AS hit_disk_reads, sum(served_bytes) DIV 2 AS hit_disk_bytes,
+        count(*) DIV 2 AS hit_disk_seq, count(*) AS replica_reads, sum(replica_bytes) + 7 AS replica_read_bytes, sum(served_bytes) DIV 3 AS first_touch_bytes, count(*) * 5 AS readv_chunks, count(*) * 2 AS readv_calls,
+        s % 3 AS flush_runs, sum(wire_bytes) AS flush_run_bytes, CASE WHEN s % 5 = 0 THEN 0 ELSE s * 3000000007 END AS instructions
     FROM f GROUP BY stem, s, rf, role"""
 
 
@@ -591,22 +593,25 @@ def q48_run_datasets(spark, sf_dir):
 
 
 @query(f"""{_MEASURED}, h AS (SELECT *, hit_bytes + replica_bytes_served + relay_bytes + origin_bytes AS total, row_number() OVER (ORDER BY start_s DESC, pid DESC) AS n FROM m),
-    a AS (SELECT stem, kind, start_s, duration_s, total, hit_bytes, replica_bytes_served, relay_bytes, origin_bytes FROM h WHERE n <= 20
-        UNION ALL SELECT 'ALL', NULL, NULL, sum(duration_s), sum(total), sum(hit_bytes), sum(replica_bytes_served), sum(relay_bytes), sum(origin_bytes) FROM h)
+    a AS (SELECT stem, kind, start_s, duration_s, total, hit_bytes, replica_bytes_served, relay_bytes, origin_bytes, nullif(instructions, 0) AS ins, nullif(cpu_us, 0) AS cpu, CASE WHEN origin_wait_s > 0 THEN overhead END AS over FROM h WHERE n <= 20
+        UNION ALL SELECT 'ALL', NULL, NULL, sum(duration_s), sum(total), sum(hit_bytes), sum(replica_bytes_served), sum(relay_bytes), sum(origin_bytes), NULL, NULL, NULL FROM h)
     SELECT stem, kind, start_s, CAST(duration_s AS BIGINT) AS duration_s, round(total / 1e9::DOUBLE, 6) AS gb, round(100.0::DOUBLE * hit_bytes / total, 6) AS hit_pct, round(100.0::DOUBLE * replica_bytes_served / total, 6) AS replica_pct,
-        round(100.0::DOUBLE * relay_bytes / total, 6) AS relay_pct, round(100.0::DOUBLE * origin_bytes / total, 6) AS origin_pct FROM a""")
+        round(100.0::DOUBLE * relay_bytes / total, 6) AS relay_pct, round(100.0::DOUBLE * origin_bytes / total, 6) AS origin_pct,
+        round(ins / 1e12::DOUBLE, 6) AS tera_ins, round(ins / 1e9::DOUBLE / duration_s, 6) AS giga_ins_s, round(cpu / 1e6::DOUBLE / duration_s, 6) AS cores, round(100.0::DOUBLE * over, 6) AS overhead_pct FROM a""")
 def q49_run_history(spark, sf_dir):
     rows, _ = _bound_runs(spark, sf_dir)
-    rounded = [F.round(F.col(c).cast("double"), 6).alias(c) for c in ("gb", "hit_pct", "replica_pct", "relay_pct", "origin_pct")]
+    rounded = [F.round(F.col(c).cast("double"), 6).alias(c) for c in ("gb", "hit_pct", "replica_pct", "relay_pct", "origin_pct", "tera_ins", "giga_ins_s", "cores", "overhead_pct")]
     return runs.history(rows, 20).select("stem", "kind", "start_s", F.col("duration_s").cast("long").alias("duration_s"), *rounded)
 
 
-@query(f"""{_MEASURED}, t AS (SELECT sum(opens) AS opens, sum(files_opened) AS fo, sum(hit_bytes) AS hit, sum(ram_hit_bytes) AS ram, sum(replica_bytes_served) AS rep, sum(relay_bytes) AS relay, sum(origin_bytes) AS org, sum(hit_disk_reads) AS reads, sum(hit_disk_bytes) AS disk FROM m)
+@query(f"""{_MEASURED}, t AS (SELECT sum(opens) AS opens, sum(files_opened) AS fo, sum(hit_bytes) AS hit, sum(ram_hit_bytes) AS ram, sum(replica_bytes_served) AS rep, sum(relay_bytes) AS relay, sum(origin_bytes) AS org, sum(hit_disk_reads) AS reads, sum(hit_disk_bytes) AS disk, sum(hit_disk_seq) AS seq, sum(replica_reads) AS rr,
+        sum(replica_read_bytes) AS rrb, sum(first_touch_bytes) AS first, sum(readv_chunks) AS chunks, sum(readv_calls) AS calls, sum(flush_runs) AS fr, sum(flush_run_bytes) AS frb FROM m)
     SELECT round(opens::DOUBLE / fo, 6) AS opens_per_file, round(100.0::DOUBLE * relay / (hit + rep + relay + org), 6) AS direct_pct, round(100.0::DOUBLE * org / (hit + rep + relay + org), 6) AS fill_pct, round(100.0::DOUBLE * least(ram, hit) / (hit + rep + relay + org), 6) AS ram_pct,
-        round(100.0::DOUBLE * greatest(0, hit - ram) / (hit + rep + relay + org), 6) AS disk_pct, round(100.0::DOUBLE * rep / (hit + rep + relay + org), 6) AS replica_pct, round(disk::DOUBLE / reads, 6) AS mean_disk_read FROM t""")
+        round(100.0::DOUBLE * greatest(0, hit - ram) / (hit + rep + relay + org), 6) AS disk_pct, round(100.0::DOUBLE * rep / (hit + rep + relay + org), 6) AS replica_pct, round(disk::DOUBLE / reads, 6) AS mean_disk_read,
+        round(100.0::DOUBLE * seq / reads, 6) AS sequential_pct, round(rrb::DOUBLE / rr, 6) AS mean_replica_read, round(hit::DOUBLE / first, 6) AS reread, round(chunks::DOUBLE / calls, 6) AS vector_width, round(frb::DOUBLE / fr, 6) AS mean_flush FROM t""")
 def q50_workflow_ratios(spark, sf_dir):
     rows, _ = _bound_runs(spark, sf_dir)
-    found = runs.workflow_ratios(rows)
+    found = runs.workflow_ratios(rows).drop("mixed")
     return found.select(*(F.round(F.col(c).cast("double"), 6).alias(c) for c in found.columns))
 
 
@@ -629,3 +634,137 @@ def q52_sizes_and_times(spark, sf_dir):
     text = F.concat(key.cast("string"), F.when(key % 3 == 0, "K").when(key % 3 == 1, "").otherwise("kb"))
     rows = table(spark, sf_dir, "part", "p_partkey").withColumn("n", F.col("p_partkey") * 1800)
     return rows.select("p_partkey", units.format_duration(F.col("n")).alias("setting"), units.parse_size(text).cast("long").alias("size"), units.human_duration(F.col("n")).alias("age"))
+
+
+@query("""
+    WITH g AS (SELECT l_suppkey AS reader, l_linenumber AS branch, l_orderkey AS i, min(l_partkey) AS entry, CAST(sum(l_quantity) AS BIGINT) * 1000 AS bytes FROM lineitem GROUP BY 1, 2, 3),
+    p AS (SELECT reader, branch, min(i) AS frontier, CASE WHEN branch = 7 THEN 0 ELSE 20000 + reader % 5 * 10000 END AS share FROM g GROUP BY 1, 2),
+    a AS (SELECT g.*, share, coalesce(sum(bytes) OVER (PARTITION BY reader, branch ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g JOIN p USING (reader, branch) WHERE i > frontier AND share > 0),
+    b AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY reader ORDER BY entry, i, branch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM a WHERE before < share * 2)
+    SELECT reader, branch, i, bytes FROM b WHERE cum < 300000""")
+def q53_read_ahead(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber", "l_orderkey", "l_partkey", "l_quantity")
+    groups = lines.groupBy(F.col("l_suppkey").alias("reader"), F.col("l_linenumber").alias("branch"), F.col("l_orderkey").alias("i")).agg(F.min("l_partkey").alias("entry"), (F.sum("l_quantity").cast("long") * 1000).alias("bytes")).withColumn("seek", F.col("i"))
+    share = F.when(F.col("branch") == 7, 0).otherwise(20000 + F.col("reader") % 5 * 10000)
+    plans = groups.groupBy("reader", "branch").agg(F.min("i").alias("frontier")).withColumn("share", share)
+    return columns.read_ahead(groups, plans, 2, 150000).select("reader", "branch", "i", "bytes")
+
+
+_HELD = "SELECT user_id AS hash, event_id AS id, event_id % 40 * 3000000 AS lo, event_id % 40 * 3000000 + CAST(floor(value * 40000) AS BIGINT) AS hi, event_id % 900 * 20 AS last_s, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 700 * 25 END AS hold_s FROM events"
+
+
+@query(f"""
+    WITH r AS ({_HELD}), a AS (SELECT hash, id, lo + 1000000 AS lo, hi + 1000000 AS hi FROM r),
+    f AS (SELECT a.id, max(greatest(CASE WHEN last_s <> 0 THEN last_s + 3600 ELSE 0 END, CASE WHEN hold_s <> 0 THEN hold_s + 1200 ELSE 0 END)) AS free FROM a JOIN r ON a.hash = r.hash AND a.lo < r.hi AND r.lo < a.hi AND r.hi > r.lo AND a.hi > a.lo GROUP BY 1)
+    SELECT a.id, CAST(coalesce(free, 0) AS BIGINT) AS free_at_s, coalesce(free, 0) > 12000 AS in_use FROM a LEFT JOIN f USING (id)""")
+def q54_ranges_in_use(spark, sf_dir):
+    rows = spark.sql(_HELD.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events", "event_id", "user_id", "value"))
+    asked = rows.select("hash", "id", (F.col("lo") + 1000000).alias("lo"), (F.col("hi") + 1000000).alias("hi"))
+    ranges = rows.select("hash", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"), "last_s", "hold_s")
+    return cache.in_use_ranges(asked, ranges, 12000, 3600).select("id", F.col("free_at_s").cast("long").alias("free_at_s"), "in_use")
+
+
+@query("""
+    SELECT l_suppkey, CAST(floor(coalesce(sum(CASE WHEN run >= ena THEN l_orderkey::DOUBLE WHEN run > 0 THEN l_orderkey::DOUBLE * ena / run END) FILTER (WHERE ena > 0), 0) / 1000 + 0.5) AS BIGINT) AS thousands,
+        round(CASE WHEN sum(ena) > 0 THEN sum(least(run, ena)) FILTER (WHERE ena > 0) / sum(ena)::DOUBLE END, 6) AS duty
+    FROM (SELECT l_suppkey, l_orderkey, CASE WHEN l_linenumber = 3 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS ena, (l_linenumber - 1) * 8 AS run FROM lineitem) GROUP BY 1""")
+def q55_scaled_counts(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    enabled = F.when(F.col("l_linenumber") == 3, 0).otherwise(F.col("l_quantity").cast("long"))
+    rows = lines.select("l_suppkey", F.col("l_orderkey").alias("value"), enabled.alias("enabled"), ((F.col("l_linenumber") - 1) * 8).alias("running"))
+    found = windows.scaled_counts(rows, "l_suppkey")
+    return found.select("l_suppkey", F.floor(F.col("value") / 1000 + 0.5).cast("long").alias("thousands"), F.round("duty", 6).alias("duty"))
+
+
+@query("""
+    SELECT o_orderkey, keep, coalesce((NOT (every > 0 AND now < checked + every AND NOT (over AND freed <> 0))) AND (over OR (keep > 0 AND avail < keep)), false) AS due FROM (
+        SELECT *, most > 0 AND used > CAST(floor(most * 0.95::DOUBLE) AS BIGINT) AS over, CASE WHEN least > 0 THEN least WHEN k % 2 = 0 THEN 0 WHEN avail > 0 AND total > 0 THEN least(53687091200, total // 10, avail // 2) ELSE 10737418240 END AS keep FROM (
+            SELECT o_orderkey, o_orderkey AS k, o_custkey * 1000003 AS used, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 977 * 1000003 END AS most, o_orderkey % 5 * 100 AS least, o_custkey % 7 * 20000000003 AS avail, o_orderkey % 11 * 100000000007 AS total,
+                1000 AS now, 1000 - o_orderkey % 13 AS checked, o_custkey % 2 * 10 AS every, o_orderkey % 2 AS freed FROM orders))""".replace(" AS least,", " AS floor_,").replace("least > 0 THEN least", "floor_ > 0 THEN floor_"))
+def q56_eviction_due(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    most = F.when(k % 3 == 0, 0).otherwise(k % 977 * 1000003)
+    avail, total = c % 7 * F.lit(20000000003), k % 11 * F.lit(100000000007)
+    keep = cache.free_floor(k % 5 * 100, k % 2 != 0, avail, total)
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").withColumn("keep", keep.cast("long"))
+    due = cache.eviction_due(c * 1000003, most, 0.95, avail, F.col("keep"), F.lit(1000), 1000 - k % 13, c % 2 * 10, k % 2)
+    return rows.select("o_orderkey", "keep", due.alias("due"))
+
+
+_READ_FROM = """
+    SELECT DISTINCT CAST(l_suppkey AS STRING) AS stem, CASE WHEN l_partkey % 10 = 0 THEN 'lfn:/d/' || l_partkey ELSE 'root://h' || (l_partkey % 5) || '.s' || (l_partkey % 3) || '.ac.uk//d/' || l_partkey END AS key,
+        CASE WHEN l_partkey % 4 = 0 THEN '' ELSE 'd' || (l_partkey % 6) || '.t' || (l_partkey % 2) || '.com' END AS data_server, CASE WHEN l_partkey % 7 = 0 THEN 'old.w.org' ELSE '' END AS url_host, l_partkey AS k FROM lineitem"""
+_READ_BY = """
+    SELECT *, CASE WHEN ((CAST(stem AS BIGINT) % 2 = 1 AND k % 10 <> 0 AND k % 5 = 1 AND k % 3 = 1) OR (k % 10 = 0 AND url_host = '')) AND data_server <> '' THEN data_server WHEN url_host <> '' THEN url_host
+        WHEN k % 10 <> 0 THEN 'h' || (k % 5) || '.s' || (k % 3) || '.ac.uk' END AS host FROM f"""
+
+
+def _origins(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(files, their origins): runs of odd suppliers have failover, and one host is known to redirect."""
+    files = spark.sql(_READ_FROM.replace("FROM lineitem", "FROM {lines}"), lines=table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey")).withColumn("origin_rt_us", F.transform(F.sequence(F.lit(0), (F.col("k") % 4).cast("int")), lambda i: F.col("k") % 9 + i))
+    settings = F.when(F.col("stem").cast("long") % 2 == 1, "cache=on failover=on").otherwise("failover=only failover=on2")
+    listed = files.select("stem").distinct().select("stem", settings.alias("run_settings"), F.lit("H1.s1.ac.uk:1094 other:1").alias("redirector_hosts"))
+    return files, runs.attribute_origin(files, listed)
+
+
+@query(f"WITH f AS ({_READ_FROM.replace('AS STRING', 'AS VARCHAR')}) SELECT stem, host AS origin_host, count(*) AS files FROM ({_READ_BY}) WHERE host IS NOT NULL GROUP BY 1, 2")
+def q57_origin_counts(spark, sf_dir):
+    return runs.origin_counts(_origins(spark, sf_dir)[1])
+
+
+@query(f"""
+    WITH f AS ({_READ_FROM.replace('AS STRING', 'AS VARCHAR')}), b AS (SELECT stem, CASE WHEN host LIKE '%.ac.uk' THEN regexp_extract(host, '[^.]+[.]ac[.]uk$') ELSE regexp_extract(host, '[^.]+[.][^.]+$') END AS origin, unnest(range(0, k % 4 + 1)) AS i, k FROM ({_READ_BY}) WHERE host IS NOT NULL),
+    s AS (SELECT stem, origin, i, sum(k % 9 + i) AS n FROM b GROUP BY 1, 2, 3) SELECT stem, origin, string_agg(CAST(n AS BIGINT), ',' ORDER BY i) AS hist FROM s GROUP BY 1, 2""")
+def q58_origin_histograms(spark, sf_dir):
+    files, origins = _origins(spark, sf_dir)
+    return runs.origin_histograms(files, origins, by_domain=True).select("stem", "origin", F.array_join(F.col("hist").cast("array<string>"), ",").alias("hist"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', n / 1073741824.0::DOUBLE) END AS binary_text,
+        CASE WHEN n = 1 THEN '1 byte' WHEN n < 1000 THEN n || ' bytes' WHEN n / 1000.0::DOUBLE < 999.95::DOUBLE THEN printf('%.1f kB', n / 1000.0::DOUBLE) WHEN n / 1000.0::DOUBLE / 1000.0::DOUBLE < 999.95::DOUBLE THEN printf('%.1f MB', n / 1000.0::DOUBLE / 1000.0::DOUBLE) ELSE printf('%.1f GB', n / 1000.0::DOUBLE / 1000.0::DOUBLE / 1000.0::DOUBLE) END AS decimal_text,
+        CASE WHEN t = 0 THEN '-' WHEN d < 60 THEN d || 's' WHEN d < 3600 THEN d // 60 || 'm' WHEN d < 86400 THEN d // 3600 || 'h' WHEN d < 604800 THEN d // 86400 || 'd' ELSE d // 604800 || 'w' END AS age,
+        CASE WHEN t = 0 OR t > 1000000 THEN '-' WHEN d < 120 THEN d || 's' WHEN d < 7200 THEN d // 60 || 'm' WHEN d < 172800 THEN d // 3600 || 'h' ELSE d // 86400 || 'd' END AS ago
+    FROM (SELECT *, greatest(1000000 - t, 0) AS d FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * o_custkey * 10 ELSE o_orderkey * 50 END AS n, CASE WHEN o_custkey % 9 = 0 THEN 0 ELSE 1000100 - o_custkey * o_custkey % 1000000 END AS t FROM orders))""")
+def q59_sizes_and_ages(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("long")
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").withColumns({"n": F.when(k % 2 == 0, k * c * 10).otherwise(k * 50), "t": F.when(c % 9 == 0, 0).otherwise(1000100 - c * c % 1000000)})
+    now = F.lit(1000000)
+    return rows.select("o_orderkey", units.human_size(F.col("n")).alias("binary_text"), units.bytes_text(F.col("n")).alias("decimal_text"), units.human_age(F.col("t"), now).alias("age"), units.ago_text(now, F.col("t")).alias("ago"))
+
+
+@query(f"{_GAINS} SELECT why, count(*) AS runs FROM (SELECT why FROM g ORDER BY start_s DESC, pid DESC LIMIT {_CAP}) WHERE why <> 'measured' GROUP BY 1")
+def q60_reasons(spark, sf_dir):
+    rows, files = _bound_runs(spark, sf_dir)
+    return runs.reason_counts(rows, runs.estimate_gains(rows, files), _CAP)
+
+
+@query("""
+    SELECT p_partkey, 'root://v//f?' || 'q=' || p_size || '&tried=h' || a || CASE WHEN b <> a THEN ',H' || b ELSE '' END || CASE WHEN c <> a AND c <> b THEN ',h' || c ELSE '' END || CASE WHEN a = 0 THEN '&triedrc=enoent' ELSE '' END || '&z' AS merged
+    FROM (SELECT p_partkey, p_size, p_partkey % 3 AS a, p_size % 4 AS b, p_partkey % 5 AS c FROM part)""")
+def q61_tried_lists(spark, sf_dir):
+    a, b, c = (F.col("p_partkey") % 3).cast("string"), (F.col("p_size") % 4).cast("string"), (F.col("p_partkey") % 5).cast("string")
+    url = F.concat(F.lit("root://v//f?triedrc=resel&q="), F.col("p_size"), F.lit("&&tried=h"), a, F.lit(",H"), b, F.when(a == "0", "&triedrc=enoent").otherwise(""), F.lit("&z&tried=,h"), c)
+    rows = table(spark, sf_dir, "part", "p_partkey", "p_size").withColumn("u", url)
+    return rows.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, urls.merge_tried(F.col("u"), reason=True)).otherwise(urls.merge_tried(F.col("u"))).alias("merged"))
+
+
+@query("""
+    WITH s AS (SELECT l_partkey % 50 AS grp, CAST(sum(l_quantity) AS BIGINT) AS bytes FROM lineitem GROUP BY 1), p AS (SELECT DISTINCT l_suppkey, l_partkey % 50 AS grp FROM lineitem WHERE l_linenumber < 5 AND l_suppkey % 10 <> 3), a AS (SELECT DISTINCT l_suppkey, l_partkey % 50 AS grp FROM lineitem WHERE l_linenumber > 1),
+    t AS (SELECT a.l_suppkey, coalesce(sum(bytes) FILTER (WHERE p.grp IS NOT NULL), 0) AS hit, sum(bytes) AS fill FROM a JOIN s USING (grp) LEFT JOIN p ON a.l_suppkey = p.l_suppkey AND a.grp = p.grp GROUP BY 1)
+    SELECT l_suppkey AS reader, CAST(hit AS BIGINT) AS hit_bytes, CAST(fill AS BIGINT) AS fill_bytes, l_suppkey IN (SELECT l_suppkey FROM p) AND fill > 0 AND hit >= 0.9::DOUBLE * fill AS confirmed FROM t""")
+def q62_prediction_coverage(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("reader"), (F.col("l_partkey") % 50).alias("grp"), "l_linenumber", "l_quantity")
+    sizes = lines.groupBy("grp").agg(F.sum("l_quantity").cast("long").alias("bytes"))
+    return columns.prediction_coverage(lines.where("l_linenumber < 5 AND reader % 10 <> 3"), lines.where("l_linenumber > 1"), sizes)
+
+
+@query("""
+    SELECT o_orderkey, n = o_orderkey % 8 AND n > 0 AS complete, n > 0 AND 5000 <= o_custkey % 1000 * 10 + 900 AS fresh
+    FROM (SELECT o_orderkey, o_custkey, count(DISTINCT l_linenumber) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)""")
+def q63_complete_and_fresh(spark, sf_dir):
+    entries = table(spark, sf_dir, "orders", F.col("o_orderkey").alias("key"), "o_custkey").withColumn("n_pages", F.col("key") % 8)
+    pages = table(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("page"))
+    kept = pages.select("key").distinct().withColumn("kept", F.lit(True))
+    rows = cache.complete_entries(pages, entries).join(kept, "key", "left")
+    return rows.select(F.col("key").alias("o_orderkey"), "complete", cache.fresh(F.col("o_custkey") % 1000 * 10, F.coalesce("kept", F.lit(False)), F.lit(5000), 900).alias("fresh"))

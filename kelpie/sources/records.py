@@ -6,15 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Counters that add up over processes, and high-water marks that do not.
+# Names of counters that add up over processes, high-water marks that do not, and histograms.
 SUMS = (
-    "opens files_opened served_bytes hit_bytes ram_hit_bytes replica_bytes_served relay_bytes origin_bytes origin_reads origin_readvs "
-    "prefetch_served_bytes prefetch_issued_bytes cold_replica_in_bytes hit_disk_reads hit_disk_bytes replica_reads replica_read_bytes crc_failures "
-    "replica_crc_failures replica_invalid failopen_events meta_corrupt validations_failed evicted_entries evicted_bytes page_writes flush_runs "
-    "flush_run_bytes buffer_stalls buffer_stall_us cpu_us instructions cycles"
+    "opens validations_failed size_disagreements name_size_mismatches hit_bytes miss_bytes origin_bytes served_bytes origin_reads fetches_joined "
+    "prefetch_issued_bytes prefetch_served_bytes prefetch_refetched_bytes prefetch_dropped_unread prefetch_late_bytes prefetch_parses "
+    "prefetch_bridge_bytes prefetch_disabled prefetch_fetch_errors origin_readvs page_writes crc_failures meta_corrupt evicted_entries "
+    "evicted_bytes failopen_events admissions_bypassed copier_handles copies_refused direct_read_files direct_read_bytes open_retries "
+    "open_retries_exhausted replica_opens replica_published replica_invalid replica_crc_failures replica_punched_bytes replica_orphans_swept "
+    "files_opened ram_hit_bytes first_touch_bytes hit_disk_reads hit_disk_bytes hit_disk_seq replica_bytes_served cold_replica_files "
+    "cold_replica_in_bytes cold_replica_out_bytes cold_replica_baskets cold_replica_baskets_kept origin_checks_passed origin_checks_failed "
+    "origin_checks_none origin_checks_unjudged origin_checks_skipped origin_checks_not_examined cold_replica_convert_us cold_replica_declined "
+    "cold_replica_skipped cold_replica_waits cold_replica_wait_us cold_replica_completed cold_replica_completed_bytes fill_completed "
+    "fill_completed_bytes slow_cache_episodes slow_cache_us fill_not_kept_bytes slot_maps_made slot_map_opens slot_map_full replica_reads "
+    "replica_read_bytes relay_bytes readv_chunks readv_calls readv_mixed flush_runs flush_run_bytes buffer_stalls buffer_stall_us "
+    "origin_open_attempts origin_open_failures origin_failures_client origin_failures_site origin_failures_notfound origin_failures_data "
+    "origin_failures_expired origin_failures_other records_dropped open_failovers opens_recovered opens_failed_everywhere "
+    "open_deadline_expiries failover_locates offline_copies_skipped open_check_bytes_kept bad_entries_dropped site_name_queries "
+    "site_names_missing role_queries role_redirectors role_unanswered requests_parked_for_parse site_faults_marked site_marks_cleared "
+    "copy_faults_marked marked_copies_last hosts_avoided cpu_us instructions cycles"
 ).split()
-MARKS = ("handles_high_water", "threads_high_water", "peak_cores", "origin_reads_in_flight_high_water")
-HISTOGRAMS = ("hist_hit_read_us", "hist_replica_read_us", "hist_origin_rt_us", "hist_flush_write_us", "hist_meta_flush_us", "hist_open_us", "hist_relay_rt_us")
+MARKS = ("handles_high_water", "threads_high_water", "peak_cores", "reads_in_flight_high_water", "origin_reads_in_flight_high_water")
+HISTOGRAMS = (
+    "hist_hit_read_us", "hist_origin_rt_us", "hist_open_us", "hist_replica_read_us", "hist_flush_write_us", "hist_meta_flush_us", "hist_relay_rt_us",
+    "hist_req_read_bytes", "hist_hit_read_bytes", "hist_replica_read_bytes", "hist_origin_open_us",
+)
 TIMES = ("ts", "start_ms", "ts_ms", "disabled")
 TEXTS = ("run_settings", "redirector_hosts", "counter_source")
 FILE_SUMS = ("opens", "served_bytes", "ram_bytes", "replica_bytes", "disk_reads", "disk_seq", "disk_bytes", "first_touch_bytes", "wire_bytes", "span_us")
@@ -65,6 +80,12 @@ def load_counters(spark: SparkSession, path: str) -> DataFrame:
     return parse(last_lines(own), COUNTER_SCHEMA)
 
 
+def run_stems(spark: SparkSession, path: str) -> DataFrame:
+    """(stem) of every counter file of a folder, also of one without a complete line."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return names.where(~F.col("file").rlike(r"\.(files|trace)\.jsonl$")).select(F.regexp_replace("file", r"\.jsonl$", "").alias("stem"))
+
+
 def load_file_records(spark: SparkSession, path: str) -> DataFrame:
     """Per-file records with their place in the file; lines without a key are left out."""
     return parse(lines(spark, path, "*.files.jsonl").drop("file"), FILE_SCHEMA).where(F.coalesce(F.col("key"), F.lit("")) != "")
@@ -94,10 +115,11 @@ def union_by_stem(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.withColumn("best_", F.min("rank_").over(W.partitionBy("stem"))).where("rank_ = best_").drop("rank_", "best_")
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) of small text records."""
+def text_lines(spark: SparkSession, path: str, complete: bool = False) -> DataFrame:
+    """(file, pos, line) of small text records; ``complete`` leaves out a last line without its end."""
+    parts = F.split("value", "\n", -1)
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("line <> ''")
+    return raw.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.slice(parts, 1, F.size(parts) - 1) if complete else parts).alias("pos", "line")).where("line <> ''")
 
 
 def parse_source_marks(all_lines: DataFrame, header: str) -> DataFrame:
@@ -110,11 +132,27 @@ def parse_source_marks(all_lines: DataFrame, header: str) -> DataFrame:
     return rows.groupBy("server").agg(F.max_by(F.struct("site_name", "domain", "count", "first_s", "last_s", "until_s"), F.struct("last_s", "until_s", "count")).alias("m")).select("server", "m.*")
 
 
-def parse_in_use(all_lines: DataFrame) -> DataFrame:
-    """Tagged lines of a hold: settings, high, range, fault, as (file, tag, a, b, rest)."""
-    p = F.split("line", " ", 4)
-    at = lambda i: F.try_element_at(p, F.lit(i))
-    return all_lines.select("file", "pos", at(1).alias("tag"), at(2).alias("a"), at(3).alias("b"), at(4).alias("rest")).where(F.col("tag").isin("settings", "high", "range", "fault"))
+def parse_in_use(all_lines: DataFrame, header: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(settings, high, ranges, faults) of holds whose first line is the header; lines with a bad value are left out.
+
+    settings: file, layout_version, slot_factor, codecs of the last good line ('-' is none); high: file, high, the
+    largest; ranges: file, store_id, lo, hi, last_s, hold_s, pid; faults: file, site, server, last_s, first_s, reason,
+    count.
+    """
+    from kelpie.functions.urls import decode_site
+
+    head = F.min_by("line", "pos").over(W.partitionBy("file"))
+    rows = all_lines.withColumn("head", head).where((F.col("head") == header) & (F.col("pos") > 0)).withColumn("p", F.filter(F.split("line", r"\s+"), lambda t: t != ""))
+    text = lambda i: F.try_element_at(F.col("p"), F.lit(i))
+    number = lambda i: text(i).try_cast("long")
+    tagged = lambda tag: rows.where(text(1) == tag)
+    settings = tagged("settings").select("file", "pos", number(2).alias("layout_version"), number(3).alias("slot_factor"), text(4).alias("codecs")).where("layout_version IS NOT NULL AND slot_factor BETWEEN 0 AND 65535 AND codecs IS NOT NULL")
+    codecs = F.when(F.col("codecs") == "-", "").otherwise(F.col("codecs"))
+    last = settings.groupBy("file").agg(F.max_by(F.struct("layout_version", "slot_factor", codecs.alias("codecs")), "pos").alias("s")).select("file", "s.*")
+    high = tagged("high").select("file", number(2).alias("high")).where("high IS NOT NULL").groupBy("file").agg(F.max("high").alias("high"))
+    ranges = tagged("range").where(text(2).rlike("^[0-9A-Fa-f]{1,16}$")).select("file", F.lower(text(2)).alias("store_id"), number(3).alias("lo"), number(4).alias("hi"), number(5).alias("last_s"), number(6).alias("hold_s"), number(7).alias("pid"))
+    faults = tagged("fault").select("file", decode_site(text(2)).alias("site"), F.lower(text(3)).alias("server"), number(4).alias("last_s"), number(5).alias("first_s"), text(6).alias("reason"), number(7).alias("count"))
+    return last, high, ranges.dropna().where("hi >= lo"), faults.dropna(subset=["server", "last_s", "first_s", "reason", "count"])
 
 
 def parse_roles(all_lines: DataFrame, now: int, days: int = 30, most: int = 4096) -> DataFrame:
@@ -130,10 +168,16 @@ def parse_bench(all_lines: DataFrame) -> DataFrame:
     return all_lines.where(F.col("line").rlike(r"^[a-z_]+: \{.*\}$")).select("file", "pos", F.substring_index("line", ": ", 1).alias("kind"), F.regexp_extract("line", r"^[a-z_]+: (.*)$", 1).alias("json"))
 
 
-def entry_names(all_lines: DataFrame, most: int = 8) -> DataFrame:
-    """Per names file the newest distinct URLs: a later line is newer, a repeated URL counts at its last place."""
-    last = all_lines.groupBy("file", F.col("line").alias("url")).agg(F.max("pos").alias("pos"))
-    return last.withColumn("r", F.row_number().over(W.partitionBy("file").orderBy(F.col("pos").desc()))).where(F.col("r") <= most)
+def entry_names(all_lines: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(logical names, URLs) of names files: the last ``lfn`` line of a file, and of its ``url`` lines the newest distinct ones.
+
+    A later line is newer, and a URL that is repeated counts at its last place; ``r`` is 1 for the newest.  Lines are
+    those of ``text_lines(..., complete=True)``.
+    """
+    tag, name = F.substring_index("line", " ", 1), F.expr("substring(line, 5)")
+    lfn = all_lines.where((tag == "lfn") & F.col("line").contains(" ")).groupBy("file").agg(F.max_by(name, "pos").alias("lfn"))
+    last = all_lines.where((tag == "url") & F.col("line").contains(" ")).groupBy("file", name.alias("url")).agg(F.max("pos").alias("pos"))
+    return lfn, last.withColumn("r", F.row_number().over(W.partitionBy("file").orderBy(F.col("pos").desc()))).where(F.col("r") <= most)
 
 
 def settings(layers: dict[str, DataFrame]) -> DataFrame:

@@ -99,3 +99,22 @@ def test_text_records(spark, tmp_path):
     layers = {"default": [("a", "1"), ("b", "2")], "env": [("b", "3")]}
     rows = records.settings({k: spark.createDataFrame(v, "key string, value string") for k, v in layers.items()}).collect()
     assert {(r.key, r.value, r.source) for r in rows} == {("a", "1", "default"), ("b", "3", "env")}
+
+
+def test_holds(spark, tmp_path):
+    (tmp_path / "h").write_text("hold 1\nsettings 2 300 -\nsettings 3 70000 zstd\nhigh 5\nhigh 3\nhigh x\nrange 0A 10 20 100 0 7\nrange zz 1 2 3 4 5\nrange b 9 8 1 1 1\nfault S%201 Srv:1 100 50 - 2\nfault - srv:2 100\nother\n")
+    (tmp_path / "bad").write_text("hold 2\nhigh 9\n")
+    settings, high, ranges, faults = records.parse_in_use(records.text_lines(spark, str(tmp_path)), "hold 1")
+    assert [tuple(r) for r in settings.collect()] == [("h", 2, 300, "")] and [tuple(r) for r in high.collect()] == [("h", 5)]
+    assert [tuple(r) for r in ranges.collect()] == [("h", "0a", 10, 20, 100, 0, 7)]
+    assert [tuple(r) for r in faults.collect()] == [("h", "S 1", "srv:1", 100, 50, "-", 2)]
+    at = lambda now: cache.live_faults(faults, now, 1000).count()
+    assert [at(n) for n in (39, 40, 1099, 1100)] == [0, 1, 1, 0]
+
+
+def test_names_of_an_entry(spark, tmp_path):
+    urls = [f"url u{i}" for i in range(10)]
+    (tmp_path / "e").write_text("\n".join(["lfn /a", *urls, "url u1", "lfn /b", "note", ""]) + "url torn")
+    lfn, found = records.entry_names(records.text_lines(spark, str(tmp_path), complete=True))
+    assert [tuple(r) for r in lfn.collect()] == [("e", "/b")]
+    assert [r.url for r in found.orderBy("r").collect()] == ["u1", "u9", "u8", "u7", "u6", "u5", "u4", "u3"]

@@ -71,11 +71,94 @@ def test_keys(spark):
 def test_parameters(spark):
     assert one(spark, urls.url_key(F.col("u"), ["tone", "hue"]), u="root://v//leaf?tone=3&pass=HIDDEN&hue=2") == "root://v:1094/leaf?hue=2&tone=3"
     assert one(spark, urls.strip_parameters(F.col("u"), ["p"]), u="root://v//leaf?p=1&r=2") == "root://v//leaf?r=2"
-    assert one(spark, urls.with_tried(F.col("u"), F.array(F.lit("n1"), F.lit("n2"))), u="root://v//leaf?tried=n1&r=2") == "root://v//leaf?r=2&tried=n1,n2"
+    assert one(spark, urls.with_tried(F.col("u"), F.array(F.lit("n1"), F.lit("n2"))), u="root://v//leaf?tried=n1&r=2") == "root://v//leaf?tried=n1,n2&r=2"
     assert one(spark, urls.url_at_server(F.col("u"), F.lit("w:9")), u="root://v:2//leaf?z") == "root://w:9//leaf?z"
     assert one(spark, urls.logical_name(F.col("u"), ["/shelf/", "/desk/"]), u="/far/desk/shelf/leaf") == "lfn:/desk/shelf/leaf"
 
 
+def plain_merge(url, reason=False, own=False, failed=None):
+    """The rules of merged lists, said plainly."""
+    base, mark, query = url.partition("?")
+    params = [(p.partition("=")[0], p.partition("=")[2], p) for p in query.split("&") if p]
+    lists, reasons = ([i for i, p in enumerate(params) if p[0] == k] for k in ("tried", "triedrc"))
+    if not mark or not (lists or reasons):
+        return url
+    again = own and bool(reasons) and params[reasons[-1]][1].split(",")[-1] == "resel"
+    dropped = max((i for i in lists if again and i < reasons[-1]), default=None)
+    short = lambda h: h.split(":")[0].lower()
+    hosts, saved = [], False
+    for i in lists:
+        for h in filter(None, params[i][1].split(",")):
+            if i == dropped:
+                if failed is None or short(h) not in map(short, failed):
+                    continue
+                saved = True
+            if h.lower() not in [x.lower() for x in hosts]:
+                hosts.append(h)
+    keep, out = reason and bool(reasons) and not again, []
+    for i, (k, _, p) in enumerate(params):
+        if k == "tried":
+            if hosts and i == lists[0]:
+                out += ["tried=" + ",".join(hosts)] + ([params[reasons[-1]][2]] if keep else ["triedrc=ioerr"] if saved else [])
+        elif k != "triedrc" or (keep and i == reasons[-1] and not hosts):
+            out.append(p)
+    return base + ("?" + "&".join(out) if out else "")
+
+
+def test_lists_of_tried_hosts_follow_the_rules(spark):
+    rng = random.Random(8)
+    names = ["a", "A", "b:7", "B", "c.d", ""]
+    piece = lambda: rng.choice([f"tried={','.join(rng.choice(names) for _ in range(rng.randrange(4)))}", f"triedrc={rng.choice(['resel', 'ioerr', 'ioerr,resel', 'resel,enoent', ''])}", "k=1", "k", "", "tried", "x==y"])
+    texts = ["root://v//f", "", "root://v//f?"] + ["root://v//f?" + "&".join(piece() for _ in range(rng.randrange(1, 6))) for _ in range(300)]
+    u, failed = F.col("v"), ["B:1", "zz"]
+    cases = {
+        "plain": (urls.merge_tried(u), lambda t: plain_merge(t)), "reason": (urls.merge_tried(u, reason=True), lambda t: plain_merge(t, True)), "own": (urls.own_open_url(u), lambda t: plain_merge(t, True, True)),
+        "failed": (urls.own_open_url(u, F.array(*map(F.lit, failed))), lambda t: plain_merge(t, True, True, failed)),
+        "hosts": (F.array_join(urls.tried_hosts(u), ","), lambda t: "".join(re.findall(r"[?&]tried=([^&]*)", plain_merge(t)))),
+    }
+    for column, rule in cases.values():
+        assert all_of(spark, texts, column) == [rule(t) for t in texts]
+    many = F.array(*(F.lit(f"N{i}.x.") for i in range(20)))
+    assert one(spark, urls.with_tried(F.col("u"), many), u="root://v//f?tried=n19.x") == "root://v//f?tried=n19.x," + ",".join(f"n{i}.x" for i in range(3, 19))
+    assert one(spark, urls.with_tried(F.col("u"), F.array(F.lit("a"), F.lit("b" * 900), F.lit("c" * 200))), u="root://v//f") == "root://v//f?tried=" + "c" * 200
+    shut = F.array(*map(F.lit, ["short", "8.8.4.4", "Q.r.", "[::1]"]))
+    assert one(spark, urls.with_exclusions(F.col("u"), shut, F.lit("resel")), u="root://v//f?k=1") == "root://v//f?k=1&tried=q.r&triedrc=ioerr"
+    assert one(spark, urls.with_exclusions(F.col("u"), F.array(F.lit("short")), F.lit("enoent")), u="root://v//f") == "root://v//f"
+    split = one(spark, urls.split_tried_patterns(F.col("u")), u="root://v//f?tried=a*,b,A*,q*:1,,*!&z=*")
+    assert (split.url, split.patterns, split.malformed) == ("root://v//f?tried=b&z=*", ["a*"], ["q*:1", "*!"])
+    assert one(spark, urls.url_at_server(F.col("u"), F.lit("w:9")), u="root://me@v:2//f?tried=a&z=1") == "root://me@w:9//f?z=1"
+    assert one(spark, urls.url_at_server(F.col("u"), F.lit("w:9"), True), u="root://v?tried=a") == "root://w:9?tried=a"
+
+
+def test_validators(spark):
+    uuid, salt = "01234567-89ab-cdef-0123-456789abcdef", "0f" * 16
+    good = [f"tag:{uuid}:{salt}", f" \ttag:{uuid}:{salt}\n"]
+    bad = [f"{uuid}:{salt}", f"tag:{uuid.upper()}:{salt}", f"tag:{uuid}:{salt}0", f"tag:{uuid}{salt}", f"tag:{uuid}:{salt[1:]}", ""]
+    assert [r and tuple(r) for r in all_of(spark, good + bad, urls.parse_identity(F.col("v"), "tag:"))] == [(uuid, salt)] * 2 + [None] * len(bad)
+    assert all_of(spark, ["*", "a*.b-c_d", "[*::1]", "*" + "a" * 252, "*::1"], urls.host_pattern_fault(F.col("v"))) == [None] * 5
+    assert all_of(spark, ["", "*" + "a" * 253, "a.b", "*/x", "*:80", "*\n"], urls.host_pattern_fault(F.col("v"))) == ["empty", "too long", "no star", "no host character", "a port", "no host character"]
+    assert all_of(spark, ["", " \t", "off", "/a/", "/a/ /b/c/\t/d/", " ".join(["/a/"] * 32)], urls.name_prefixes_fault(F.col("v"))) == [None] * 6
+    assert all(all_of(spark, ["/", "//", "a/", "/a", "/a//b/", "/a/./", "/a/../b/", "/é/", "/" + "a" * 255 + "/", " ".join(["/a/"] * 33), "off /"], urls.name_prefixes_fault(F.col("v"))))
+    answers = {"NORTH\nmore": "NORTH", " \tS-1\r\n": "S-1", "sitename": "", "two words": "", "": "", "\nX": "", "n" * 64: "n" * 64, "n" * 65: "", "é": ""}
+    assert all_of(spark, list(answers), urls.site_name_of_answer(F.col("v"))) == list(answers.values())
+
+
+def test_sizes_round_as_printf_does(spark):
+    rng = random.Random(5)
+    values = [0, 1, 2, 999, 1000, 1023, 1024, 1150, 1250, 1280, 1350, 999949, 999950, 999999, 10**18, 2**63 - 1] + [rng.randrange(10 ** rng.randrange(1, 19)) for _ in range(400)]
+
+    def plain(n, base, names, limit):
+        v, k = n / base, 0
+        while v >= limit and k + 1 < len(names):
+            v, k = v / base, k + 1
+        return f"{v:.1f} {names[k]}"
+
+    df = spark.createDataFrame([(n,) for n in values], "n long").select("n", units.human_size(F.col("n")).alias("b"), units.bytes_text(F.col("n")).alias("d"))
+    for r in df.collect():
+        assert r.b == (f"{r.n} B" if r.n < 1024 else plain(r.n, 1024, ["KiB", "MiB", "GiB", "TiB"], 1024)), r
+        assert r.d == ("1 byte" if r.n == 1 else f"{r.n} bytes" if r.n < 1000 else plain(r.n, 1000, ["kB", "MB", "GB", "TB", "PB"], 999.95)), r
+
+
 def test_coarse_urls_globs_sites(spark):
     assert one(spark, urls.coarse_url(F.col("u")), u="tape.vault.museum//shelf/leaf") == "root://unknown"
     assert one(spark, urls.coarse_url(F.col("u")), u="tape.vault.museum") == "root://vault.museum"

@@ -187,3 +187,34 @@ def test_record_merge_is_an_ordered_fold(spark, folder):
     k, m, n = rows["k"], rows["m"], rows["n"]
     assert (k.orig_bytes, k.unique_bytes, k.ts_ms, k.mode, k.data_server, k.read_sig) == (700, None, 1003000, "fill", "s2", "q")
     assert (m.orig_bytes, m.unique_bytes) == (None, None) and (n.orig_bytes, n.unique_bytes, n.mode) == (900000, 239745, "relay")
+
+
+def test_runs_of_two_folders(spark, tmp_path):
+    (tmp_path / "now").mkdir()
+    (tmp_path / "old").mkdir()
+    now, old = Folder(tmp_path / "now"), Folder(tmp_path / "old")
+    both = now.run(3000, 50, warm(GIB), [served("root://h//a", GIB, ts=3090)])
+    old.run(3000, 10, warm(5), [served("root://h//b", 5)])
+    older = old.run(1000, 20, fill(7), [wire("root://h//c", 7)])
+    killed = old.run(2000, 0, {}, [wire("root://h//d", 9, ts=2500)], host="k")
+    (old.path / f"{killed}.jsonl").write_text('{"opens":1')
+    (now.path / "empty-1-2500-0.jsonl").write_text("")
+    (now.path / "notes.jsonl").write_text('{"opens":1}\n')
+    runs, files = R.load_runs(spark, str(now.path), str(old.path))
+    got = [(r.stem, r.complete, r.end_s, r.n_files) for r in runs.collect()]
+    assert got == [(both, True, 3090, 1), (killed, False, 2500, 1), (older, True, 1020, 1)]
+    assert sorted(r.key for r in files.collect()) == ["root://h//a", "root://h//c", "root://h//d"]
+    assert R.load_runs(spark, str(now.path))[0].count() == 1
+
+
+def test_names_in_settings(spark):
+    rows = spark.createDataFrame([("a=1 logical_names=on/7f logical_names=on/8",), ("logical_names=on/9",), ("xlogical_names=on/9",), ("logical_names=on/",), (None,)], "run_settings string")
+    assert [r[0] for r in rows.select(R.name_hash("run_settings")).collect()] == ["7f", "9", "", "", ""]
+    assert R.keyed_by_name(rows, "9") and not R.keyed_by_name(rows, "8") and not R.keyed_by_name(rows, "")
+
+
+def test_ratios_of_mixed_records(spark):
+    rows = spark.createDataFrame([(10, 4, 2, 5), (30, 6, 2, None)], "hit_bytes long, first_touch_bytes long, hit_disk_reads long, replica_read_bytes long")
+    rest = {c: F.lit(0) for c in ("opens", "files_opened", "ram_hit_bytes", "replica_bytes_served", "relay_bytes", "origin_bytes", "served_bytes", "hit_disk_bytes")}
+    r = R.workflow_ratios(rows.withColumns(rest)).first()
+    assert (r.mixed, r.reread, r.mean_disk_read, r.sequential_pct, r.vector_width) == (True, 4.0, None, None, None)
