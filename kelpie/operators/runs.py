@@ -365,11 +365,11 @@ def history(runs: DataFrame, top: int = 20) -> DataFrame:
 
 
 def aggregate_counters(counters: DataFrame) -> DataFrame:
-    """One row over all processes: sums of counters, maxima of high-water marks, and whether schemas mix."""
+    """One row over all processes: sums of the counters they were loaded with, maxima of high-water marks, and whether schemas mix."""
     from kelpie.sources.records import MARKS, SUMS
 
     has = F.col("replica_read_bytes").isNotNull()
-    sums = [F.sum(F.coalesce(F.col(c), F.col("replica_bytes_served") if c == "replica_read_bytes" else F.lit(0), F.lit(0))).alias(c) for c in SUMS]
+    sums = [F.sum(F.coalesce(F.col(c), F.col("replica_bytes_served") if c == "replica_read_bytes" else F.lit(0), F.lit(0))).alias(c) for c in SUMS if c in counters.columns]
     return counters.agg(F.count("*").alias("files"), *sums, *(F.max(zero(c)).alias(c) for c in MARKS), (F.count_if(has) > 0).alias("any_new"), (F.count_if(~has) > 0).alias("any_old")).withColumn("mixed", F.col("any_new") & F.col("any_old")).drop("any_new", "any_old")
 
 

@@ -30,11 +30,23 @@ HISTOGRAMS = (
     "hist_hit_read_us", "hist_origin_rt_us", "hist_open_us", "hist_replica_read_us", "hist_flush_write_us", "hist_meta_flush_us", "hist_relay_rt_us",
     "hist_req_read_bytes", "hist_hit_read_bytes", "hist_replica_read_bytes", "hist_origin_open_us",
 )
+# What the analysis of runs reads of them; its plans join runs many times, so they stay narrow.
+RUN_SUMS = (
+    "opens files_opened served_bytes hit_bytes ram_hit_bytes replica_bytes_served relay_bytes origin_bytes origin_reads origin_readvs "
+    "prefetch_served_bytes prefetch_issued_bytes cold_replica_in_bytes hit_disk_reads hit_disk_bytes replica_reads replica_read_bytes crc_failures "
+    "replica_crc_failures replica_invalid failopen_events meta_corrupt validations_failed evicted_entries evicted_bytes page_writes flush_runs "
+    "flush_run_bytes buffer_stalls buffer_stall_us cpu_us instructions cycles"
+).split()
 TIMES = ("ts", "start_ms", "ts_ms", "disabled")
 TEXTS = ("run_settings", "redirector_hosts", "counter_source")
 FILE_SUMS = ("opens", "served_bytes", "ram_bytes", "replica_bytes", "disk_reads", "disk_seq", "disk_bytes", "first_touch_bytes", "wire_bytes", "span_us")
-COUNTER_SCHEMA = ", ".join([f"{c} long" for c in (*TIMES, *SUMS, *MARKS)] + [f"{c} array<long>" for c in HISTOGRAMS] + [f"{c} string" for c in TEXTS] + ["pmu_duty double"])
 FILE_SCHEMA = ", ".join([f"{c} long" for c in ("ts", "ts_ms", *FILE_SUMS, "origin_size", "read_buckets", "orig_bytes", "unique_bytes")] + ["key string", "read_sig string", "mode string", "data_server string", "data_servers string", "url_host string", "kind string", "origin_rt_us array<long>"])
+
+
+def counter_schema(sums: list[str]) -> str:
+    return ", ".join([f"{c} long" for c in (*TIMES, *sums, *MARKS)] + [f"{c} array<long>" for c in HISTOGRAMS] + [f"{c} string" for c in TEXTS] + ["pmu_duty double"])
+
+
 STEM = r"^(.+)-(\d+)-(\d+)-(\d+)$"
 
 
@@ -50,22 +62,26 @@ def last_lines(all_lines: DataFrame) -> DataFrame:
     return all_lines.groupBy("stem").agg(F.max_by("line", "pos").alias("line"))
 
 
-def _field(line: Column, name: str, kind: str) -> Column:
-    """One field read on its own, for lines that do not parse as a whole."""
-    if kind == "string":
-        return F.nullif(F.regexp_extract(line, rf'"{name}"\s*:\s*"([^"]*)"', 1), F.lit(""))
-    if kind == "array":
-        body = F.regexp_extract(line, rf'"{name}"\s*:\s*\[([0-9, ]*)\]', 1)
-        return F.when(body != "", F.transform(F.split(body, r"\s*,\s*"), lambda x: x.try_cast("long")))
-    return F.nullif(F.regexp_extract(line, rf'"{name}"\s*:\s*(-?[0-9.]+)', 1), F.lit("")).try_cast(kind)
+#: How a field of each kind looks in a line that does not parse as a whole.
+_LOOSE = {"number": r'"(\w+)"\s*:\s*(-?[0-9.]+)', "string": r'"(\w+)"\s*:\s*"([^"]*)"', "array": r'"(\w+)"\s*:\s*\[([0-9, ]*)\]'}
+
+
+def _field(name: str, kind: str) -> Column:
+    """One field of a broken line, read on its own: the first of its name and kind."""
+    of = "array" if kind == "array<long>" else "string" if kind == "string" else "number"
+    text = F.nullif(F.try_element_at(F.col(f"loose.{of}.v"), F.nullif(F.array_position(f"loose.{of}.k", name), F.lit(0)).cast("int")), F.lit(""))
+    if of == "array":
+        return F.transform(F.split(text, r"\s*,\s*"), lambda x: x.try_cast("long"))
+    return text if of == "string" else text.try_cast(kind)
 
 
 def parse(all_lines: DataFrame, schema: str) -> DataFrame:
     """Lines as columns: the parser first, and field by field where one malformed value would null a whole line."""
     fields = [f.split(" ", 1) for f in schema.split(", ")]
-    parsed = all_lines.withColumn("j", F.from_json("line", schema, {"mode": "PERMISSIVE"})).withColumn("broken", F.forall(F.array(*(F.col(f"j.{n}").isNull() for n, _ in fields)), lambda x: x))
-    kind = {"long": "long", "double": "double", "string": "string", "array<long>": "array"}
-    return parsed.select("*", *(F.when(F.col("broken"), _field(F.col("line"), n, kind[t])).otherwise(F.col(f"j.{n}")).alias(n) for n, t in fields)).drop("j", "broken", "line")
+    found = lambda p, i: F.regexp_extract_all("line", F.lit(p), F.lit(i))
+    loose = F.struct(*(F.struct(found(p, 1).alias("k"), found(p, 2).alias("v")).alias(of) for of, p in _LOOSE.items()))
+    parsed = all_lines.withColumn("j", F.from_json("line", schema, {"mode": "PERMISSIVE"})).withColumn("broken", F.to_json("j") == "{}").withColumn("loose", F.when(F.col("broken"), loose))
+    return parsed.select("*", *(F.when(F.col("broken"), _field(n, t)).otherwise(F.col(f"j.{n}")).alias(n) for n, t in fields)).drop("j", "broken", "loose", "line")
 
 
 def parse_stem(stem: Column) -> dict[str, Column]:
@@ -74,10 +90,10 @@ def parse_stem(stem: Column) -> dict[str, Column]:
     return {"host": get(1), "pid": get(2).try_cast("long"), "start_s": get(3).try_cast("long"), "seq": get(4).try_cast("long")}
 
 
-def load_counters(spark: SparkSession, path: str) -> DataFrame:
-    """One row per counter file: its last complete snapshot.  Any stem will do."""
+def load_counters(spark: SparkSession, path: str, sums: list[str] = RUN_SUMS) -> DataFrame:
+    """One row per counter file: its last complete snapshot.  Any stem will do; ``SUMS`` reads every counter."""
     own = lines(spark, path, "*.jsonl").where(~F.col("file").rlike(r"\.(files|trace)\.jsonl$"))
-    return parse(last_lines(own), COUNTER_SCHEMA)
+    return parse(last_lines(own), counter_schema(sums))
 
 
 def run_stems(spark: SparkSession, path: str) -> DataFrame:

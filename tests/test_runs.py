@@ -92,6 +92,13 @@ def test_counters_sum_over_processes(spark, folder):
     assert (a.files, a.opens, a.hit_bytes, a.origin_bytes, a.origin_reads, a.served_bytes, a.failopen_events, a.threads_high_water, a.mixed) == (2, 13, 230, 50, 4, 7, 1, 4, False)
 
 
+def test_every_counter_is_summed(spark, folder):
+    for i in (1, 2):
+        (folder.path / f"h-{i}-1-0.jsonl").write_text(json.dumps({c: i * (n + 1) for n, c in enumerate(S.SUMS)}, separators=(",", ":")) + "\n")
+    a = R.aggregate_counters(S.load_counters(spark, str(folder.path), S.SUMS)).first()
+    assert [a[c] for c in S.SUMS] == [3 * (n + 1) for n in range(len(S.SUMS))] and set(S.RUN_SUMS) < set(S.SUMS)
+
+
 def test_gain_of_a_baseline(spark, folder):
     half = GIB // 2
     folder.run(500, 100, baseline(GIB), [wire("a", half), wire("b", half)])
