@@ -104,13 +104,13 @@ def top_and_rest(df: DataFrame, value: str, name: str, top: int, others: str = "
 
 
 def scaled_counts(readings: DataFrame, *keys: str) -> DataFrame:
-    """(keys, value, duty) of counters that shared their unit: counts by the time enabled over the time running.
+    """(keys, value, duty, scaled) of counters that shared their unit: counts by the time enabled over the time running.
 
     A counter that was never enabled counts for nothing; one that never ran adds to the time enabled alone.  ``duty`` is
-    null where none was enabled.
+    null where none was enabled.  ``value`` is a whole number; what is rounded to larger units starts from ``scaled``.
     """
     on, ran = F.col("enabled"), F.least("running", "enabled")
     scaled = F.when(F.col("running") >= on, F.col("value").cast("double")).otherwise(F.try_divide(F.col("value").cast("double") * on, F.col("running")))
     rows = readings.withColumns({"scaled_": F.when(on > 0, scaled), "on_": F.when(on > 0, on).otherwise(0), "ran_": F.when(on > 0, ran).otherwise(0)})
     out = rows.groupBy(*keys).agg(F.coalesce(F.sum("scaled_"), F.lit(0.0)).alias("s"), F.sum("on_").alias("on"), F.sum("ran_").alias("ran"))
-    return out.select(*keys, F.floor(F.col("s") + 0.5).cast("long").alias("value"), F.try_divide(F.col("ran"), F.col("on")).cast("double").alias("duty"))
+    return out.select(*keys, F.floor(F.col("s") + 0.5).cast("long").alias("value"), F.try_divide(F.col("ran"), F.col("on")).cast("double").alias("duty"), F.col("s").alias("scaled"))
