@@ -54,6 +54,11 @@ def format_duration(seconds: Column) -> Column:
 
 def _one_decimal(value: Column) -> Column:
     """A number with one decimal: the nearest, and of an exact tie the even one, which ``format_string`` does not keep to."""
+    # Bound by a lambda, as the value is used many times and would be computed anew, and its code grow, with each.
+    return F.transform(F.array(value), _rounded)[0]
+
+
+def _rounded(value: Column) -> Column:
     whole, tenths = F.floor(value).cast("long"), F.lit(0).cast("long")
     for odd in range(1, 20, 2):
         mark, exact = odd / 20, Decimal(odd) / 20
@@ -65,27 +70,29 @@ def _one_decimal(value: Column) -> Column:
     return F.concat(F.floor(every / 10).cast("long").cast("string"), F.lit("."), (every % 10).cast("string"))
 
 
-def human_size(value: Column) -> Column:
-    """Text of a size with one decimal in binary units, up to TiB."""
+def human_size(value: Column, last: str = _BINARY[-1]) -> Column:
+    """Text of a size with one decimal in binary units, up to ``last``."""
     v = value.cast("double")
-    out = F.concat(_one_decimal(v / 1024.0 ** (len(_BINARY) - 1)), F.lit(f" {_BINARY[-1]}"))
-    for i in range(len(_BINARY) - 2, 0, -1):
-        out = F.when(v < 1024.0 ** (i + 1), F.concat(_one_decimal(v / 1024.0**i), F.lit(f" {_BINARY[i]}"))).otherwise(out)
-    return F.when(v < 1024.0, F.concat(value.cast("long").cast("string"), F.lit(f" {_BINARY[0]}"))).otherwise(out)
+    names = _BINARY[1 : _BINARY.index(last) + 1]
+    # The unit first, so that a number is put into words only once.
+    scaled, unit = v / 1024.0 ** len(names), F.lit(names[-1])
+    for i in range(len(names) - 1, 0, -1):
+        scaled, unit = F.when(v < 1024.0 ** (i + 1), v / 1024.0**i).otherwise(scaled), F.when(v < 1024.0 ** (i + 1), names[i - 1]).otherwise(unit)
+    return F.when(v < 1024.0, F.concat(value.cast("long").cast("string"), F.lit(f" {_BINARY[0]}"))).otherwise(F.concat(_one_decimal(scaled), F.lit(" "), unit))
 
 
-def bytes_text(value: Column) -> Column:
-    """A count of bytes in words below 1000, else in decimal units; a number that would read 1000.0 takes the next unit."""
+def bytes_text(value: Column, last: str = _DECIMAL[-1]) -> Column:
+    """A count of bytes in words below 1000, else in decimal units up to ``last``; a number that would read 1000.0 takes the next unit."""
     n = value.cast("long")
-    out = None
-    for i in range(len(_DECIMAL) - 1, -1, -1):
+    scaled = unit = None
+    for i in range(_DECIMAL.index(last), -1, -1):
         # Divided step by step, as the rounding of one division differs.
         v = n.cast("double") / 1000.0
         for _ in range(i):
             v = v / 1000.0
-        text = F.concat(_one_decimal(v), F.lit(f" {_DECIMAL[i]}"))
-        out = text if out is None else F.when(v < 999.95, text).otherwise(out)
-    return F.when(n == 1, "1 byte").when(n < 1000, F.concat(n.cast("string"), F.lit(" bytes"))).otherwise(out)
+        here = F.lit(_DECIMAL[i])
+        scaled, unit = (v, here) if scaled is None else (F.when(v < 999.95, v).otherwise(scaled), F.when(v < 999.95, here).otherwise(unit))
+    return F.when(n == 1, "1 byte").when(n < 1000, F.concat(n.cast("string"), F.lit(" bytes"))).otherwise(F.concat(_one_decimal(scaled), F.lit(" "), unit))
 
 
 def _tiered(seconds: Column, below: dict[str, int], last: str) -> Column:
