@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kelpie.operators import runs as R
+from kelpie.plans import registry
 
 MIB = 1 << 20
 RUNS = "stem string, pid long, start_s long, duration_s long, is_disabled boolean, fill_candidate boolean, qualified boolean, origin_share double, origin_bytes long, cache_bytes long, cache_work long, n_files long, work long, wire long, replica long, faults long"
@@ -100,3 +101,21 @@ def test_runs_of_the_same_files_are_not_paired(spark):
     assert R.reference_corrections(runs, files).agg(F.count("*"), F.sum("warm_start_s")).first() == (n // 2, sum(1000 + (i + 1) * 2 for i in range(0, n, 2)))
     gains = R.estimate_gains(runs, files).where("valid").agg(F.count("*"), F.min("ref"), F.max("ref"), F.max("matched_files")).first()
     assert gains == (n // 2, f"r{n - 2}", f"r{n - 2}", 4)
+
+
+def sent(spark):
+    """Rows written to shuffles by all stages so far."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_of_readers_are_summed_up_where_they_meet(spark, tmp_path):
+    """60 groups of 40 readers of the same 40 parts: 46,800 pairs, each in 40 places."""
+    lines = spark.range(60 * 40 * 40).selectExpr("id div 1600 * 40 + id % 40 AS l_suppkey", "id div 40 AS l_partkey", "double(id % 40 + 1) AS l_quantity")
+    lines.repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = sent(spark)
+    found = registry.QUERIES["q08_matching_work"](spark, str(tmp_path))
+    assert found.agg(F.count("*"), F.min("common"), F.max("common"), F.min("c"), F.max("d"), F.count_if(F.col("stem") < F.col("ref"))).first() == (93_600, 40, 40, 1.0, 1.0, 46_800)
+    # The lines themselves, the pairs once, and little else.
+    assert sent(spark) - before < 96_000 + 46_800 + 20_000
