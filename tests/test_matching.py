@@ -146,3 +146,11 @@ def test_totals_estimate_the_runs_that_they_count(spark, tmp_path):
     assert [tuple(x) for x in found] == [(6000, 1_227_000, 462, 10, 36, 5865, 1580.172414, 1.206667)]
     # No signatures, and what classes of 60 runs have in common with others.
     assert sent(spark) - before < 130_000
+
+
+def test_reasons_are_sought_for_the_runs_that_they_tell_of(spark, tmp_path):
+    many_runs(spark, tmp_path)
+    before = sent(spark)
+    found = registry.QUERIES["q60_reasons"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [("filled", 12), ("is_baseline", 12)]
+    assert sent(spark) - before < 130_000
