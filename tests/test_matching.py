@@ -154,3 +154,11 @@ def test_reasons_are_sought_for_the_runs_that_they_tell_of(spark, tmp_path):
     found = registry.QUERIES["q60_reasons"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == [("filled", 12), ("is_baseline", 12)]
     assert sent(spark) - before < 130_000
+
+
+def test_references_are_corrected_without_signatures(spark, tmp_path):
+    many_runs(spark, tmp_path)
+    before = sent(spark)
+    found = registry.QUERIES["q46_corrected_references"](spark, str(tmp_path)).collect()
+    assert len(found) == 987 and ("1-A", 0.130435, 42.0) in map(tuple, found)
+    assert sent(spark) - before < 100_000
