@@ -8,8 +8,9 @@ segmentations of the same merge type, which decode to the very same text.  A rat
 Words (with the space before them) do not merge with each other in these models, so the agenda runs over many words at
 once.  The key of a merge is (seed, doc_id, place of the word in the text, span in the word), so every occurrence of a
 word is drawn anew.  The model's own pieces of a word are kept with the merges that it considers: an occurrence in which
-none of those is skipped has the very same pieces; any other has an agenda of its own, and so has a word that a batch
-holds few times.
+none of those is skipped has the very same pieces.  Of the others, one of each set of skipped merges has an agenda of its
+own, and those for which every merge that it considered is drawn as for it have its pieces.  All that are left have an
+agenda each, and so has a word that a batch holds few times.
 
 Spaces become the model's space mark, one more before the text; characters that are no piece become their bytes.  A
 space mark of the text itself is spelt as bytes, so it is not taken for a space: decoding gives back every text.
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mix
+from .common import bounded, column_bytes, mix, passes
 
 SPACE = "▁"
 RATE, SEED = 0.1, 17
@@ -44,7 +44,10 @@ KEPT_BYTES = 32 << 20
 DRAWN = 1 << 15
 #: Occurrences in a batch from which a word is kept, and words that are merged side by side.
 OFTEN, ABREAST = 5, 1 << 13
-NONE = np.int64((1 << 63) - 1)
+#: Pieces that are joined or decoded at a time, about.
+AT_ONCE = 1 << 18
+#: The place in the order of merges of what is no merge.
+NONE = np.int64((1 << 31) - 1)
 _models: dict[str, Model] = {}
 
 
@@ -84,6 +87,10 @@ class Model:
         self.of_pair = dict(pairs)
         # A space stands for the model's space mark; a space mark of the text has no piece.
         self.characters = {c: i for c, i in ids.items() if len(c) == 1 and c != SPACE} | {" ": ids[SPACE]}
+        self.of_point = np.full(0x110000, -1, dtype=np.int32)
+        self.of_point[[ord(c) for c in self.characters]] = list(self.characters.values())
+        self.of_byte = np.array(self.bytes, dtype=np.int32)
+        self.values = pa.array(self.value, pa.large_binary())
 
     def _hash(self) -> None:
         """A table of the pairs by hash, four places a pair; a pair lies at most ``probes`` places after its own."""
@@ -131,11 +138,25 @@ class Model:
                 out.append(i)
         return out
 
-    def all_symbols(self, words: list[str]) -> list[list[int]]:
-        """The symbols of many words; most have no character without a piece."""
-        get = self.characters.get
-        found = [list(map(get, w)) for w in words]
-        return [self.symbols(w) if None in x else x for w, x in zip(words, found)]
+    def all_symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of many words (UTF-8), joined, and how many each has."""
+        joined = b"".join(words)
+        points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        raw = np.frombuffer(joined, dtype=np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        leads = np.flatnonzero((raw & 0xC0) != 0x80)
+        # Characters before each word's end.
+        upto = np.searchsorted(leads, ends)
+        out = self.of_point[points]
+        bare = np.flatnonzero(out < 0)
+        if len(bare):
+            width = np.ones(len(out), dtype=np.int64)
+            width[bare] = np.diff(np.append(leads, len(raw)))[bare]
+            before = np.concatenate(([0], np.cumsum(width)))
+            out = np.repeat(out, width)
+            out[_rows(before[bare], width[bare])] = self.of_byte[raw[_rows(leads[bare], width[bare])]]
+            upto = before[upto]
+        return out, np.diff(upto, prepend=0)
 
 
 def load(path: str) -> Model:
@@ -202,17 +223,28 @@ def agenda(symbols: list[int], key: int, model: Model, rate: float, seen: list |
 def side_by_side(words: list[list[int]], keys: list[int], model: Model, rate: float) -> list[bytes]:
     """The pieces (unsigned 32-bit, little-endian) of many short words; every round merges the best pair of each."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    return merge_all(np.array([s for w in words for s in w], dtype=np.int64), sizes, np.array(keys, dtype=np.uint64), model, rate)
+    found = merge_all(np.array([s for w in words for s in w], dtype=np.int32), sizes, np.array(keys, dtype=np.uint64), model, rate)
+    return cut(*found)
 
 
-def merge_all(sym: np.ndarray, sizes: np.ndarray, key: np.ndarray, model: Model, rate: float, seen: list | None = None) -> list[bytes]:
-    """``side_by_side`` over joined symbols; ``seen`` takes the (words, places) of the merges that were considered."""
+def cut(pieces: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Stretches of ids as unsigned 32-bit little-endian values."""
+    raw = pieces.astype("<u4", copy=False).tobytes()
+    return [raw[a:b] for a, b in zip((first * 4).tolist(), ((first + size) * 4).tolist())]
+
+
+def merge_all(sym: np.ndarray, sizes: np.ndarray, key: np.ndarray, model: Model, rate: float, seen: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``side_by_side`` over joined symbols: pieces, and where those of each word begin and how many they are.
+
+    ``seen`` takes the (words, places) of the merges that were considered.
+    """
     sym = sym.astype(np.int32)
     word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     first = np.concatenate(([0], np.cumsum(sizes)))
     start = (np.arange(len(sym)) - first[:-1][word]).astype(np.uint32)
     stop = start + np.uint32(1)
-    out: list[bytes] = [b""] * len(sizes)
+    done: list[np.ndarray] = []
+    out_first, out_size, n_done = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64), 0
     rank = np.full(len(sym), NONE)
     form = np.zeros(len(sym), dtype=np.int32)
 
@@ -237,18 +269,20 @@ def merge_all(sym: np.ndarray, sizes: np.ndarray, key: np.ndarray, model: Model,
 
     consider(np.arange(len(sym)))
     while len(sym):
-        begins = np.concatenate(([0], np.flatnonzero(np.diff(word)) + 1))
-        place = np.arange(len(sym))
-        best = np.minimum.reduceat(np.where(rank == NONE, NONE, rank << 32 | place), begins)
-        ended = best == NONE
-        if ended.any():
-            stops = np.append(begins[1:], len(sym))
-            raw = sym.astype("<u4").tobytes()
-            for w, b, e in zip(word[begins[ended]].tolist(), (begins[ended] * 4).tolist(), (stops[ended] * 4).tolist()):
-                out[w] = raw[b:e]
+        begins = np.concatenate(([0], np.flatnonzero(word[1:] != word[:-1]) + 1))
+        best = np.minimum.reduceat(rank << 32 | np.arange(len(sym)), begins)
+        ended = best >> 32 == NONE
         at = best[~ended] & 0xFFFFFFFF
+        keep = np.ones(len(sym), dtype=bool)
+        if ended.any():
+            size = np.diff(np.append(begins, len(sym)))
+            over, n = np.repeat(ended, size), size[ended]
+            whole = word[begins[ended]]
+            out_first[whole], out_size[whole] = n_done + np.cumsum(n) - n, n
+            done.append(sym[over])
+            n_done += len(done[-1])
+            keep = ~over
         sym[at], stop[at] = form[at], stop[at + 1]
-        keep = np.repeat(~ended, np.diff(np.append(begins, len(sym))))
         keep[at + 1] = False
         moved = np.cumsum(keep) - 1
         sym, word, start, stop, rank, form = (x[keep] for x in (sym, word, start, stop, rank, form))
@@ -258,7 +292,24 @@ def merge_all(sym: np.ndarray, sizes: np.ndarray, key: np.ndarray, model: Model,
         touched = np.zeros(len(sym) + 1, dtype=bool)
         touched[at] = touched[at - 1] = True  # the place before the first is the spare one at the end
         consider(np.flatnonzero(touched[:-1]))
-    return out
+    return np.concatenate(done) if done else sym, out_first, out_size
+
+
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts (UTF-8), those of all texts in turn by number, and how many each text has.
+
+    Words are those of ``WORD`` in a space and the text: each begins with the text or where spaces begin.
+    """
+    joined = b"".join([b" " + t for t in texts if t])
+    ends = np.cumsum(np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64))
+    space = np.frombuffer(joined, dtype=np.uint8) == 0x20
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins[ends[ends < len(joined)]] = True
+    starts = np.flatnonzero(begins)
+    offsets = np.append(starts, len(joined)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -293,6 +344,37 @@ class Kept:
         self.size += 250 + sum(map(len, value))
 
 
+class Stretches:
+    """Stretches of values, joined: those of each item, and how many each has."""
+
+    def __init__(self, parts: list[bytes], kind: type):
+        self.values = np.frombuffer(b"".join(parts), dtype=kind)
+        self.size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // np.dtype(kind).itemsize
+        self.first = np.cumsum(self.size) - self.size
+
+    def of(self, items: np.ndarray) -> np.ndarray:
+        return self.values[_rows(self.first[items], self.size[items])]
+
+
+class Pieces:
+    """Pieces of each occurrence of a word: those of its word at first, until others are put in their place."""
+
+    def __init__(self, own: Stretches, at: np.ndarray):
+        self.parts, self.n = [own.values], len(own.values)
+        self.first, self.size = own.first[at], own.size[at]
+
+    def put(self, where: np.ndarray, pieces: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        self.first[where], self.size[where] = first + self.n, size
+        self.parts.append(pieces)
+        self.n += len(pieces)
+
+    def joined(self) -> np.ndarray:
+        """The pieces of all occurrences in turn."""
+        found = np.concatenate(self.parts)
+        steps = range(0, len(self.first), AT_ONCE)
+        return np.concatenate([found[:0], *(found[_rows(self.first[a : a + AT_ONCE], self.size[a : a + AT_ONCE])] for a in steps)])
+
+
 class Encoder:
     """Encodes texts with one model, rate and seed.
 
@@ -305,11 +387,13 @@ class Encoder:
 
     def encode_batch(self, texts: list[str], docs: list[int | None]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit little-endian values; the draws are those of the given documents."""
-        split = [WORD.findall(" " + t) if t else [] for t in texts]
-        flat = [w for s in split for w in s]
-        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        at = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        words, often = list(number), np.bincount(at, minlength=len(number)) >= OFTEN
+        pieces, sizes = self.encode_joined([t.encode("utf-8", "surrogatepass") for t in texts], docs)
+        return cut(pieces, np.cumsum(sizes) - sizes, sizes)
+
+    def encode_joined(self, texts: list[bytes], docs: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8) in turn, and how many each text has."""
+        words, at, sizes = split_words(texts)
+        often = np.bincount(at, minlength=len(words)) >= OFTEN
         kept = [self.words.get(w) for w in words]
         fresh = [i for i, k in enumerate(kept) if k is None and (often[i] or not self.rate)]
         for a in range(0, len(fresh), ABREAST):
@@ -317,61 +401,103 @@ class Encoder:
             for i, found in zip(some, self._learn([words[i] for i in some])):
                 kept[i] = found
                 self.words.put(words[i], found)
-        own = [b"" if k is None else k[0] for k in kept]
-        pieces = [own[i] for i in at.tolist()]
-        sizes = np.array([len(s) for s in split], dtype=np.int64)
-        if self.rate and flat:
+        own = Stretches([k[0] if k else b"" for k in kept], np.int32)
+        pieces = Pieces(own, at)
+        if self.rate and len(at):
             of_doc = np.array([word_key(str(d), self.seed, 0) for d in docs], dtype=np.uint64)
-            place = _rows(np.zeros(len(split), dtype=np.int64), sizes)
+            place = _rows(np.zeros(len(texts), dtype=np.int64), sizes)
             key = mix(np.repeat(of_doc, sizes) ^ mix(place.astype(np.uint64) + np.uint64(1)))
             alone = np.array([k is None for k in kept])[at]
             self._draw(np.flatnonzero(~alone), at, key, kept, pieces)
-            self._encode(np.flatnonzero(alone), [words[i] for i in at[alone].tolist()], key, pieces)
+            self._encode(np.flatnonzero(alone), at, words, key, pieces)
         ends = np.cumsum(sizes)
-        return [b"".join(pieces[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+        joined, n = pieces.joined(), np.concatenate(([0], np.cumsum(pieces.size)))
+        return joined, n[ends] - n[ends - sizes]
 
-    def _encode(self, where: np.ndarray, words: list[str], key: np.ndarray, pieces: list[bytes]) -> None:
+    def _encode(self, where: np.ndarray, at: np.ndarray, words: list[bytes], key: np.ndarray, pieces: Pieces) -> None:
         """Gives the words that occur at ``where`` an agenda each."""
         for a in range(0, len(where), ABREAST):
-            found = self.model.all_symbols(words[a : a + ABREAST])
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self._agendas(where[a : a + ABREAST], np.array(list(itertools.chain.from_iterable(found)), dtype=np.int32), size, key, pieces)
+            some = where[a : a + ABREAST]
+            self._agendas(some, *self.model.all_symbols([words[i] for i in at[some].tolist()]), key, pieces)
 
-    def _agendas(self, where: np.ndarray, symbols: np.ndarray, size: np.ndarray, key: np.ndarray, pieces: list[bytes]) -> None:
+    def _agendas(self, where: np.ndarray, symbols: np.ndarray, size: np.ndarray, key: np.ndarray, pieces: Pieces, seen: list | None = None) -> None:
         """Pieces of the occurrences at ``where``, whose symbols are joined, under the draws of their keys."""
         first, short = np.cumsum(size) - size, size <= SIDE_BY_SIDE
-        joined = symbols[_rows(first[short], size[short])].astype(np.int64)
-        for i, ids in zip(where[short].tolist(), merge_all(joined, size[short], key[where[short]], self.model, self.rate)):
-            pieces[i] = ids
-        for k in np.flatnonzero(~short).tolist():
-            ids = agenda(symbols[first[k] : first[k] + size[k]].tolist(), int(key[where[k]]), self.model, self.rate)
-            pieces[int(where[k])] = np.array(ids, dtype="<u4").tobytes()
-
-    def _draw(self, where: np.ndarray, at: np.ndarray, key: np.ndarray, kept: list, pieces: list[bytes]) -> None:
+        if not short.all():
+            for k in np.flatnonzero(~short).tolist():
+                ids = np.array(agenda(symbols[first[k] : first[k] + size[k]].tolist(), int(key[where[k]]), self.model, self.rate), dtype=np.int32)
+                pieces.put(where[k : k + 1], ids, np.zeros(1, dtype=np.int64), np.array([len(ids)]))
+            symbols, size, where = symbols[_rows(first[short], size[short])], size[short], where[short]
+        pieces.put(where, *merge_all(symbols, size, key[where], self.model, self.rate, seen))
+
+    def _draw(self, where: np.ndarray, at: np.ndarray, key: np.ndarray, kept: list, pieces: Pieces) -> None:
         """Puts other pieces in the place of the own ones of kept words wherever a merge is skipped."""
-        places = np.frombuffer(b"".join(k[2] for k in kept if k), dtype=np.uint64)
-        n_places = np.array([len(k[2]) // 8 if k else 0 for k in kept], dtype=np.int64)
-        first = np.cumsum(n_places) - n_places
-        symbols = np.frombuffer(b"".join(k[1] for k in kept if k), dtype=np.int32)
-        n_symbols = np.array([len(k[1]) // 4 if k else 0 for k in kept], dtype=np.int64)
-        first_symbol = np.cumsum(n_symbols) - n_symbols
+        places = Stretches([k[2] if k else b"" for k in kept], np.uint64)
+        symbols = Stretches([k[1] if k else b"" for k in kept], np.int32)
+        hits, marks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
         for a in range(0, len(where), DRAWN):
             some = where[a : a + DRAWN]
-            n = n_places[at[some]]
-            skipped = _drawn(places[_rows(first[at[some]], n)], np.repeat(key[some], n), self.rate)
-            hit = some[np.unique(np.repeat(np.arange(len(some)), n)[skipped])]
-            size = n_symbols[at[hit]]
-            self._agendas(hit, symbols[_rows(first_symbol[at[hit]], size)], size, key, pieces)
-
-    def _learn(self, words: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+            n = places.size[at[some]]
+            skipped = np.flatnonzero(_drawn(places.of(at[some]), np.repeat(key[some], n), self.rate))
+            if len(skipped):
+                ends = np.cumsum(n)
+                who = np.searchsorted(ends, skipped, "right")
+                begins = np.concatenate(([0], np.flatnonzero(who[1:] != who[:-1]) + 1))
+                hits.append(some[who[begins]])
+                # Tells sets of skipped merges apart; sets that it does not tell apart only share a group.
+                marks.append(np.add.reduceat(mix((skipped - (ends - n)[who]).astype(np.uint64) + np.uint64(1)), begins))
+        hit = np.concatenate(hits)
+        group = mix(np.concatenate(marks) ^ mix(at[hit].astype(np.uint64)))
+        order = np.argsort(group)
+        hit, group = hit[order], group[order]
+        fresh = np.ones(len(hit), dtype=bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (at[hit[1:]] != at[hit[:-1]]) | (symbols.size[at[hit[1:]]] > SIDE_BY_SIDE)
+        begins = np.flatnonzero(fresh)
+        size = np.diff(np.append(begins, len(hit)))
+        lone, several = hit[begins[size == 1]], np.flatnonzero(size > 1)
+        rest = [lone]
+        for a in range(0, len(several), ABREAST):
+            some = several[a : a + ABREAST]
+            rest.append(self._follow(hit, begins[some], size[some], at, key, symbols, pieces))
+        left = np.concatenate(rest)
+        for a in range(0, len(left), ABREAST):
+            some = left[a : a + ABREAST]
+            self._agendas(some, symbols.of(at[some]), symbols.size[at[some]], key, pieces)
+
+    def _follow(self, hit: np.ndarray, begins: np.ndarray, size: np.ndarray, at: np.ndarray, key: np.ndarray, symbols: Stretches, pieces: Pieces) -> np.ndarray:
+        """Gives the first of each group of occurrences of a word an agenda, and its pieces to those that draw alike; returns the rest."""
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        heads = hit[begins]
+        self._agendas(heads, symbols.of(at[heads]), symbols.size[at[heads]], key, pieces, seen)
+        word, place = (np.concatenate(x) for x in zip(*seen))
+        order = np.argsort(word, kind="stable")
+        place = place[order]
+        n = np.bincount(word, minlength=len(heads))
+        first = np.cumsum(n) - n
+        drawn = _drawn(place, np.repeat(key[heads], n), self.rate)
+        rest = []
+        for a, b in passes((size - 1).tolist(), DRAWN):
+            head = np.repeat(np.arange(a, b), size[a:b] - 1)
+            others = hit[_rows(begins[a:b] + 1, size[a:b] - 1)]
+            for c in range(0, len(others), DRAWN):
+                who, of = others[c : c + DRAWN], head[c : c + DRAWN]
+                rows = _rows(first[of], n[of])
+                differs = _drawn(place[rows], np.repeat(key[who], n[of]), self.rate) != drawn[rows]
+                same = np.ones(len(who), dtype=bool)
+                same[np.repeat(np.arange(len(who)), n[of])[differs]] = False
+                pieces.first[who[same]], pieces.size[who[same]] = pieces.first[heads[of[same]]], pieces.size[heads[of[same]]]
+                rest.append(who[~same])
+        return np.concatenate(rest)
+
+    def _learn(self, words: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
         """(own pieces, symbols, places of the merges considered) of each word."""
-        symbols = self.model.all_symbols(words)
-        sizes = np.fromiter(map(len, symbols), dtype=np.int64, count=len(symbols))
-        raw = [np.array(s, dtype=np.int32).tobytes() for s in symbols]
+        symbols, sizes = self.model.all_symbols(words)
+        first = np.cumsum(sizes) - sizes
+        raw = cut(symbols, first, sizes)
         short, long = np.flatnonzero(sizes <= SIDE_BY_SIDE), np.flatnonzero(sizes > SIDE_BY_SIDE)
         seen: list[tuple[np.ndarray, np.ndarray]] = []
-        joined = np.frombuffer(b"".join(raw[i] for i in short.tolist()), dtype=np.int32).astype(np.int64)
-        found = merge_all(joined, sizes[short], np.zeros(len(short), dtype=np.uint64), self.model, 0.0, seen)
+        joined = symbols[_rows(first[short], sizes[short])]
+        found = cut(*merge_all(joined, sizes[short], np.zeros(len(short), dtype=np.uint64), self.model, 0.0, seen))
         word, place = (np.concatenate(x) for x in zip(*seen))
         order = np.argsort(word, kind="stable")
         cuts = (np.searchsorted(word[order], np.arange(len(short) + 1)) * 8).tolist()
@@ -381,11 +507,23 @@ class Encoder:
             out[i] = found[k], raw[i], places[cuts[k] : cuts[k + 1]]
         for i in long.tolist():
             considered: list[tuple[int, int, int]] = []
-            ids = np.array(agenda(symbols[i], 0, self.model, 0.0, considered), dtype="<u4").tobytes()
+            ids = np.array(agenda(symbols[first[i] : first[i] + sizes[i]].tolist(), 0, self.model, 0.0, considered), dtype="<u4").tobytes()
             spans = np.array(considered, dtype=np.uint64).reshape(-1, 3).T
             out[i] = ids, raw[i], mix(_place(*spans)).tobytes()
         return out
 
+    def decode_joined(self, pieces: np.ndarray, sizes: np.ndarray) -> Iterator[bytes]:
+        """The texts (UTF-8) that stretches of ids stand for, one after the other."""
+        ends = np.cumsum(sizes)
+        for a, b in passes(sizes.tolist(), AT_ONCE):
+            low = ends[a] - sizes[a]
+            taken = self.model.values.take(pa.array(pieces[low : ends[b - 1]]))
+            _, offsets, data = taken.buffers()
+            at = np.frombuffer(offsets, dtype=np.int64, count=len(taken) + 1)
+            data = memoryview(data) if data is not None else memoryview(b"")
+            for c, d in zip(at[ends[a:b] - sizes[a:b] - low].tolist(), at[ends[a:b] - low].tolist()):
+                yield bytes(data[c + 1 : d])  # without the space before the text
+
     def decode(self, ids: bytes) -> bytes:
         """The text (UTF-8) that ids stand for."""
         return b"".join(map(self.model.value.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))[1:]
@@ -404,10 +542,9 @@ def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path, rate, seed)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            found = encoder.encode_batch(texts, ids)
-            lists = [np.frombuffer(f, dtype="<u4").astype(np.int32) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            pieces, sizes = encoder.encode_joined(column_bytes(batch.column("text")), batch.column("doc_id").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(pieces, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -431,12 +568,13 @@ def round_trip(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path, rate, seed)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            found = encoder.encode_batch(texts, ids)
+            pieces, sizes = encoder.encode_joined(column_bytes(batch.column("text")), batch.column("doc_id").to_pylist())
+            raw, ends = memoryview(pieces.astype("<u4", copy=False)).cast("B"), np.cumsum(sizes)
+            sums = [zlib.crc32(raw[a:b]) for a, b in zip(((ends - sizes) * 4).tolist(), (ends * 4).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array([zlib.crc32(f) for f in found], pa.int64()),
-                    pa.array([hashlib.sha256(encoder.decode(f)).hexdigest() for f in found], pa.string()),
+                    batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in encoder.decode_joined(pieces, sizes)], pa.string()),
                 ],
                 ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"],
             )

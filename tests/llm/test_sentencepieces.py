@@ -130,3 +130,28 @@ def test_batches_equal_a_naive_encoder(rows, rate):
             for i, w in enumerate(S.WORD.findall(" " + text) if text else []):
                 want += naive(w, int(S.mix(np.array([key ^ S.mix(np.array([i + 1], dtype=np.uint64))[0]]))[0]), e.model, rate)
             assert ids(got) == want
+
+
+def test_occurrences_that_draw_alike_share_an_agenda(monkeypatch):
+    """Every occurrence has the pieces of its own agenda, but fewer are merged than have a merge skipped (here one in three)."""
+    n, merged = 2000, []
+    text = "then the naïve ▁of and  the 😀s" * n
+    whole, e = S.merge_all, S.Encoder(PATH, 0.1)
+    monkeypatch.setattr(S, "merge_all", lambda sym, sizes, *rest: (merged.append(len(sizes)), whole(sym, sizes, *rest))[1])
+    (got,) = e.encode_batch([text], [3])
+    shared, key = sum(merged), np.uint64(S.word_key("3", S.SEED, 0))
+    found = S.WORD.findall(" " + text)
+    own = S.mix(key ^ S.mix(np.arange(1, len(found) + 1, dtype=np.uint64)))
+    alone = S.side_by_side([e.model.symbols(w) for w in found], own.tolist(), e.model, 0.1)
+    assert got == b"".join(alone)
+    assert shared < len(found) / 5
+
+
+@pytest.mark.parametrize("texts", [[], [""], ["", "", " "], [" a", "", "b ", " ", "  c  d  ", "\n \n"], ["\ud800x \udc00"]])
+def test_words_of_texts_are_those_of_the_pattern(texts):
+    words, at, sizes = S.split_words([t.encode("utf-8", "surrogatepass") for t in texts])
+    assert [words[i].decode("utf-8", "surrogatepass") for i in at] == [w for t in texts if t for w in S.WORD.findall(" " + t)]
+    assert sizes.tolist() == [len(S.WORD.findall(" " + t)) if t else 0 for t in texts]
+    e = S.Encoder(PATH, 0.3)
+    assert [e.decode(x).decode("utf-8", "surrogatepass") for x in e.encode_batch(texts, list(range(len(texts))))] == texts
+    assert [x.decode("utf-8", "surrogatepass") for x in e.decode_joined(*e.encode_joined([t.encode("utf-8", "surrogatepass") for t in texts], list(range(len(texts)))))] == texts
