@@ -260,7 +260,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, mass: float = MASS, blo
     bits = X.bucket_bits(size / 6)
     answers: list[DataFrame] = []
     for _ in range(order):
-        answers.append(settle(count(ask(own, answers, bits))))
+        # What was asked is several times the answers, and is not read again.
+        answers.append(settle(count(ask(own, answers, bits)), lean=True))
     totals = answers[0].agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = totals[0] or 0, totals[1] or 0
     texts = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLD != HELD_OUT, F.lit(True))).count()

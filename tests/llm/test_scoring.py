@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import time
 import zlib
 
 import pytest
@@ -73,3 +74,21 @@ def test_sql_gives_the_same(spark, docs):
     key = lambda r: (str(r[0]), tuple(r[1:]))
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(found, key=key), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-6)
+
+
+def shuffled(spark):
+    """Numbers of the shuffles whose files are there."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name.split("_")[1] for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_what_was_asked_is_not_kept(spark, docs):
+    """Of all orders' questions and answers no shuffle is left: only those of the blocks and of three sums may be."""
+    before = shuffled(spark)
+    out = scoring.score_documents(docs)
+    until = time.monotonic() + 20
+    while len(shuffled(spark) - before) > 4 and time.monotonic() < until:
+        time.sleep(0.5)
+    assert len(shuffled(spark) - before) <= 4
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert out.count() == docs.count()
