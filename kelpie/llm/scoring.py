@@ -22,7 +22,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -44,6 +43,8 @@ END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Tokens of the texts that one part of the automaton is built for, about.
 PART_TOKENS = 1 << 17
+#: Texts from which they are read side by side; what fewer have left is read text by text.
+ABREAST = 24
 #: States that every automaton has: the empty context, and the beginning of a text.
 ROOT, START = 0, 1
 
@@ -200,7 +201,7 @@ class Automaton:
                 back = state[k - 1][suffix]
                 p[reached] = (seen + mass * probability[k - 1][suffix]) / (context + mass)
             probability.append(p)
-            own, table = np.zeros(len(p), dtype=np.int64), np.full(len(p) + 1, 0 if k == 0 else -1)
+            own, table = np.zeros(len(p), dtype=np.int64), np.full(len(p) + 1, 0 if k == 0 else -1, dtype=np.int32)
             if k < order - 1:
                 own[reached] = np.arange(states, states + len(reached))
                 states += len(reached)
@@ -213,31 +214,56 @@ class Automaton:
             weights.append(np.log10(p[reached]))
             # The longest suffix of context and word that is a state: the n-gram itself, but for the highest order.
             targets.append(own[reached] if k < order - 1 else back)
-        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.failure, self.shorter = np.concatenate(failure).tolist(), np.concatenate(shorter).tolist()
+        self.weights, self.targets = np.concatenate(weights), np.concatenate(targets)
+        self.failure, self.shorter = np.concatenate(failure), np.concatenate(shorter)
 
-    def read(self, grams: list[list[int]], sizes: list[int]) -> list[float]:
+    def read(self, grams: np.ndarray, sizes: np.ndarray) -> list[float]:
         """log10 probabilities of consecutive texts: ``grams[k]`` has the arc of the (k+1)-gram that ends at each token.
 
-        A text begins in the state of the beginning.  A state of ``depth`` words has an arc for the next one if the
-        n-gram of one word more has; if not, the failure arc leads to the state of one word less.
+        A text begins in the state of the beginning.  A state of some ``depth`` of words has an arc for the next one if
+        the n-gram of one word more has; if not, the failure arc leads to the state of one word less.  Texts are read
+        side by side, a token of each at a time, and each carries its own state.
         """
-        weights, targets, failure, shorter, top = self.weights, self.targets, self.failure, self.shorter, len(grams) - 1
-        steps = zip(*grams)
-        out = []
-        for size in sizes:
-            total, state, depth = 0.0, START if top else ROOT, min(1, top)
-            for arcs in itertools.islice(steps, size):
-                while (arc := arcs[depth]) < 0:
-                    total += failure[state]
-                    state = shorter[state]
-                    depth -= 1
-                total += weights[arc]
-                state = targets[arc]
-                if depth < top:
-                    depth += 1
-            out.append(total)
-        return out
+        weights, targets, failure, shorter, (orders, tokens) = self.weights, self.targets, self.failure, self.shorter, grams.shape
+        order, top, arcs = np.argsort(-sizes, kind="stable"), orders - 1, grams.ravel()
+        length, at = sizes[order], (np.cumsum(sizes) - sizes)[order]
+        total, state = np.zeros(len(sizes)), np.full(len(sizes), START if top else ROOT)
+        # The place of a text's next token in the row of its depth.
+        place = at + min(1, top) * tokens
+        steps = int(length[ABREAST - 1]) if len(sizes) >= ABREAST else 0
+        for n in np.searchsorted(-length, -np.arange(steps)).tolist():
+            here = place[:n]
+            arc = arcs[here]
+            fails = np.flatnonzero(arc < 0)
+            while len(fails):
+                of = state[fails]
+                total[fails] += failure[of]
+                state[fails] = shorter[of]
+                here[fails] -= tokens
+                arc[fails] = found = arcs[here[fails]]
+                fails = fails[found < 0]
+            total[:n] += weights[arc]
+            state[:n] = targets[arc]
+            here += np.where(here < top * tokens, tokens + 1, 1)
+        for i in np.flatnonzero(length > steps).tolist():
+            total[i] = self._go_on(grams[:, at[i] + steps : at[i] + length[i]].tolist(), float(total[i]), int(state[i]), int(place[i]) // tokens)
+        out = np.empty(len(sizes))
+        out[order] = total
+        return out.tolist()
+
+    def _go_on(self, grams: list[list[int]], total: float, state: int, depth: int) -> float:
+        """``read`` of the rest of one text from a state of ``depth`` words."""
+        weights, targets, failure, shorter, top = *map(memoryview, (self.weights, self.targets, self.failure, self.shorter)), len(grams) - 1
+        for arcs in zip(*grams):
+            while (arc := arcs[depth]) < 0:
+                total += failure[state]
+                state = shorter[state]
+                depth -= 1
+            total += weights[arc]
+            state = targets[arc]
+            if depth < top:
+                depth += 1
+        return total
 
 
 def scores(g: Grams, tokens: int, types: int, texts: int, mass: float, part_tokens: int = PART_TOKENS) -> list[float]:
@@ -246,7 +272,7 @@ def scores(g: Grams, tokens: int, types: int, texts: int, mass: float, part_toke
     for a, b in passes(g.sizes.tolist(), part_tokens):
         low, high = int(g.first[a]), int(g.first[b])
         automaton = Automaton(g, low, high, tokens, types, texts, mass)
-        out += automaton.read([t[n[low:high]].tolist() for t, n in zip(automaton.table, g.number)], g.sizes[a:b].tolist())
+        out += automaton.read(np.stack([t[n[low:high]] for t, n in zip(automaton.table, g.number)]), g.sizes[a:b])
     return out
 
 

@@ -92,3 +92,22 @@ def test_what_was_asked_is_not_kept(spark, docs):
     assert len(shuffled(spark) - before) <= 4
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
     assert out.count() == docs.count()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_texts_side_by_side_equal_texts_one_by_one(rows, monkeypatch, order):
+    """Each text carries its own state, so others beside it change no bit of its score; few steps are taken text by text."""
+    texts = [(t or "").encode() for _, t in rows]
+    g = scoring.Grams(scoring.X.pack_rows([d for d, _ in rows], texts), order, 6)
+    while len(g.total) < order:
+        asked = g.asked()
+        g.take([scoring.X.planes(g.own[len(g.total)][asked].astype("u8") << 1 | 1)])
+    read, alone = {}, []
+    whole = scoring.Automaton._go_on
+    monkeypatch.setattr(scoring.Automaton, "_go_on", lambda self, grams, *rest: (alone.append(len(grams[0])), whole(self, grams, *rest))[1])
+    for abreast in (1, 5, 10**9):
+        monkeypatch.setattr(scoring, "ABREAST", abreast)
+        alone.clear()
+        read[abreast] = scoring.scores(g, int(g.own[0].sum()), len(g.own[0]), len(rows), 8.0), sum(alone)
+    assert read[1][0] == read[5][0] == read[10**9][0]
+    assert (read[1][1], read[10**9][1]) == (0, int(g.sizes.sum())) and 0 < read[5][1] < g.sizes.sum()
